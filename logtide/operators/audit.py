@@ -81,9 +81,10 @@ def lifecycle_json() -> Column:
 def fingerprints(rows: DataFrame, data: Column, resolved: DataFrame) -> DataFrame:
     """Answer rows with the digest of their JSON and the as-of record of their chain.
 
-    ``resolved`` is the output of ``asof.resolve``, one row per chain.
+    ``resolved`` is the output of ``asof.resolve``, one row per chain; chains it
+    could not place have no answer.
     """
-    record = resolved.select("chain_id", as_of_json(
+    record = resolved.where(F.col("status") == "ok").select("chain_id", as_of_json(
         F.col("block_number"), F.col("block_hash"), F.col("block_timestamp"),
         F.col("finalized_block"), F.col("safety")).alias("_as_of"))
     return rows.withColumn("_data", data).join(record, "chain_id").withColumn(

@@ -121,24 +121,26 @@ def upsert_blocks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merged block table with the hash each upsert replaced, if it differed.
 
     ``incoming`` carries an arrival number ``seq``; the latest arrival decides
-    the hash. Timestamp and parent come from any row of that hash that has
-    them, so a row known from a log never blanks a header.
+    the hash. Timestamp and parent come from the latest row of that hash that
+    has them, so a row known from a log never blanks a header.
     """
     tagged = (
         stored.withColumn("seq", F.lit(-1).cast("long")).withColumn("old", F.lit(True))
         .unionByName(incoming.withColumn("old", F.lit(False)))
     )
-    known_parent = F.when(F.col("parent_hash") != F.lit(ZERO_HASH), F.col("parent_hash"))
+    latest = lambda column, known: F.max(
+        F.when(known, F.struct("seq", column)))[column].alias(column)
     per_hash = tagged.groupBy("chain_id", "number", "hash").agg(
-        F.max(known_parent).alias("parent_hash"), F.max("block_ts").alias("block_ts"),
-        F.max("seq").alias("seq"), F.bool_or("old").alias("old"))
+        latest("parent_hash", F.col("parent_hash") != F.lit(ZERO_HASH)),
+        latest("block_ts", F.col("block_ts") != 0),
+        F.max("seq").alias("last_seq"), F.bool_or("old").alias("old"))
     merged = per_hash.groupBy("chain_id", "number").agg(
-        F.max_by(F.struct("hash", "parent_hash", "block_ts"), "seq").alias("now"),
+        F.max_by(F.struct("hash", "parent_hash", "block_ts"), "last_seq").alias("now"),
         F.max(F.when(F.col("old"), F.col("hash"))).alias("was"))
     return merged.select(
         "chain_id", "number", F.col("now.hash").alias("hash"),
         F.coalesce("now.parent_hash", F.lit(ZERO_HASH)).alias("parent_hash"),
-        F.col("now.block_ts").alias("block_ts"),
+        F.coalesce("now.block_ts", F.lit(0)).alias("block_ts"),
         F.when(F.col("was") != F.col("now.hash"), F.col("was")).alias("previous_hash"))
 
 

@@ -180,18 +180,20 @@ def deployment_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ack_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as acknowledgement logs; (order, line) pairs repeat, so keys collide.
 
-    The arrival id is a hash of the whole row: the table has no id of its own.
+    The table has no arrival id of its own, so one is taken from a hash of the row.
     """
     items = table(spark, sf_dir, "lineitem")
     status = ack_status()
-    arrival = F.xxhash64(*items.columns)
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"),
+             F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag", "l_linestatus"]
+    arrival = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
     block = F.col("l_shipdate").cast("date")
     number = F.datediff(block, F.lit("1990-01-01").cast("date")).cast("long")
     pointer = F.when(status == 1, F.lit(ZERO32)).otherwise(word(F.col("l_partkey") + 1))
     summary = F.encode(F.concat(F.lit("s"), status.cast("string")), "UTF-8")
     body = F.when(status == 1, word(F.lit(0))).otherwise(_tail(summary))
     rows = items.select(
-        arrival.alias("event_id"), F.lit(1).alias("chain_id"), word(F.col("l_suppkey"), 20).alias("address"),
+        arrival.alias("event_id"), F.lit(1).alias("chain_id"), word(F.col("l_orderkey"), 20).alias("address"),
         number.alias("block_number"), _hash("b", number).alias("block_hash"),
         _hash("a", arrival).alias("tx_hash"), F.lit(0).cast("long").alias("log_index"), "l_partkey",
         "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")

@@ -101,18 +101,11 @@ def payload_type(specs: Iterable[EventSpec] = DEFAULT_SPECS) -> str:
 
 
 # --- ABI words -------------------------------------------------------------
-# Each of these may be copied into a pushed-down filter, so they are kept small:
-# offsets and lengths are read once per use and checked against the data size.
-
-def _word(raw: Column, byte_offset: Column | int) -> Column:
-    start = byte_offset + 1 if isinstance(byte_offset, int) else byte_offset.cast("int") + 1
-    return F.substring(raw, start, 32)
-
 
 def _small(raw_word: Column) -> Column:
     """A word used as offset or length, below 2^31; NULL when it is larger or cut short."""
     return F.when(F.substring(raw_word, 1, 28) == F.lit(bytes(28)),
-                  F.least(numbers.word_tail(raw_word, 4).cast("long"), F.lit(2**31 - 64)))
+                  F.least(numbers.word_tail(raw_word, 4).cast("long"), F.lit(2**31 - 64)).cast("int"))
 
 
 def _static(raw_word: Column, abi: str) -> Column:
@@ -129,51 +122,54 @@ def _static(raw_word: Column, abi: str) -> Column:
     raise ValueError(f"unsupported ABI type {abi}")
 
 
-def _body(data: Column, slot: int) -> tuple[Column, Column]:
-    """(byte offset, element count) of the dynamic value whose head is ``slot``."""
-    offset = _small(_word(data, 32 * slot))
-    return offset + 32, _small(_word(data, offset))
-
-
-def _dynamic_fits(data: Column, slot: int, abi: str) -> Column:
-    body, count = _body(data, slot)
-    width = 32 if abi == "bytes32[]" else 1
-    return F.coalesce(body + count * width <= F.octet_length(data), F.lit(False))
+def _width(abi: str) -> int:
+    return 32 if abi == "bytes32[]" else 1
 
 
-def _dynamic(data: Column, slot: int, abi: str) -> Column:
-    body, count = _body(data, slot)
+@dataclass(frozen=True)
+class _Layout:
+    """Where one event keeps its arguments."""
+
+    spec: EventSpec
+    topics: tuple[Arg, ...]              # by topic, after topic0
+    head: tuple[Arg, ...]                # by 32-byte slot of the data
+    tails: tuple[tuple[int, Arg], ...]   # (slot, argument) of dynamic values
+
+    @staticmethod
+    def of(spec: EventSpec) -> _Layout:
+        head = tuple(a for a in spec.args if not a.indexed)
+        return _Layout(spec, tuple(a for a in spec.args if a.indexed), head,
+                       tuple((i, a) for i, a in enumerate(head) if a.abi in DYNAMIC))
+
+    def constants(self, tails: int) -> Column:
+        slots = [self.tails[j][0] if j < len(self.tails) else None for j in range(tails)]
+        widths = [_width(self.tails[j][1].abi) if j < len(self.tails) else None for j in range(tails)]
+        return F.struct(
+            F.lit(self.spec.kind).alias("_kind"), F.lit(32 * len(self.topics)).alias("_rest_bytes"),
+            F.lit(32 * len(self.head)).alias("_head_bytes"),
+            *[F.lit(v).cast("int").alias(f"_slot{j}") for j, v in enumerate(slots)],
+            *[F.lit(v).cast("int").alias(f"_width{j}") for j, v in enumerate(widths)])
+
+    def values(self) -> dict[str, Column]:
+        """Field expressions over the word columns of :func:`_words`."""
+        found = {a.name: _static(F.col(f"_topic{i}"), a.abi) for i, a in enumerate(self.topics)}
+        found |= {a.name: _static(F.col(f"_head{i}"), a.abi)
+                  for i, a in enumerate(self.head) if a.abi not in DYNAMIC}
+        found |= {a.name: _tail(j, a.abi) for j, (_, a) in enumerate(self.tails)}
+        return found
+
+
+def _tail(j: int, abi: str) -> Column:
+    """The j-th dynamic value of a row whose layout has been checked."""
+    body, count, data = F.col(f"_offset{j}") + 33, F.col(f"_count{j}"), F.col("data")
     if abi == "bytes32[]":
-        steps = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
-        words = F.transform(steps, lambda i: _word(data, body + i * 32))
+        steps = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+        words = F.transform(steps, lambda i: F.substring(data, body + i * 32, F.lit(32)))
         return F.coalesce(words, F.array().cast("array<binary>"))
-    raw = F.substring(data, body.cast("int") + 1, count.cast("int"))
+    raw = F.substring(data, body, count)
     return F.make_valid_utf8(raw.cast("string")) if abi == "string" else raw
 
 
-def _plan(spec: EventSpec, rest: Column, data: Column) -> tuple[dict[str, Column], Column]:
-    """Field expressions of one event and the condition under which they hold."""
-    values: dict[str, Column] = {}
-    checks: list[Column] = []
-    topic = slot = 0
-    for arg in spec.args:
-        if arg.indexed:
-            values[arg.name] = _static(_word(rest, 32 * topic), arg.abi)
-            topic += 1
-        elif arg.abi in DYNAMIC:
-            values[arg.name] = _dynamic(data, slot, arg.abi)
-            checks.append(_dynamic_fits(data, slot, arg.abi))
-            slot += 1
-        else:
-            values[arg.name] = _static(_word(data, 32 * slot), arg.abi)
-            slot += 1
-    if topic:
-        checks.append(F.octet_length(rest) >= 32 * topic)
-    if slot:
-        checks.append(F.octet_length(data) >= 32 * slot)
-    return values, reduce(lambda a, b: a & b, checks, F.lit(True))
-
-
 def _case(branches: list[tuple[Column, Column]], dtype: str) -> Column:
     if not branches:
         return F.lit(None).cast(dtype)
@@ -181,26 +177,62 @@ def _case(branches: list[tuple[Column, Column]], dtype: str) -> Column:
     return reduce(lambda acc, b: acc.when(*b), more, F.when(*first))
 
 
+def computed(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with columns computed once, in a one-row generator.
+
+    The optimizer copies a projected expression into every filter and field
+    that uses it; a decoder built that way compiles to methods too long for the
+    JIT. It does not copy through a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def _words(events: DataFrame, layouts: list[_Layout]) -> DataFrame:
+    """Layout constants, topic words, head words, and tail positions per row."""
+    tails = range(max(len(x.tails) for x in layouts))
+    branches = [(F.col("topic0") == F.lit(bytes.fromhex(x.spec.topic0)), x.constants(len(tails)))
+                for x in layouts]
+    rows = events.select("*", F.inline(F.array(_case(branches, ""))))
+    word = lambda source, start: F.substring(F.col(source), start, F.lit(32))
+    rows = computed(
+        rows,
+        *[word("topics_rest", F.lit(32 * i + 1)).alias(f"_topic{i}")
+          for i in range(max(len(x.topics) for x in layouts))],
+        *[word("data", F.lit(32 * i + 1)).alias(f"_head{i}")
+          for i in range(max(len(x.head) for x in layouts))],
+        *[_small(word("data", F.col(f"_slot{j}") * 32 + 1)).alias(f"_offset{j}") for j in tails])
+    return computed(rows, *[_small(word("data", F.col(f"_offset{j}") + 1)).alias(f"_count{j}")
+                            for j in tails]) if tails else rows
+
+
+def _fits(tails: int) -> Column:
+    """The row is as long as its layout says."""
+    size = F.octet_length("data")
+    checks = [F.octet_length("topics_rest") >= F.col("_rest_bytes"), size >= F.col("_head_bytes")]
+    for j in range(tails):
+        end = F.col(f"_offset{j}").cast("long") + 32 + F.col(f"_count{j}").cast("long") * F.col(f"_width{j}")
+        checks.append(F.col(f"_slot{j}").isNull() | F.coalesce(end <= size, F.lit(False)))
+    return reduce(lambda a, b: a & b, checks)
+
+
 def with_payload(events: DataFrame, specs: Iterable[EventSpec] = DEFAULT_SPECS) -> DataFrame:
     """Set ``kind`` and ``decoded`` from topic0, topics_rest and data.
 
     Both are NULL, with the row kept, for an unknown topic0 or a log that does
-    not fit its event's layout. ``kind`` comes out of a one-row generator: a
-    plain projection would have the optimizer copy the whole dispatch into
-    every field and every filter above.
+    not fit its event's layout. Topics past those declared are ignored.
     """
     specs = registry(specs)
-    plans = [(s, *_plan(s, F.col("topics_rest"), F.col("data"))) for s in specs]
-    kind = _case([((F.col("topic0") == F.lit(bytes.fromhex(s.topic0))) & ok, F.lit(s.kind))
-                  for s, _, ok in plans], "string")
+    layouts = [_Layout.of(s) for s in specs]
+    rows = _words(events, layouts)
+    tails = max(len(x.tails) for x in layouts)
+    rows = computed(rows, F.when(_fits(tails), F.col("_kind")).alias("kind"))
+    values = [(x.spec.kind, x.values()) for x in layouts]
     columns = []
     for name, abi in payload_fields(specs).items():
-        uses = [(F.col("kind") == s.kind, values[name]) for s, values, _ in plans if name in values]
+        uses = [(F.col("kind") == kind, found[name]) for kind, found in values if name in found]
         columns.append(_case(uses, SPARK_TYPES[abi]).alias(name))
-    return (
-        events.select("*", F.inline(F.array(F.struct(kind.alias("kind")))))
-        .withColumn("decoded", F.when(F.col("kind").isNotNull(), F.struct(*columns)))
-    )
+    payload = F.when(F.col("kind").isNotNull(), F.struct(*columns)).alias("decoded")
+    return rows.select(*events.columns, "kind", payload)
 
 
 # --- raw logs --------------------------------------------------------------

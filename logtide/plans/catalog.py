@@ -587,7 +587,7 @@ def _topic(kind: str) -> str:
 ENDPOINT_DATA = "printf('%064x', 32) || printf('%064x', strlen(endpoint)) || rpad(substr(endpoint_hex, 3), 64, '0')"
 
 
-@query(_proof_sql("'LeaderClaimed'", "printf('0x%064x', k % 8) || printf('%064x', k)", ENDPOINT_DATA, f"'{_topic('LeaderClaimed')}'"))
+@query(_proof_sql("'LeaderClaimed'", "member_id || printf('%064x', k)", ENDPOINT_DATA, f"'{_topic('LeaderClaimed')}'"))
 def leader_proof_events(spark: SparkSession, sf: str) -> DataFrame:
     return _proof(spark, sf, "leader")
 

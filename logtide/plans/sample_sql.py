@@ -12,7 +12,7 @@ ev AS (
  SELECT *, CASE event_type WHEN 'purchase' THEN 'LeaderClaimed' WHEN 'signup' THEN 'MemberRegistered'
    WHEN 'view' THEN 'PublicEndpointUpdated' WHEN 'click' THEN 'ControlInstructionBroadcast'
    ELSE CASE WHEN k >= 95 THEN 'ClusterDestroyed' ELSE 'MemberRetired' END END AS kind,
-  printf('0x%064x', k % 8) AS member_id, block_number % 97 = 0 AS removed,
+  printf('0x%064x', CASE WHEN event_type = 'purchase' THEN event_id % 8 ELSE k % 8 END) AS member_id, block_number % 97 = 0 AS removed,
   CAST(1704067200 + block_number * 3600 AS BIGINT) AS block_ts, block_number * 1000000000 + event_id AS pos,
   '0x' || sha256(CASE WHEN block_number % 97 = 0 THEN 'x' ELSE 'b' END || block_number) AS block_hash,
   'https://m' || k || '.example' AS endpoint, '0x' || lower(hex('https://m' || k || '.example')) AS endpoint_hex,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtide.functions.hexes import ZERO32, word
-from logtide.operators.decode import DEFAULT_SPECS, SPARK_TYPES, payload_fields
+from logtide.operators.decode import DEFAULT_SPECS, SPARK_TYPES, computed, payload_fields
 from logtide.schemas import RAW_LOG
 
 GENESIS_TS = 1704067200
@@ -53,6 +53,8 @@ def with_chain_columns(events: DataFrame) -> DataFrame:
                       word(user, 20).alias("contract"), number.alias("block_number"),
                       F.col("event_id").alias("log_index"), kind.alias("kind"), k.alias("k"))
         .withColumns({
+            # a claimant is independent of its epoch, so equal epochs meet different members
+            "m": F.when(F.col("kind") == "LeaderClaimed", F.col("event_id") % 8).otherwise(F.col("k") % 8),
             "block_hash": stored_hash, "tx_hash": _hash("t", F.col("event_id")),
             "removed": F.col("block_number") % ORPHAN_EVERY == 0})
     )
@@ -61,7 +63,7 @@ def with_chain_columns(events: DataFrame) -> DataFrame:
 def _payload_values() -> dict[str, dict[str, Column]]:
     """Typed payload fields per kind."""
     k = F.col("k")
-    member = word(k % 8)
+    member = word(F.col("m"))
     endpoint = F.encode(F.concat(F.lit("https://m"), k.cast("string"), F.lit(".example")), "UTF-8")
     ts = block_ts(F.col("block_number"))
     return {
@@ -94,7 +96,7 @@ def with_payload(rows: DataFrame) -> DataFrame:
             for kind, value in users[1:]:
                 column = column.when(F.col("kind") == kind, value)
         columns.append(column.alias(name))
-    return rows.withColumn("decoded", F.struct(*columns)).drop("k", "user")
+    return rows.withColumn("decoded", F.struct(*columns)).drop("k", "m", "user")
 
 
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,15 +155,8 @@ def raw_logs(rows: DataFrame) -> DataFrame:
 
 
 def _as_source(rows: DataFrame, topics: Column, data: Column) -> DataFrame:
-    """Raw log columns with topics and data computed once per row.
-
-    The generator keeps the optimizer from copying the encoding expressions
-    into every filter and field of a decoder above; a stored log needs no such
-    step.
-    """
-    encoded = F.inline(F.array(F.struct(topics.alias("topics"), data.alias("data"))))
-    return rows.select("event_id", "chain_id", "address", "block_number", "block_hash", "tx_hash",
-                       "log_index", encoded).select(RAW_LOG.fieldNames())
+    """Raw log columns with topics and data computed once per row, as a stored log has them."""
+    return computed(rows, topics.alias("topics"), data.alias("data")).select(RAW_LOG.fieldNames())
 
 
 def deployment_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,23 +178,26 @@ def ack_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The table has no arrival id of its own, so one is taken from a hash of the row.
     """
     items = table(spark, sf_dir, "lineitem")
-    status = ack_status()
     parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"),
              F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag", "l_linestatus"]
-    arrival = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
-    block = F.col("l_shipdate").cast("date")
-    number = F.datediff(block, F.lit("1990-01-01").cast("date")).cast("long")
-    pointer = F.when(status == 1, F.lit(ZERO32)).otherwise(word(F.col("l_partkey") + 1))
+    number = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    rows = computed(
+        items,
+        F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long").alias("event_id"),
+        number.alias("block_number"), ack_status().alias("status"),
+        word(F.col("l_orderkey")).alias("order_word"), word(F.col("l_suppkey")).alias("supplier_word"))
+    status = F.col("status")
     summary = F.encode(F.concat(F.lit("s"), status.cast("string")), "UTF-8")
-    body = F.when(status == 1, word(F.lit(0))).otherwise(_tail(summary))
-    rows = items.select(
-        arrival.alias("event_id"), F.lit(1).alias("chain_id"), word(F.col("l_orderkey"), 20).alias("address"),
-        number.alias("block_number"), _hash("b", number).alias("block_hash"),
-        _hash("a", arrival).alias("tx_hash"), F.lit(0).cast("long").alias("log_index"), "l_partkey",
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    topics = F.array(F.lit(TOPICS["ControlAck"]), word(F.col("l_partkey")), word(F.col("l_orderkey")),
-                     word(F.col("l_suppkey")))
-    data = F.concat(word(status), word(F.col("l_linenumber")), pointer, word(F.lit(128)), body)
+    pointer = F.when(status == 1, F.lit(ZERO32)).otherwise(word(F.col("l_partkey") + 1))
+    body = F.when(status == 1, F.lit(ZERO32)).otherwise(
+        F.concat(F.lit(bytes(31) + b"\x02"), summary, F.lit(bytes(30))))
+    topics = F.array(F.lit(TOPICS["ControlAck"]), word(F.col("l_partkey")), F.col("order_word"),
+                     F.col("supplier_word"))
+    data = F.concat(word(status), word(F.col("l_linenumber")), pointer, F.lit(bytes(31) + b"\x80"), body)
+    rows = rows.withColumns({
+        "chain_id": F.lit(1), "address": F.substring("order_word", 13, 20),
+        "block_hash": _hash("b", F.col("block_number")), "tx_hash": _hash("a", F.col("event_id")),
+        "log_index": F.lit(0).cast("long")})
     return _as_source(rows, topics, data)
 
 

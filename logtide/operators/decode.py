@@ -275,14 +275,14 @@ def decode_late(events: DataFrame, specs: Iterable[EventSpec]) -> DataFrame:
     """Decode stored rows whose kind is NULL with a newer registry; others stay as they are."""
     specs = registry(specs)
     old = events.schema["decoded"].dataType.fieldNames()
-    held = events.withColumnsRenamed({"kind": "_kind", "decoded": "_decoded"})
+    held = events.withColumnsRenamed({"kind": "_old_kind", "decoded": "_old_decoded"})
     fresh = with_payload(held, specs)
     fields = []
     for name, abi in payload_fields(specs).items():
-        stored = F.col(f"_decoded.{name}") if name in old else F.lit(None).cast(SPARK_TYPES[abi])
-        fields.append(F.when(F.col("_kind").isNull(), F.col(f"decoded.{name}"))
+        stored = F.col(f"_old_decoded.{name}") if name in old else F.lit(None).cast(SPARK_TYPES[abi])
+        fields.append(F.when(F.col("_old_kind").isNull(), F.col(f"decoded.{name}"))
                       .otherwise(stored).alias(name))
-    kind = F.coalesce("_kind", "kind")
+    kind = F.coalesce("_old_kind", "kind")
     return (
         fresh.withColumn("decoded", F.when(kind.isNotNull(), F.struct(*fields)))
         .withColumn("kind", kind)

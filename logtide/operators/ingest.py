@@ -117,31 +117,37 @@ def blocks_from_logs(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert_blocks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merged block table with the hash each upsert replaced, if it differed.
+def _latest_known(column: str, known: Column) -> Column:
+    return F.max(F.when(known, F.struct("seq", column)))[column].alias(column)
+
 
-    ``incoming`` carries an arrival number ``seq``; the latest arrival decides
-    the hash. Timestamp and parent come from the latest row of that hash that
-    has them, so a row known from a log never blanks a header.
+def latest_blocks(rows: DataFrame) -> DataFrame:
+    """One row per height out of block rows with an arrival number ``seq``.
+
+    The latest arrival decides the hash. Timestamp and parent come from the
+    latest row of that hash that has them, so a row known from a log never
+    blanks a header. Results merge again with further rows.
     """
-    tagged = (
-        stored.withColumn("seq", F.lit(-1).cast("long")).withColumn("old", F.lit(True))
-        .unionByName(incoming.withColumn("old", F.lit(False)))
-    )
-    latest = lambda column, known: F.max(
-        F.when(known, F.struct("seq", column)))[column].alias(column)
-    per_hash = tagged.groupBy("chain_id", "number", "hash").agg(
-        latest("parent_hash", F.col("parent_hash") != F.lit(ZERO_HASH)),
-        latest("block_ts", F.col("block_ts") != 0),
-        F.max("seq").alias("last_seq"), F.bool_or("old").alias("old"))
-    merged = per_hash.groupBy("chain_id", "number").agg(
-        F.max_by(F.struct("hash", "parent_hash", "block_ts"), "last_seq").alias("now"),
-        F.max(F.when(F.col("old"), F.col("hash"))).alias("was"))
-    return merged.select(
+    per_hash = rows.groupBy("chain_id", "number", "hash").agg(
+        _latest_known("parent_hash", F.col("parent_hash") != F.lit(ZERO_HASH)),
+        _latest_known("block_ts", F.col("block_ts") != 0), F.max("seq").alias("last_seq"))
+    best = F.max_by(F.struct("hash", "parent_hash", "block_ts", "last_seq"), "last_seq").alias("now")
+    return per_hash.groupBy("chain_id", "number").agg(best).select(
         "chain_id", "number", F.col("now.hash").alias("hash"),
         F.coalesce("now.parent_hash", F.lit(ZERO_HASH)).alias("parent_hash"),
-        F.coalesce("now.block_ts", F.lit(0)).alias("block_ts"),
-        F.when(F.col("was") != F.col("now.hash"), F.col("was")).alias("previous_hash"))
+        F.coalesce("now.block_ts", F.lit(0)).alias("block_ts"), F.col("now.last_seq").alias("seq"))
+
+
+def upsert_blocks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Merged block table with the hash each upsert replaced, if it differed.
+
+    ``incoming`` carries an arrival number ``seq``; see :func:`latest_blocks`.
+    """
+    merged = latest_blocks(stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(incoming))
+    was = stored.select("chain_id", "number", F.col("hash").alias("was"))
+    return merged.join(was, ["chain_id", "number"], "left").select(
+        "chain_id", "number", "hash", "parent_hash", "block_ts",
+        F.when(F.col("was") != F.col("hash"), F.col("was")).alias("previous_hash"))
 
 
 # --- cursors and chain state -----------------------------------------------

@@ -12,7 +12,9 @@ from logtide.operators import (
 )
 from logtide.operators.render import as_hex
 from logtide.plans import sample_sql as Q
-from logtide.sources import sample_tables as S
+from logtide.session import work_dir
+from logtide.sources import logs, sample_tables as S
+from logtide.streaming import jobs
 
 AS_OF = 360
 EARLIER = 300
@@ -931,3 +933,137 @@ def as_of_snapshots(spark: SparkSession, sf: str) -> DataFrame:
         ["chain_id", "as_of_block"])
     missing = audit.missing_snapshots(requests, held, blocks)
     return as_hex(audit.materialise(missing, events, blocks, AS_OF))
+
+
+# --- streams ---------------------------------------------------------------
+
+STREAM_FILES = 3
+
+
+def _staged(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """Rows laid out as a growing table: a few files in arrival order, one per micro-batch."""
+    folder = work_dir(spark, name)
+    order = "seq" if "seq" in rows.columns else "event_id" if "event_id" in rows.columns else "number"
+    rows.repartitionByRange(STREAM_FILES, order).write.parquet(folder)
+    return folder
+
+
+def _drain(spark: SparkSession, stream: DataFrame, body, name: str) -> None:
+    jobs.run(stream, body, work_dir(spark, f"{name}-checkpoint")).awaitTermination()
+
+
+def _ingest(spark: SparkSession, sf: str) -> jobs.IngestJob:
+    """The ingest job run over redelivered raw logs in several micro-batches."""
+    blocks = S.blocks(spark, sf)
+    folder = _staged(spark, S.redelivered(_raw(spark, sf)).drop("delivery"), "raw-logs")
+    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
+    stream = logs.stream_logs(spark, folder, files_per_batch=1)
+    _drain(spark, jobs.watched_only(stream, S.clusters(spark, sf).withColumnRenamed("contract", "address")),
+           job, "ingest")
+    return job
+
+
+_FINISHED: dict[tuple[str, str], jobs.IngestJob] = {}
+
+
+def _ingested(spark: SparkSession, sf: str) -> jobs.IngestJob:
+    """One finished ingest run per session and table folder, read by several queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FINISHED:
+        _FINISHED[key] = _ingest(spark, sf)
+    return _FINISHED[key]
+
+
+STREAMED_EV = Q.EV.replace("block_number % 97 = 0 AS removed", "false AS removed")
+
+
+@query(Q.EV + f"SELECT {EVENT_SQL} FROM ev")
+def stream_event_log(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_ingested(spark, sf).log.read().select(*EVENT_COLUMNS))
+
+
+@query(STREAMED_EV + Q.LEADER_AT.format(bound=S.HEAD))
+def stream_leader_view(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_ingested(spark, sf).view("leader"))
+
+
+@query(Q.MEMBERS.format(bound=S.HEAD).replace("block_number % 97 = 0 AS removed", "false AS removed"))
+def stream_members_view(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_ingested(spark, sf).view("members"))
+
+
+@query(Q.LIFECYCLE_ROWS.format(bound=S.HEAD).replace("block_number % 97 = 0 AS removed", "false AS removed"))
+def stream_lifecycle_view(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_ingested(spark, sf).view("lifecycle"))
+
+
+@query(Q.LEADER_ROWS.format(bound=S.HEAD))
+def stream_leader_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
+    """View state rebuilt once the canonical chain shows orphaned blocks."""
+    job = _ingest(spark, sf)
+    job.rebuild("leader", STREAM_FILES, reorg.orphan_blocks(job.log.read(), S.blocks(spark, sf)))
+    return as_hex(job.view("leader"))
+
+
+@query(ORACLES["change_feed"])
+def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return _ingested(spark, sf).feed()
+
+
+@query(Q.BLOCKS + "SELECT * FROM blk")
+def stream_block_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored blocks first, then the canonical headers that replace the orphaned ones."""
+    headers = S.blocks(spark, sf)
+    job = jobs.BlockJob(spark, work_dir(spark, "blocks"))
+    for part, rows in enumerate((S.stored_blocks(headers), headers)):
+        stream = logs.stream_headers(spark, _staged(spark, rows, f"headers-{part}"), files_per_batch=1)
+        shifted = lambda batch, n, base=part * 100: job(batch, base + n)
+        _drain(spark, stream, shifted, f"headers-{part}")
+    return as_hex(job.blocks())
+
+
+def _delivered(spark: SparkSession, sf: str) -> jobs.OrderedDelivery:
+    """Instructions and heads streamed in arrival order through ordered delivery."""
+    rows = control.instructions(_events(spark, sf).where(~F.col("removed")))[0]
+    sent = rows.withColumns({"row_type": F.lit(jobs.INSTRUCTION_ROW), "seq": F.col("row_id") * 2})
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in jobs.ORDERER_INPUT.fields
+             if f.name not in ("row_type", "seq", "chain_id", "block_number")]
+    beats = _events(spark, sf).groupBy("chain_id", "block_number").agg(
+        (F.max("event_id") * 2 + 1).alias("seq")).select(
+        F.lit(jobs.HEAD_ROW).alias("row_type"), "seq", "chain_id", "block_number", *blank)
+    order = jobs.ORDERER_INPUT.fieldNames()
+    folder = _staged(spark, sent.select(order).unionByName(beats.select(order)), "control-rows")
+    job = jobs.OrderedDelivery(spark, work_dir(spark, "delivery"), clock=lambda: TICK_NOW)
+    _drain(spark, logs.stream_table(spark, folder, jobs.ORDERER_INPUT, 1), job, "delivery")
+    return job
+
+
+DELIVERED = Q.ORDERED.format(initial="0", head="hd.head")
+
+
+@query(DELIVERED + "SELECT row_id, chain_id, cluster, nonce, block_number FROM lab WHERE outcome = 'Dispatched'")
+def stream_ordered_delivery(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_delivered(spark, sf).dispatched().select(
+        "row_id", "chain_id", "cluster", "nonce", "block_number"))
+
+
+@query(DELIVERED + """SELECT row_id, cluster, nonce, NULLIF(t, '') AS member_id
+FROM lab, unnest(string_split(targets, ',')) AS u(t) WHERE outcome = 'Dispatched'""")
+def stream_member_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Delivered instructions by audience, acks never among them."""
+    return as_hex(control.by_audience(_delivered(spark, sf).dispatched()).select(
+        "row_id", "cluster", "nonce", "member_id"))
+
+
+@query(Q.EV + "SELECT event_id, chain_id, contract FROM ev WHERE event_id > 50")
+def stream_subscription(spark: SparkSession, sf: str) -> DataFrame:
+    """Backlog and tail of overlapping deliveries from an id on, each id once."""
+    rows = S.redelivered(_events(spark, sf).select("event_id", "chain_id", "contract", "kind", "block_number"))
+    timed = rows.withColumns({"at": F.timestamp_seconds(S.block_ts(F.col("block_number"))),
+                              "removed": F.lit(False)}).drop("delivery", "block_number")
+    stream = logs.stream_table(spark, _staged(spark, timed, "deliveries"), timed.schema, 1)
+    kept = jobs.recent_once(feeds.subscription(stream, since=50), "at", "31 days")
+    out = work_dir(spark, "subscription")
+    kept.writeStream.format("parquet").option("checkpointLocation", work_dir(spark, "subscription-checkpoint")).trigger(
+        availableNow=True).start(out).awaitTermination()
+    return as_hex(spark.read.schema(timed.schema).parquet(out).select("event_id", "chain_id", "contract"))

@@ -3,15 +3,15 @@
 Spark has no MERGE on parquet, so each table takes the form its writes allow:
 the event log only ever grows; state that changes in place is written as a new
 numbered version, or as mergeable partial rows (:class:`MergeTable`). A
-version number is the micro-batch id, so a retried batch rewrites its own
-version and nothing else.
+version number is the micro-batch id, so a retried batch reads what came before
+it and rewrites its own version only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
 
-from logtide.operators.views import StateView
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BLOCKS_PER_BUCKET = 100_000
 
@@ -111,36 +111,48 @@ class VersionedTable:
         drop_versions(self.spark, self.root, older[:-keep])
 
 
-# --- mergeable view state --------------------------------------------------
+# --- mergeable state -------------------------------------------------------
 
 class MergeTable:
-    """View state as partial rows: a base and the batches since.
+    """Keyed state as mergeable rows: a base and one folder per batch since.
 
-    A batch costs what the batch holds, not what the state holds. Merging is
-    idempotent, so a batch that is both in the base and still listed is harmless.
+    A batch costs what the batch holds, not what the state holds. ``merge``
+    must be associative and idempotent, so a batch that is both in the base and
+    still listed is harmless.
     """
 
-    def __init__(self, spark: SparkSession, root: str, view: StateView, schema: T.StructType):
-        self.spark, self.view, self.schema = spark, view, schema
+    def __init__(self, spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame],
+                 schema: T.StructType):
+        self.spark, self.merge, self.schema = spark, merge, schema
         self.base, self.recent = f"{root}/base", f"{root}/recent"
 
-    def put(self, batch_id: int, partial: DataFrame) -> None:
-        partial.write.mode("overwrite").parquet(f"{self.recent}/v={batch_id}")
+    def put(self, batch_id: int, rows: DataFrame) -> None:
+        rows.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.recent}/v={batch_id}")
 
-    def read(self) -> DataFrame:
-        paths = [f"{self.base}/v={v}" for v in versions(self.spark, self.base)[-1:]]
-        paths += [f"{self.recent}/v={v}" for v in versions(self.spark, self.recent)]
+    def _paths(self, before: int | None) -> list[str]:
+        known = lambda root: [v for v in versions(self.spark, root) if before is None or v < before]
+        return ([f"{self.base}/v={v}" for v in known(self.base)[-1:]]
+                + [f"{self.recent}/v={v}" for v in known(self.recent)])
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """State from all batches, or from those before a batch that may be a retry."""
+        paths = self._paths(before)
         if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.view.merge(self.spark.read.schema(self.schema).parquet(*paths))
+        return self.merge(self.spark.read.schema(self.schema).parquet(*paths))
+
+    def replace(self, batch_id: int, rows: DataFrame) -> None:
+        """Make ``rows`` the whole state as of a finished batch; a restart may repeat it."""
+        rows.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.base}/v={batch_id}")
+        drop_versions(self.spark, self.recent, [v for v in versions(self.spark, self.recent) if v <= batch_id])
+        drop_versions(self.spark, self.base, [v for v in versions(self.spark, self.base) if v < batch_id])
 
-    def compact(self) -> None:
-        """Fold the batches into a new base. Call between batches."""
-        listed = versions(self.spark, self.recent)
+    def compact(self, before: int) -> None:
+        """Fold the batches below ``before``, all finished, into a new base."""
+        listed = [v for v in versions(self.spark, self.recent) if v < before]
         if not listed:
             return
-        bases = versions(self.spark, self.base)
-        number = bases[-1] + 1 if bases else 0
-        self.read().write.mode("overwrite").parquet(f"{self.base}/v={number}")
+        older = [v for v in versions(self.spark, self.base) if v < listed[-1]]
+        self.read(before).write.mode("overwrite").parquet(f"{self.base}/v={listed[-1]}")
         drop_versions(self.spark, self.recent, listed)
-        drop_versions(self.spark, self.base, bases)
+        drop_versions(self.spark, self.base, older)

@@ -319,6 +319,9 @@ def _parse_field(document: Column, name: str, abi: str) -> Column:
     text = P.get_string(document, name)
     if abi == "uint64":
         return numbers.parse_uint64(text)
+    if abi == "uint256":
+        # stored text may be hex; the payload holds decimal text
+        return F.coalesce(numbers.parse_uint_as_int64(text).cast("string"), text)
     if abi in ("address", "bytes32"):
         return hexes.parse_fixed(text, 20 if abi == "address" else 32, any_case_prefix=True)
     if abi == "bytes":

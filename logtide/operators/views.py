@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logtide.functions import hexes, numbers
+from logtide.functions import hexes
 
 CLUSTER = ["chain_id", "contract"]
 MEMBER = ["chain_id", "contract", "member_id"]
@@ -83,8 +83,13 @@ def _position() -> list[Column]:
 
 # --- leader ----------------------------------------------------------------
 
+def _epoch() -> Column:
+    """Epoch of a claim; NULL when it does not fit a signed 64-bit value."""
+    return F.col("decoded.epoch").try_cast("bigint")
+
+
 def _leader_partial(events: DataFrame) -> DataFrame:
-    epoch = numbers.parse_uint_as_int64(F.col("decoded.epoch"))
+    epoch = _epoch()
     claim = F.struct(epoch.alias("epoch"), (-F.col("block_number")).alias("minus_block"),
                      (-F.col("log_index")).alias("minus_index"), F.col("decoded.memberId").alias("member_id"))
     return events.groupBy(*CLUSTER).agg(F.max(F.when(epoch.isNotNull(), claim)).alias("claim"))
@@ -106,16 +111,14 @@ LEADER = StateView("leader", ("LeaderClaimed",), tuple(CLUSTER),
 
 def check_epochs(events: DataFrame) -> DataFrame:
     """Strict mode: fail the job on an epoch that is not a signed 64-bit value."""
-    parsed = numbers.parse_uint_as_int64(F.col("decoded.epoch"))
-    bad = (F.col("kind") == "LeaderClaimed") & parsed.isNull()
+    bad = (F.col("kind") == "LeaderClaimed") & _epoch().isNull()
     return events.where(F.when(bad, F.raise_error(F.lit("epoch does not fit int64")).cast("boolean"))
                         .otherwise(F.lit(True)))
 
 
 def rejected_claims(events: DataFrame) -> DataFrame:
     """Lenient mode: the claims replay leaves out."""
-    return events.where((F.col("kind") == "LeaderClaimed")
-                        & numbers.parse_uint_as_int64(F.col("decoded.epoch")).isNull())
+    return events.where((F.col("kind") == "LeaderClaimed") & _epoch().isNull())
 
 
 def leader_for(clusters: DataFrame, leaders: DataFrame, as_of_block: int) -> DataFrame:
@@ -227,8 +230,7 @@ def leader_conflicts(events: DataFrame, as_of: int | DataFrame | None = None) ->
     partial aggregate can carry; a distinct count could not combine map-side.
     """
     member = F.col("decoded.memberId")
-    claims = LEADER.events(events, as_of).withColumn(
-        "epoch", numbers.parse_uint_as_int64(F.col("decoded.epoch")))
+    claims = LEADER.events(events, as_of).withColumn("epoch", _epoch())
     return (
         claims.groupBy(*CLUSTER, "epoch")
         .agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count(F.lit(1)).alias("claims"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logtide.functions.hexes import ZERO32, word
 from logtide.operators.decode import DEFAULT_SPECS, SPARK_TYPES, computed, payload_fields
 from logtide.schemas import RAW_LOG
+from logtide.sources.tables import size_of
 
 GENESIS_TS = 1704067200
 BLOCK_SECONDS = 3600
@@ -21,8 +22,20 @@ HEAD = 719
 TOPICS = {s.kind: bytes.fromhex(s.topic0) for s in DEFAULT_SPECS}
 
 
+# A file of this size is one row group, hence one task, whatever the cores.
+SPREAD_FROM, SPREAD_BELOW = 1 << 20, 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; one that fits a single scan task is spread over the cores.
+
+    Larger tables have enough row groups and are read as they are.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if SPREAD_FROM <= size_of(spark, path) < SPREAD_BELOW:
+        return rows.repartition(spark.sparkContext.defaultParallelism, rows.columns[0])
+    return rows
 
 
 def _hash(tag: str, number: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.schemas import EVENT_KEY
+from logtide.session import sized
 
 BACKFILL_CHUNK = 2000
 ZERO_HASH = bytes(32)
@@ -27,10 +28,14 @@ def scan_logs(raw: DataFrame, topic0s: Iterable[str], start: int, end: int,
 
 
 def scan_plan(raw: DataFrame, plan: DataFrame, topic0s: Iterable[str]) -> DataFrame:
-    """Logs inside each contract's planned block range, all contracts in one job."""
+    """Logs inside each contract's planned block range, all contracts in one job.
+
+    The plan (one row per contract) is written first, so it has a size and the
+    logs are not shuffled while it is small.
+    """
     topics = [bytes.fromhex(t) for t in topic0s]
-    ranges = plan.select("chain_id", F.col("contract").alias("address"),
-                         F.col("from_block").alias("_from"), F.col("to_block").alias("_to"))
+    ranges = sized(plan.select("chain_id", F.col("contract").alias("address"),
+                               F.col("from_block").alias("_from"), F.col("to_block").alias("_to")), "scan-plan")
     logs = raw.where(F.get("topics", F.lit(0)).isin(topics)).alias("l")
     inside = ((F.col("l.chain_id") == F.col("p.chain_id"))
               & (F.col("l.address") == F.col("p.address"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.operators.control import CLUSTER, CONFIRMATIONS
+from logtide.session import sized
 
 MAX_BUFFER = 100
 MAX_BUFFER_AGE = 3600
@@ -72,9 +73,11 @@ def order(rows: DataFrame, heads: DataFrame, initial: DataFrame | None = None,
 
     ``rows`` holds one row per (cluster, nonce), as the sink keeps them.
     ``heads`` is (chain_id, head); ``initial`` is (chain_id, cluster, initial).
+    The run ends (one row per cluster) are written first, so this runs a job;
+    the labelling pass then need not shuffle the instructions by cluster.
     """
     prepared = _prepared(rows, heads, initial, confirmations)
-    ends = run_ends(prepared).select(*CLUSTER, F.col("next_expected").alias("_end"))
+    ends = sized(run_ends(prepared).select(*CLUSTER, F.col("next_expected").alias("_end")), "run-ends")
     labelled = prepared.join(ends, CLUSTER, "left").withColumn(
         "next_expected", F.coalesce("_end", "initial"))
     nonce = F.col("nonce")

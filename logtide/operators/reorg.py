@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from logtide.session import sized
+
 
 def detect(headers: DataFrame, stored: DataFrame) -> DataFrame:
     """Headers that contradict the stored chain.
@@ -66,15 +68,15 @@ def orphan_blocks(events: DataFrame, canonical: DataFrame) -> DataFrame:
 
     Events reduce to distinct blocks before anything is shuffled, so the join
     sees blocks, not events. Heights the canonical side lacks are left alone.
+    The list is written out: marking events with it then needs no shuffle of
+    theirs while it is small.
     """
     stored = events.select("chain_id", "block_number", "block_hash").distinct()
     truth = canonical.select("chain_id", F.col("number").alias("block_number"),
                              F.col("hash").alias("canonical_hash"))
-    return (
-        stored.join(truth, ["chain_id", "block_number"])
-        .where(F.col("block_hash") != F.col("canonical_hash"))
-        .select("chain_id", "block_number", "block_hash")
-    )
+    orphans = stored.join(truth, ["chain_id", "block_number"]).where(
+        F.col("block_hash") != F.col("canonical_hash"))
+    return sized(orphans.select("chain_id", "block_number", "block_hash"), "orphan-blocks")
 
 
 def mark_removed(events: DataFrame, orphans: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions import hexes
+from logtide.session import sized
 
 CLUSTER = ["chain_id", "contract"]
 MEMBER = ["chain_id", "contract", "member_id"]
@@ -65,11 +66,12 @@ def with_block_row(events: DataFrame, blocks: DataFrame) -> DataFrame:
     """Drop events whose block is unknown.
 
     Only distinct blocks meet the block table; the (normally empty) list of
-    unknown ones then filters the events, which are not shuffled for it.
+    unknown ones then filters the events, which are not shuffled for it. The
+    list is written first, so this runs a job.
     """
     numbers_ = blocks.select("chain_id", F.col("number").alias("block_number"))
     on = ["chain_id", "block_number"]
-    unknown = events.select(*on).distinct().join(numbers_, on, "left_anti")
+    unknown = sized(events.select(*on).distinct().join(numbers_, on, "left_anti"), "unknown-blocks")
     return events.join(unknown, on, "left_anti")
 
 

@@ -12,7 +12,7 @@ from logtide.operators import (
 )
 from logtide.operators.render import as_hex
 from logtide.plans import sample_sql as Q
-from logtide.session import work_dir
+from logtide.session import sized, work_dir
 from logtide.sources import logs, sample_tables as S
 from logtide.streaming import jobs
 
@@ -45,7 +45,8 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _heads(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("chain_id").agg(F.max("number").alias("head"))
+    """Head per chain, as the small table it is in use."""
+    return sized(blocks.groupBy("chain_id").agg(F.max("number").alias("head")), "heads")
 
 
 def _sunk(spark: SparkSession, sf: str) -> DataFrame:

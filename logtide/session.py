@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -46,3 +46,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def sized(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read back.
+
+    For a join side that an aggregate or join made small: the planner sees no
+    size for such a side and would shuffle the large side before finding out.
+    A written table has one, so Spark broadcasts it when it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge
+    join with adaptive skew handling. It also survives lost executors.
+    """
+    spark = rows.sparkSession
+    folder = work_dir(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

@@ -191,6 +191,8 @@ class OrderedDelivery:
                 "chain_id", F.col("block_number").alias("head")))
             .groupBy("chain_id").agg(F.max("head").alias("head"))
         )
+        self.heads.write(batch_id, heads)
+        heads = self.heads.read(before=batch_id + 1)
         cursors = self.cursors.read(before=batch_id)
         if self.initial is not None:
             cursors = _furthest(cursors.unionByName(self.initial.select(_CURSOR.fieldNames())))
@@ -209,7 +211,6 @@ class OrderedDelivery:
             F.col("outcome").isin(orderer.AWAITING, orderer.NOT_FINAL)))
         self.cursors.put(batch_id, sent.groupBy("chain_id", "cluster").agg(
             F.max("next_expected").alias("initial")))
-        self.heads.write(batch_id, heads)
         ordered.unpersist()
         batch.unpersist()
         if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:

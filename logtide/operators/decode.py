@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -187,24 +187,6 @@ def computed(rows: DataFrame, *columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def _words(events: DataFrame, layouts: list[_Layout]) -> DataFrame:
-    """Layout constants, topic words, head words, and tail positions per row."""
-    tails = range(max(len(x.tails) for x in layouts))
-    branches = [(F.col("topic0") == F.lit(bytes.fromhex(x.spec.topic0)), x.constants(len(tails)))
-                for x in layouts]
-    rows = events.select("*", F.inline(F.array(_case(branches, ""))))
-    word = lambda source, start: F.substring(F.col(source), start, F.lit(32))
-    rows = computed(
-        rows,
-        *[word("topics_rest", F.lit(32 * i + 1)).alias(f"_topic{i}")
-          for i in range(max(len(x.topics) for x in layouts))],
-        *[word("data", F.lit(32 * i + 1)).alias(f"_head{i}")
-          for i in range(max(len(x.head) for x in layouts))],
-        *[_small(word("data", F.col(f"_slot{j}") * 32 + 1)).alias(f"_offset{j}") for j in tails])
-    return computed(rows, *[_small(word("data", F.col(f"_offset{j}") + 1)).alias(f"_count{j}")
-                            for j in tails]) if tails else rows
-
-
 def _fits(tails: int) -> Column:
     """The row is as long as its layout says."""
     size = F.octet_length("data")
@@ -215,23 +197,45 @@ def _fits(tails: int) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
-def with_payload(events: DataFrame, specs: Iterable[EventSpec] = DEFAULT_SPECS) -> DataFrame:
-    """Set ``kind`` and ``decoded`` from topic0, topics_rest and data.
+@lru_cache(maxsize=32)
+def _compiled(specs: tuple[EventSpec, ...]) -> tuple[list[Column], Column]:
+    """(generator of each step, payload column) of a registry.
 
-    Both are NULL, with the row kept, for an unknown topic0 or a log that does
-    not fit its event's layout. Topics past those declared are ignored.
+    Steps: layout constants, then topic words, head words and tail offsets,
+    then tail counts, then the checked kind. Kept per registry, since building
+    them costs hundreds of calls into the JVM and a micro-batch does it anew.
     """
-    specs = registry(specs)
     layouts = [_Layout.of(s) for s in specs]
-    rows = _words(events, layouts)
-    tails = max(len(x.tails) for x in layouts)
-    rows = computed(rows, F.when(_fits(tails), F.col("_kind")).alias("kind"))
+    tails = range(max(len(x.tails) for x in layouts))
+    constants = _case([(F.col("topic0") == F.lit(bytes.fromhex(x.spec.topic0)), x.constants(len(tails)))
+                       for x in layouts], "")
+    word = lambda source, start: F.substring(F.col(source), start, F.lit(32))
+    words = [word("topics_rest", F.lit(32 * i + 1)).alias(f"_topic{i}")
+             for i in range(max(len(x.topics) for x in layouts))]
+    words += [word("data", F.lit(32 * i + 1)).alias(f"_head{i}")
+              for i in range(max(len(x.head) for x in layouts))]
+    words += [_small(word("data", F.col(f"_slot{j}") * 32 + 1)).alias(f"_offset{j}") for j in tails]
+    counts = [_small(word("data", F.col(f"_offset{j}") + 1)).alias(f"_count{j}") for j in tails]
+    kind = F.when(_fits(len(tails)), F.col("_kind")).alias("kind")
     values = [(x.spec.kind, x.values()) for x in layouts]
     columns = []
     for name, abi in payload_fields(specs).items():
-        uses = [(F.col("kind") == kind, found[name]) for kind, found in values if name in found]
+        uses = [(F.col("kind") == k, found[name]) for k, found in values if name in found]
         columns.append(_case(uses, SPARK_TYPES[abi]).alias(name))
     payload = F.when(F.col("kind").isNotNull(), F.struct(*columns)).alias("decoded")
+    steps = [F.inline(F.array(constants))]
+    steps += [F.inline(F.array(F.struct(*c))) for c in (words, counts, [kind]) if c]
+    return steps, payload
+
+
+def with_payload(events: DataFrame, specs: Iterable[EventSpec] = DEFAULT_SPECS) -> DataFrame:
+    """Set ``kind`` and ``decoded`` from topic0, topics_rest and data.
+
+    Both are NULL, with the row kept, for an unknown topic0 or a log that does
+    not fit its event's layout. Topics past those declared are ignored.
+    """
+    steps, payload = _compiled(registry(specs))
+    rows = reduce(lambda df, step: df.select("*", step), steps, events)
     return rows.select(*events.columns, "kind", payload)
 
 

@@ -210,14 +210,18 @@ def lifecycle_for(clusters: DataFrame, lifecycle: DataFrame) -> DataFrame:
 
 def overview(clusters: DataFrame, events: DataFrame, blocks: DataFrame, as_of_block: int) -> DataFrame:
     """Leader, member counts and lifecycle of every requested cluster."""
-    counts = MEMBERS.replay(events, as_of_block, blocks).groupBy(*CLUSTER).agg(
+    known = with_block_row(up_to(canonical(events).where(
+        F.col("kind").isin(*MEMBERS.kinds, *LIFECYCLE.kinds)), as_of_block), blocks)
+    folded = lambda view: view.finish(
+        view.partial(known.where(F.col("kind").isin(*view.kinds))), blocks)
+    counts = folded(MEMBERS).groupBy(*CLUSTER).agg(
         F.count(F.lit(1)).alias("members_count"),
         F.count_if(F.col("retired_at").isNull()).alias("active_count"))
     leaders = leader_for(clusters, LEADER.replay(events, as_of_block), as_of_block)
     zero = F.lit(0).cast("long")
     return (
         leaders.join(counts, CLUSTER, "left")
-        .join(LIFECYCLE.replay(events, as_of_block, blocks), CLUSTER, "left")
+        .join(folded(LIFECYCLE), CLUSTER, "left")
         .withColumns({"members_count": F.coalesce("members_count", zero),
                       "active_count": F.coalesce("active_count", zero)})
     )

@@ -44,15 +44,25 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
     return S.raw_logs(S.with_chain_columns(S.table(spark, sf, "events")))
 
 
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The block table: derived once per query, then read like any table."""
+    return sized(S.blocks(spark, sf), "blocks")
+
+
 def _heads(blocks: DataFrame) -> DataFrame:
     """Head per chain, as the small table it is in use."""
     return sized(blocks.groupBy("chain_id").agg(F.max("number").alias("head")), "heads")
 
 
-def _sunk(spark: SparkSession, sf: str) -> DataFrame:
+def _sink(spark: SparkSession, sf: str) -> DataFrame:
     return control.add_instructions(control.instructions(_events(spark, sf))[0])
 
 
+def _sunk(spark: SparkSession, sf: str) -> DataFrame:
+    """The instruction table the sink keeps: written once, then read like any table."""
+    return sized(_sink(spark, sf), "instructions")
+
+
 def _instruction_clusters(rows: DataFrame) -> DataFrame:
     return rows.select("chain_id", "cluster").distinct()
 
@@ -67,30 +77,30 @@ def leader_as_of_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(Q.MEMBERS.format(bound=AS_OF))
 def members_as_of_block(spark: SparkSession, sf: str) -> DataFrame:
-    members = views.MEMBERS.replay(_events(spark, sf), AS_OF, S.blocks(spark, sf))
+    members = views.MEMBERS.replay(_events(spark, sf), AS_OF, _blocks(spark, sf))
     return as_hex(views.in_member_order(members))
 
 
 @query(Q.MEMBERS.format(bound=AS_OF) + " WHERE tp IS NULL OR tp <= sp")
 def active_members(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(views.active(views.MEMBERS.replay(_events(spark, sf), AS_OF, S.blocks(spark, sf))))
+    return as_hex(views.active(views.MEMBERS.replay(_events(spark, sf), AS_OF, _blocks(spark, sf))))
 
 
 @query(Q.MEMBERS.format(bound=AS_OF) + " WHERE a.member_id = printf('0x%064x', 3)")
 def member_detail(spark: SparkSession, sf: str) -> DataFrame:
-    members = views.MEMBERS.replay(_events(spark, sf), AS_OF, S.blocks(spark, sf))
+    members = views.MEMBERS.replay(_events(spark, sf), AS_OF, _blocks(spark, sf))
     return as_hex(members.where(F.col("member_id") == hexes.word(F.lit(3))))
 
 
 @query(Q.LIFECYCLE.format(bound=AS_OF))
 def lifecycle_as_of_block(spark: SparkSession, sf: str) -> DataFrame:
-    ended = views.LIFECYCLE.replay(_events(spark, sf), AS_OF, S.blocks(spark, sf))
+    ended = views.LIFECYCLE.replay(_events(spark, sf), AS_OF, _blocks(spark, sf))
     return as_hex(views.lifecycle_for(S.clusters(spark, sf), ended))
 
 
 @query(Q.OVERVIEW.format(bound=AS_OF))
 def cluster_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(views.overview(S.clusters(spark, sf), _events(spark, sf), S.blocks(spark, sf), AS_OF))
+    return as_hex(views.overview(S.clusters(spark, sf), _events(spark, sf), _blocks(spark, sf), AS_OF))
 
 
 @query(Q.EV + """
@@ -110,7 +120,7 @@ f AS (SELECT chain_id, contract, member_id,
  FROM a)
 SELECT * FROM f WHERE endpoint_before_register OR retire_of_unknown""")
 def member_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(views.member_anomalies(_events(spark, sf), S.blocks(spark, sf)))
+    return as_hex(views.member_anomalies(_events(spark, sf), _blocks(spark, sf)))
 
 
 def _in_batches(view: views.StateView, events: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -122,17 +132,17 @@ def _in_batches(view: views.StateView, events: DataFrame, blocks: DataFrame) ->
 
 @query(Q.LEADER_ROWS.format(bound=S.HEAD))
 def leader_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_in_batches(views.LEADER, _events(spark, sf), S.blocks(spark, sf)))
+    return as_hex(_in_batches(views.LEADER, _events(spark, sf), _blocks(spark, sf)))
 
 
 @query(Q.MEMBERS.format(bound=S.HEAD))
 def members_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_in_batches(views.MEMBERS, _events(spark, sf), S.blocks(spark, sf)))
+    return as_hex(_in_batches(views.MEMBERS, _events(spark, sf), _blocks(spark, sf)))
 
 
 @query(Q.LIFECYCLE_ROWS.format(bound=S.HEAD))
 def lifecycle_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_in_batches(views.LIFECYCLE, _events(spark, sf), S.blocks(spark, sf)))
+    return as_hex(_in_batches(views.LIFECYCLE, _events(spark, sf), _blocks(spark, sf)))
 
 
 # --- as-of resolution ------------------------------------------------------
@@ -159,7 +169,7 @@ SELECT request_id, r.chain_id, block_number, CASE WHEN past IS NOT TRUE THEN has
  CASE WHEN past THEN 'past_head' WHEN hash IS NULL THEN 'no_block_row' ELSE 'ok' END AS status
 FROM r LEFT JOIN blk ON blk.chain_id = r.chain_id AND blk.number = r.block_number""")
 def as_of_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = S.blocks(spark, sf)
+    blocks = _blocks(spark, sf)
     state = ingest.chain_state(blocks, CONFIRMATIONS)
     return as_hex(asof.resolve(_requests(blocks), state, blocks))
 
@@ -169,7 +179,7 @@ c AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.chain_id, contract ORDER B
  FROM ev JOIN st USING (chain_id) WHERE kind = 'LeaderClaimed' AND NOT removed AND block_number <= bound)
 SELECT chain_id, contract, member_id, CAST(k AS BIGINT) AS epoch, block_number AS claimed_block FROM c WHERE rn = 1""")
 def leader_at_finalized(spark: SparkSession, sf: str) -> DataFrame:
-    state = ingest.chain_state(S.blocks(spark, sf), CONFIRMATIONS)
+    state = ingest.chain_state(_blocks(spark, sf), CONFIRMATIONS)
     bound = state.select("chain_id", F.col("finalized").alias("as_of_block"))
     return as_hex(views.LEADER.replay(_events(spark, sf), bound))
 
@@ -203,7 +213,7 @@ def duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.BLOCKS + """SELECT chain_id, number, hash, parent_hash, block_ts,
  CASE WHEN number % 97 = 0 THEN '0x' || sha256('x' || number) END AS previous_hash FROM blk""")
 def block_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    headers = S.blocks(spark, sf)
+    headers = _blocks(spark, sf)
     incoming = headers.withColumn("seq", F.col("number"))
     return as_hex(ingest.upsert_blocks(S.stored_blocks(headers), incoming))
 
@@ -214,7 +224,7 @@ def block_upsert(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN number % 97 = 0 THEN 0 ELSE block_ts END AS block_ts,
  CASE WHEN number % 97 = 0 THEN hash END AS previous_hash FROM blk""")
 def block_upsert_from_logs(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(ingest.upsert_blocks(S.blocks(spark, sf), ingest.blocks_from_logs(_events(spark, sf))))
+    return as_hex(ingest.upsert_blocks(_blocks(spark, sf), ingest.blocks_from_logs(_events(spark, sf))))
 
 
 @query(Q.EV + """SELECT chain_id, contract, max(block_number) + 1 AS next_block FROM ev GROUP BY ALL""")
@@ -252,7 +262,7 @@ p AS (SELECT CAST(1 AS INTEGER) AS chain_id, printf('0x%040x', w.a) AS contract,
 
 
 def _plan(spark: SparkSession, sf: str) -> DataFrame:
-    heads = _heads(S.blocks(spark, sf))
+    heads = _heads(_blocks(spark, sf))
     return ingest.plan_backfill(S.watched(spark, sf), _order_cursors(spark, sf), heads)
 
 
@@ -292,7 +302,7 @@ def log_scan_by_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(Q.BLOCKS + """SELECT chain_id, max(number) AS head, CAST(max(number) - 12 AS BIGINT) AS finalized FROM blk GROUP BY 1""")
 def chain_state(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.chain_state(S.blocks(spark, sf), CONFIRMATIONS)
+    return ingest.chain_state(_blocks(spark, sf), CONFIRMATIONS)
 
 
 # --- decoding --------------------------------------------------------------
@@ -455,7 +465,7 @@ def text_from_hex(spark: SparkSession, sf: str) -> DataFrame:
 FROM blk h JOIN blk s ON s.chain_id = h.chain_id AND s.number IN (h.number, h.number - 1)
 GROUP BY ALL HAVING parent_mismatch OR hash_changed""")
 def reorg_detection(spark: SparkSession, sf: str) -> DataFrame:
-    headers = S.blocks(spark, sf)
+    headers = _blocks(spark, sf)
     return reorg.detect(headers, S.stored_blocks(headers))
 
 
@@ -463,7 +473,7 @@ def reorg_detection(spark: SparkSession, sf: str) -> DataFrame:
  WHEN number = 0 THEN 0 ELSE number END AS ancestor, 'OK' AS status FROM blk""")
 def common_ancestor(spark: SparkSession, sf: str) -> DataFrame:
     """Every stored block taken in turn as the head where a fork was seen."""
-    headers = S.blocks(spark, sf)
+    headers = _blocks(spark, sf)
     heads = headers.select("chain_id", F.col("number").alias("head"))
     return reorg.common_ancestor(heads, S.stored_blocks(headers), headers, CONFIRMATIONS)
 
@@ -471,21 +481,21 @@ def common_ancestor(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.EV + "SELECT event_id, chain_id, block_number, removed FROM ev")
 def removed_from_canonical_chain(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf).withColumn("removed", F.lit(False))
-    orphans = reorg.orphan_blocks(events, S.blocks(spark, sf))
+    orphans = reorg.orphan_blocks(events, _blocks(spark, sf))
     return reorg.mark_removed(events, orphans).select("event_id", "chain_id", "block_number", "removed")
 
 
 @query(Q.EV + "SELECT event_id, chain_id, block_number FROM ev WHERE NOT removed")
 def canonical_survivors(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf)
-    orphans = reorg.orphan_blocks(events, S.blocks(spark, sf))
+    orphans = reorg.orphan_blocks(events, _blocks(spark, sf))
     return reorg.survivors(events, orphans).select("event_id", "chain_id", "block_number")
 
 
 @query(Q.EV + """SELECT chain_id, count(*) FILTER (block_number > 600 + chain_id AND NOT removed) AS removed_rows
 FROM ev GROUP BY 1""")
 def rollback_counts(spark: SparkSession, sf: str) -> DataFrame:
-    ancestors = _heads(S.blocks(spark, sf)).select("chain_id", (F.col("chain_id") + 600).cast("long").alias("ancestor"))
+    ancestors = _heads(_blocks(spark, sf)).select("chain_id", (F.col("chain_id") + 600).cast("long").alias("ancestor"))
     return reorg.rollback_counts(reorg.roll_back(_events(spark, sf), ancestors))
 
 
@@ -656,13 +666,13 @@ def ack_sink_per_member(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(Q.SUNK + "SELECT row_id, chain_id, cluster, nonce, expiry, block_number FROM ins")
 def instruction_sink(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_sunk(spark, sf).select("row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
+    return as_hex(_sink(spark, sf).select("row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
 
 
 @query(Q.ORDERED.format(initial="0", head="hd.head") + """SELECT row_id, chain_id, cluster, nonce, outcome,
  CAST(next_expected AS BIGINT) AS next_expected FROM lab""")
 def instruction_order(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = orderer.order(_sunk(spark, sf), _heads(S.blocks(spark, sf)))
+    ordered = orderer.order(_sunk(spark, sf), _heads(_blocks(spark, sf)))
     return as_hex(ordered.select("row_id", "chain_id", "cluster", "nonce", "outcome", "next_expected"))
 
 
@@ -671,7 +681,7 @@ def instruction_order(spark: SparkSession, sf: str) -> DataFrame:
  max(nonce) FILTER (outcome = 'AwaitingPredecessor') AS highest_buffered,
  count(*) FILTER (outcome = 'AwaitingPredecessor') AS buffered FROM lab WHERE final GROUP BY ALL""")
 def instruction_cursors(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(orderer.cursors(_sunk(spark, sf), _heads(S.blocks(spark, sf))))
+    return as_hex(orderer.cursors(_sunk(spark, sf), _heads(_blocks(spark, sf))))
 
 
 @query(Q.ORDERED.format(
@@ -681,13 +691,13 @@ def instruction_cursors(spark: SparkSession, sf: str) -> DataFrame:
 def instruction_order_cold_start(spark: SparkSession, sf: str) -> DataFrame:
     rows = _sunk(spark, sf)
     initial = control.start_cursors(rows, _instruction_clusters(rows), 20)
-    ordered = orderer.order(rows, _heads(S.blocks(spark, sf)), initial)
+    ordered = orderer.order(rows, _heads(_blocks(spark, sf)), initial)
     return as_hex(ordered.select("row_id", "chain_id", "cluster", "nonce", "outcome", "next_expected"))
 
 
 @query(Q.ORDERED.format(initial="0", head=str(EARLIER)) + """SELECT row_id, chain_id, cluster, nonce, outcome FROM lab""")
 def instruction_finality(spark: SparkSession, sf: str) -> DataFrame:
-    heads = _heads(S.blocks(spark, sf)).withColumn("head", F.lit(EARLIER).cast("long"))
+    heads = _heads(_blocks(spark, sf)).withColumn("head", F.lit(EARLIER).cast("long"))
     ordered = orderer.order(_sunk(spark, sf), heads)
     return as_hex(ordered.select("row_id", "chain_id", "cluster", "nonce", "outcome"))
 
@@ -706,7 +716,7 @@ def instructions_since(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ordered_at(spark: SparkSession, sf: str, head: int | None) -> DataFrame:
-    heads = _heads(S.blocks(spark, sf))
+    heads = _heads(_blocks(spark, sf))
     if head is not None:
         heads = heads.withColumn("head", F.lit(head).cast("long"))
     rows = _sunk(spark, sf).withColumn("buffered_at", S.block_ts(F.col("block_number")))
@@ -763,7 +773,7 @@ def closed_holes(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.ORDERED.format(initial="0", head="hd.head") + """SELECT row_id, chain_id, cluster, nonce FROM lab
 WHERE outcome IN ('AwaitingPredecessor', 'NotFinal') AND block_number <= 500 + chain_id""")
 def reorg_buffer_eviction(spark: SparkSession, sf: str) -> DataFrame:
-    heads = _heads(S.blocks(spark, sf))
+    heads = _heads(_blocks(spark, sf))
     waiting = orderer.order(_sunk(spark, sf), heads).where(
         F.col("outcome").isin(orderer.AWAITING, orderer.NOT_FINAL))
     ancestors = heads.select("chain_id", (F.col("chain_id") + 500).alias("ancestor"))
@@ -822,7 +832,7 @@ def subscription_backlog(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.EV + """SELECT 'chain-' || chain_id AS shortname, chain_id, max(block_number) AS head_block,
  CAST(max(block_number) - 12 AS BIGINT) AS finalized_block, max(event_id) AS last_event_id FROM ev GROUP BY chain_id""")
 def chain_summary(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = S.blocks(spark, sf)
+    blocks = _blocks(spark, sf)
     chains = _heads(blocks).select(F.concat(F.lit("chain-"), F.col("chain_id").cast("string")).alias("shortname"), "chain_id")
     return health.chain_summary(chains, ingest.chain_state(blocks, CONFIRMATIONS), _events(spark, sf))
 
@@ -832,7 +842,7 @@ def chain_summary(spark: SparkSession, sf: str) -> DataFrame:
  CAST(max(block_number) - 12 AS BIGINT) AS finalized_block, CAST(1706745600 - max(block_ts) AS BIGINT) AS lag_seconds
 FROM ev GROUP BY chain_id""")
 def ingest_health(spark: SparkSession, sf: str) -> DataFrame:
-    events, blocks = _events(spark, sf), S.blocks(spark, sf)
+    events, blocks = _events(spark, sf), _blocks(spark, sf)
     return health.ingest_health(S.redelivered(events), blocks, ingest.chain_state(blocks, CONFIRMATIONS),
                                 reorg.orphan_blocks(events, blocks), now=1706745600)
 
@@ -890,7 +900,7 @@ SELECT chain_id, contract, '0x' || sha256('{{"asOfBlock":360,"epoch":' || epoch
 FROM leader JOIN hd USING (chain_id)""")
 def leader_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     leaders = views.leader_for(S.clusters(spark, sf), views.LEADER.replay(_events(spark, sf), AS_OF), AS_OF)
-    prints = audit.fingerprints(leaders, audit.leader_json(), _resolved(S.blocks(spark, sf)))
+    prints = audit.fingerprints(leaders, audit.leader_json(), _resolved(_blocks(spark, sf)))
     return as_hex(prints.select(*views.CLUSTER, "fingerprint"))
 
 
@@ -911,7 +921,7 @@ fp AS (SELECT chain_id, contract, '0x' || sha256('{{"dnsLabel":' || {JSON_TEXT.f
  FROM mem JOIN hd USING (chain_id))
 SELECT chain_id, contract, count(*) AS rows, '0x' || sha256({_hash_words('f')}) AS fingerprint FROM fp GROUP BY ALL""")
 def member_set_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = S.blocks(spark, sf)
+    blocks = _blocks(spark, sf)
     members = views.MEMBERS.replay(_events(spark, sf), AS_OF, blocks)
     prints = audit.fingerprints(members, audit.member_json(), _resolved(blocks))
     return as_hex(audit.combined_fingerprint(prints, views.CLUSTER))
@@ -926,7 +936,7 @@ SELECT chain_id, contract, 'lifecycle', 360, '', '{{"destroyedAt":' || coalesce(
 FROM leader LEFT JOIN lf USING (chain_id, contract) WHERE chain_id = 2""")
 def as_of_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots to add where those of chain 1 are stored already."""
-    events, blocks = _events(spark, sf), S.blocks(spark, sf)
+    events, blocks = _events(spark, sf), _blocks(spark, sf)
     endpoint = F.explode(F.array(F.lit("leader"), F.lit("lifecycle"))).alias("endpoint")
     requests = S.clusters(spark, sf).select("chain_id", "contract", endpoint, F.lit(AS_OF).cast("long").alias("as_of_block"))
     held = requests.where(F.col("chain_id") == 1).join(
@@ -955,7 +965,7 @@ def _drain(spark: SparkSession, stream: DataFrame, body, name: str) -> None:
 
 def _ingest(spark: SparkSession, sf: str) -> jobs.IngestJob:
     """The ingest job run over redelivered raw logs in several micro-batches."""
-    blocks = S.blocks(spark, sf)
+    blocks = _blocks(spark, sf)
     folder = _staged(spark, S.redelivered(_raw(spark, sf)).drop("delivery"), "raw-logs")
     job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
     stream = logs.stream_logs(spark, folder, files_per_batch=1)
@@ -1002,7 +1012,7 @@ def stream_lifecycle_view(spark: SparkSession, sf: str) -> DataFrame:
 def stream_leader_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
     """View state rebuilt once the canonical chain shows orphaned blocks."""
     job = _ingest(spark, sf)
-    job.rebuild("leader", STREAM_FILES, reorg.orphan_blocks(job.log.read(), S.blocks(spark, sf)))
+    job.rebuild("leader", STREAM_FILES, reorg.orphan_blocks(job.log.read(), _blocks(spark, sf)))
     return as_hex(job.view("leader"))
 
 
@@ -1014,7 +1024,7 @@ def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.BLOCKS + "SELECT * FROM blk")
 def stream_block_table(spark: SparkSession, sf: str) -> DataFrame:
     """Stored blocks first, then the canonical headers that replace the orphaned ones."""
-    headers = S.blocks(spark, sf)
+    headers = _blocks(spark, sf)
     job = jobs.BlockJob(spark, work_dir(spark, "blocks"))
     for part, rows in enumerate((S.stored_blocks(headers), headers)):
         stream = logs.stream_headers(spark, _staged(spark, rows, f"headers-{part}"), files_per_batch=1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "logtide") -> SparkSession:
+                  app_name: str = "logtide", memory: str | None = None) -> SparkSession:
     """Session with adaptive execution and the RocksDB state store.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the submit
@@ -22,11 +22,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # a long-lived session meets more plans than the default cache of 100 holds
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # call-site capture costs several calls into the JVM per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master).config("spark.driver.host", "localhost")
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -39,7 +45,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     made only where that is unset and the master is local, as in tests.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -8,6 +8,8 @@ nothing here shuffles but the distinct block list.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logtide.functions.hexes import ZERO32, word
@@ -97,8 +99,8 @@ def _payload_values() -> dict[str, dict[str, Column]]:
     }
 
 
-def with_payload(rows: DataFrame) -> DataFrame:
-    """Chain columns with the typed payload a decoder would give."""
+@lru_cache(maxsize=1)
+def _payload_column() -> Column:
     values = _payload_values()
     columns = []
     for name, abi in payload_fields(DEFAULT_SPECS).items():
@@ -109,7 +111,12 @@ def with_payload(rows: DataFrame) -> DataFrame:
             for kind, value in users[1:]:
                 column = column.when(F.col("kind") == kind, value)
         columns.append(column.alias(name))
-    return rows.withColumn("decoded", F.struct(*columns)).drop("k", "m", "user")
+    return F.struct(*columns)
+
+
+def with_payload(rows: DataFrame) -> DataFrame:
+    """Chain columns with the typed payload a decoder would give."""
+    return rows.withColumn("decoded", _payload_column()).drop("k", "m", "user")
 
 
 def contract_events(spark: SparkSession, sf_dir: str) -> DataFrame:

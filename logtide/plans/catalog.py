@@ -948,43 +948,52 @@ def as_of_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams ---------------------------------------------------------------
 
-STREAM_FILES = 3
+STREAM_PARTS = 3
 
 
-def _staged(spark: SparkSession, rows: DataFrame, name: str) -> str:
-    """Rows laid out as a growing table: a few files in arrival order, one per micro-batch."""
-    folder = work_dir(spark, name)
-    order = "seq" if "seq" in rows.columns else "event_id" if "event_id" in rows.columns else "number"
-    rows.repartitionByRange(STREAM_FILES, order).write.parquet(folder)
-    return folder
+def _feed(rows: DataFrame, order: str, folder: str, drain: Callable[[], None]) -> None:
+    """Rows appended to a growing table in arrival order, the job run after each append.
 
-
-def _drain(spark: SparkSession, stream: DataFrame, body, name: str) -> None:
-    jobs.run(stream, body, work_dir(spark, f"{name}-checkpoint")).awaitTermination()
+    Every run resumes from its checkpoint and takes the new files as one
+    micro-batch, so what arrives when does not depend on file times.
+    """
+    last = rows.agg(F.max(order)).first()[0] or 0
+    part = F.floor(F.col(order) * STREAM_PARTS / (last + 1))
+    for number in range(STREAM_PARTS):
+        rows.where(part == number).write.mode("append").parquet(folder)
+        drain()
 
 
 def _ingest(spark: SparkSession, sf: str) -> jobs.IngestJob:
     """The ingest job run over redelivered raw logs in several micro-batches."""
     blocks = _blocks(spark, sf)
-    folder = _staged(spark, S.redelivered(_raw(spark, sf)).drop("delivery"), "raw-logs")
+    watched = sized(S.clusters(spark, sf).withColumnRenamed("contract", "address"), "watched")
     job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
-    stream = logs.stream_logs(spark, folder, files_per_batch=1)
-    _drain(spark, jobs.watched_only(stream, S.clusters(spark, sf).withColumnRenamed("contract", "address")),
-           job, "ingest")
+    folder, checkpoint = work_dir(spark, "raw-logs"), work_dir(spark, "ingest-checkpoint")
+
+    def drain() -> None:
+        stream = jobs.watched_only(logs.stream_logs(spark, folder), watched)
+        jobs.run(stream, job, checkpoint).awaitTermination()
+
+    _feed(S.redelivered(_raw(spark, sf)).drop("delivery"), "event_id", folder, drain)
     return job
 
 
-_FINISHED: dict[tuple[str, str], jobs.IngestJob] = {}
+_FINISHED: dict[tuple, object] = {}
 
 
-def _ingested(spark: SparkSession, sf: str) -> jobs.IngestJob:
-    """One finished ingest run per session and table folder, read by several queries."""
-    key = (spark.sparkContext.applicationId, sf)
+def _once(spark: SparkSession, sf: str, run: Callable):
+    """One finished run per session and table folder, read by several queries."""
+    key = (spark.sparkContext.applicationId, sf, run.__name__)
     if key not in _FINISHED:
-        _FINISHED[key] = _ingest(spark, sf)
+        _FINISHED[key] = run(spark, sf)
     return _FINISHED[key]
 
 
+def _ingested(spark: SparkSession, sf: str) -> jobs.IngestJob:
+    return _once(spark, sf, _ingest)
+
+
 STREAMED_EV = Q.EV.replace("block_number % 97 = 0 AS removed", "false AS removed")
 
 
@@ -1012,7 +1021,7 @@ def stream_lifecycle_view(spark: SparkSession, sf: str) -> DataFrame:
 def stream_leader_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
     """View state rebuilt once the canonical chain shows orphaned blocks."""
     job = _ingest(spark, sf)
-    job.rebuild("leader", STREAM_FILES, reorg.orphan_blocks(job.log.read(), _blocks(spark, sf)))
+    job.rebuild("leader", STREAM_PARTS, reorg.orphan_blocks(job.log.read(), _blocks(spark, sf)))
     return as_hex(job.view("leader"))
 
 
@@ -1026,14 +1035,18 @@ def stream_block_table(spark: SparkSession, sf: str) -> DataFrame:
     """Stored blocks first, then the canonical headers that replace the orphaned ones."""
     headers = _blocks(spark, sf)
     job = jobs.BlockJob(spark, work_dir(spark, "blocks"))
-    for part, rows in enumerate((S.stored_blocks(headers), headers)):
-        stream = logs.stream_headers(spark, _staged(spark, rows, f"headers-{part}"), files_per_batch=1)
-        shifted = lambda batch, n, base=part * 100: job(batch, base + n)
-        _drain(spark, stream, shifted, f"headers-{part}")
+    arrivals = S.stored_blocks(headers).withColumn("round", F.lit(0)).unionByName(
+        headers.withColumn("round", F.lit(1)))
+    folder, checkpoint = work_dir(spark, "headers"), work_dir(spark, "headers-checkpoint")
+
+    def drain() -> None:
+        jobs.run(logs.stream_headers(spark, folder), job, checkpoint).awaitTermination()
+
+    _feed(arrivals, "round", folder, drain)
     return as_hex(job.blocks())
 
 
-def _delivered(spark: SparkSession, sf: str) -> jobs.OrderedDelivery:
+def _deliver(spark: SparkSession, sf: str) -> jobs.OrderedDelivery:
     """Instructions and heads streamed in arrival order through ordered delivery."""
     rows = control.instructions(_events(spark, sf).where(~F.col("removed")))[0]
     sent = rows.withColumns({"row_type": F.lit(jobs.INSTRUCTION_ROW), "seq": F.col("row_id") * 2})
@@ -1042,10 +1055,15 @@ def _delivered(spark: SparkSession, sf: str) -> jobs.OrderedDelivery:
     beats = _events(spark, sf).groupBy("chain_id", "block_number").agg(
         (F.max("event_id") * 2 + 1).alias("seq")).select(
         F.lit(jobs.HEAD_ROW).alias("row_type"), "seq", "chain_id", "block_number", *blank)
-    order = jobs.ORDERER_INPUT.fieldNames()
-    folder = _staged(spark, sent.select(order).unionByName(beats.select(order)), "control-rows")
+    columns = jobs.ORDERER_INPUT.fieldNames()
     job = jobs.OrderedDelivery(spark, work_dir(spark, "delivery"), clock=lambda: TICK_NOW)
-    _drain(spark, logs.stream_table(spark, folder, jobs.ORDERER_INPUT, 1), job, "delivery")
+    folder, checkpoint = work_dir(spark, "control-rows"), work_dir(spark, "delivery-checkpoint")
+
+    def drain() -> None:
+        stream = logs.stream_table(spark, folder, jobs.ORDERER_INPUT)
+        jobs.run(stream, job, checkpoint).awaitTermination()
+
+    _feed(sent.select(columns).unionByName(beats.select(columns)), "seq", folder, drain)
     return job
 
 
@@ -1054,7 +1072,7 @@ DELIVERED = Q.ORDERED.format(initial="0", head="hd.head")
 
 @query(DELIVERED + "SELECT row_id, chain_id, cluster, nonce, block_number FROM lab WHERE outcome = 'Dispatched'")
 def stream_ordered_delivery(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_delivered(spark, sf).dispatched().select(
+    return as_hex(_once(spark, sf, _deliver).dispatched().select(
         "row_id", "chain_id", "cluster", "nonce", "block_number"))
 
 
@@ -1062,7 +1080,7 @@ def stream_ordered_delivery(spark: SparkSession, sf: str) -> DataFrame:
 FROM lab, unnest(string_split(targets, ',')) AS u(t) WHERE outcome = 'Dispatched'""")
 def stream_member_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Delivered instructions by audience, acks never among them."""
-    return as_hex(control.by_audience(_delivered(spark, sf).dispatched()).select(
+    return as_hex(control.by_audience(_once(spark, sf, _deliver).dispatched()).select(
         "row_id", "cluster", "nonce", "member_id"))
 
 
@@ -1072,9 +1090,14 @@ def stream_subscription(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.redelivered(_events(spark, sf).select("event_id", "chain_id", "contract", "kind", "block_number"))
     timed = rows.withColumns({"at": F.timestamp_seconds(S.block_ts(F.col("block_number"))),
                               "removed": F.lit(False)}).drop("delivery", "block_number")
-    stream = logs.stream_table(spark, _staged(spark, timed, "deliveries"), timed.schema, 1)
-    kept = jobs.recent_once(feeds.subscription(stream, since=50), "at", "31 days")
-    out = work_dir(spark, "subscription")
-    kept.writeStream.format("parquet").option("checkpointLocation", work_dir(spark, "subscription-checkpoint")).trigger(
-        availableNow=True).start(out).awaitTermination()
+    folder, out = work_dir(spark, "deliveries"), work_dir(spark, "subscription")
+    checkpoint = work_dir(spark, "subscription-checkpoint")
+
+    def drain() -> None:
+        stream = logs.stream_table(spark, folder, timed.schema)
+        kept = jobs.recent_once(feeds.subscription(stream, since=50), "at", "31 days")
+        kept.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start(out).awaitTermination()
+
+    _feed(timed, "event_id", folder, drain)
     return as_hex(spark.read.schema(timed.schema).parquet(out).select("event_id", "chain_id", "contract"))

@@ -45,6 +45,11 @@ def map_arrow(frame: DataFrame, run: Callable, schema) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def fold(count: int, name: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``count``; a null id reads as empty text."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % count
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose texts add up to about ``limit`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import licenses, simhash, token_counts
-from logtide.llm.batches import documents
+from logtide.llm import langid, licenses, phrases, simhash, token_counts
+from logtide.llm.batches import documents, fold
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(4) == 2
+    return langid.identify(documents(spark, sf_dir), ~held_out, held_out=held_out)
+
+
+def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_next(documents(spark, sf_dir))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op8_token_counts, op9_license_scan, op10_simhash)
+    q.__name__: q for q in (op3_language_id, op5_phrase_fingerprints, op8_token_counts, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {}

@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import langid, licenses, phrases, simhash, token_counts
+from logtide.llm import langid, licenses, mjpeg, phrases, pieces, simhash, token_counts
 from logtide.llm.batches import documents, fold
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.code_texts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.store_texts(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(4) == 2
     return langid.identify(documents(spark, sf_dir), ~held_out, held_out=held_out)
@@ -35,6 +43,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op3_language_id, op5_phrase_fingerprints, op8_token_counts, op9_license_scan, op10_simhash)
+    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op5_phrase_fingerprints, op8_token_counts, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import langid, licenses, mjpeg, phrases, pieces, simhash, token_counts
+from logtide.llm import langid, licenses, mixing, mjpeg, phrases, pieces, shards, simhash, token_counts
 from logtide.llm.batches import documents, fold
 
 
@@ -25,10 +25,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir), ~held_out, held_out=held_out)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(documents(spark, sf_dir))
+
+
 def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.compare_with_next(documents(spark, sf_dir))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +51,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op5_phrase_fingerprints, op8_token_counts, op9_license_scan, op10_simhash)
+    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op4_mixing, op5_phrase_fingerprints, op7_shards, op8_token_counts, op9_license_scan, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}

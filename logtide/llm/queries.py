@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import langid, licenses, mixing, mjpeg, phrases, pieces, shards, simhash, token_counts
+from logtide.llm import langid, licenses, mixing, mjpeg, phrases, pieces, shards, simhash, token_counts, toxicity
 from logtide.llm.batches import documents, fold
 
 
@@ -33,6 +33,12 @@ def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.compare_with_next(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(3) == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents(spark, sf_dir), labels, ~held_out, held_out=held_out)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(documents(spark, sf_dir))
 
@@ -51,6 +57,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op4_mixing, op5_phrase_fingerprints, op7_shards, op8_token_counts, op9_license_scan, op10_simhash)
+    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op4_mixing, op5_phrase_fingerprints, op6_toxicity, op7_shards, op8_token_counts, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}

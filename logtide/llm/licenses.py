@@ -74,6 +74,11 @@ def label_of(name: str) -> str:
     return found.group(1) if found else name
 
 
+def is_name(token: str) -> bool:
+    """A known family, or what looks like an identifier; other words are prose."""
+    return label_of(token) in FREEDOM or bool(re.search(r"[\d-]", token))
+
+
 def tokens_of(line: str) -> list[str]:
     """Expression tokens up to the first thing that cannot belong to one."""
     out, at, after_name, depth = [], 0, False, 0
@@ -82,12 +87,14 @@ def tokens_of(line: str) -> list[str]:
         # a name can follow only an operator or "(", so prose after it ends the expression
         if token == "(" and after_name or token == ")" and not depth:
             break
-        if token not in BINDS and token not in "()" and after_name:
+        if token not in BINDS and token not in "()" and (after_name or not is_name(token)):
             break
         depth += (token == "(") - (token == ")")
         after_name = token not in BINDS and token != "("
         out.append(token)
         at = found.end()
+    while out and out[-1] in BINDS:
+        out.pop()
     return out
 
 

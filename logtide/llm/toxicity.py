@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from logtide.llm import batches
 from logtide.session import work_dir
 
-ORDER, SHARED, BITS, DISCOUNT = 6, 3, 10, 0.75
+ORDER, SHARED, BITS, DISCOUNT = 6, 1, 10, 0.75
 #: Evidence per character at which the score is one half, its slope, and the score of a rejected text.
 MIDDLE, SLOPE, REJECT = 1.5, 4.0, 0.7
-#: Places of the table of each order (primes); contexts use the table of their own order.
-PLACES = {6: 16_777_213, 5: 8_388_593, 4: 4_194_301, 3: 1_048_573, 2: 65_521, 1: 1_021, 0: 1}
+#: Places of the table of each order: primes far from powers of two, as n-grams are packed by bits.
+PLACES = {6: 15_485_863, 5: 7_368_787, 4: 3_497_861, 3: 1_299_709, 2: 104_729, 1: 1_223, 0: 1}
 #: Counts are kept in a byte: 0, or 1 plus eight times the binary logarithm.
 COUNTS = np.concatenate([[0], 2.0 ** (np.arange(255) / 8)])
 WORD = re.compile(r"[^\W_]+")

@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,9 +132,14 @@ def tables(grams: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return out
 
 
+def packed(stored: dict[tuple[str, int], np.ndarray]) -> dict:
+    """Tables as compressed bytes: mostly empty ones stay small on their way to the tasks."""
+    return {key: zstandard.compress(array.tobytes(), 1) for key, array in stored.items()}
+
+
 class Model:
     def __init__(self, stored: dict):
-        self.stored = stored
+        self.stored = {key: np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1) for key, data in stored.items()}
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio of each word, by its length."""
@@ -172,8 +178,8 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column):
-    """Broadcast model tables (about 110 MB, for any corpus)."""
-    stored = tables(gram_counts(labelled(docs, labels, usable)))
+    """Broadcast model tables (at most about 110 MB, for any corpus)."""
+    stored = packed(tables(gram_counts(labelled(docs, labels, usable))))
     return docs.sparkSession.sparkContext.broadcast(stored)
 
 

@@ -170,9 +170,13 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """text and toxic of the documents that may be learned from."""
+    """text and toxic of the documents that may be learned from.
+
+    Both sides go by id at any size, so that the plan measured is the plan at scale; only
+    the labels of a partition are held in memory and the texts are not sorted.
+    """
     known = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
+        F.max(F.col("toxic").cast("int")).alias("toxic")).hint("shuffle_hash")
     return (docs.select("doc_id", "text").filter(usable & F.col("text").isNotNull())
             .join(known, F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
 

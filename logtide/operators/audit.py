@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtide.functions import canonical as C, hexes
 from logtide.operators import views
 from logtide.operators.pages import PROOF_KINDS
+from logtide.session import per_chain
 
 
 # --- drift -----------------------------------------------------------------
@@ -87,7 +88,7 @@ def fingerprints(rows: DataFrame, data: Column, resolved: DataFrame) -> DataFram
     record = resolved.where(F.col("status") == "ok").select("chain_id", as_of_json(
         F.col("block_number"), F.col("block_hash"), F.col("block_timestamp"),
         F.col("finalized_block"), F.col("safety")).alias("_as_of"))
-    return rows.withColumn("_data", data).join(record, "chain_id").withColumn(
+    return rows.withColumn("_data", data).join(per_chain(record), "chain_id").withColumn(
         "fingerprint", C.fingerprint(F.col("_data"), F.col("_as_of"))).drop("_data", "_as_of")
 
 

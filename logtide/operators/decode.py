@@ -276,22 +276,23 @@ def decode_logs(raw: DataFrame, specs: Iterable[EventSpec] = DEFAULT_SPECS
 
 
 def decode_late(events: DataFrame, specs: Iterable[EventSpec]) -> DataFrame:
-    """Decode stored rows whose kind is NULL with a newer registry; others stay as they are."""
+    """Decode stored rows whose kind is NULL with a newer registry; others stay as they are.
+
+    Rows with a kind are not decoded again. Their payload keeps every field it
+    has, also those the newer registry no longer knows.
+    """
     specs = registry(specs)
-    old = events.schema["decoded"].dataType.fieldNames()
-    held = events.withColumnsRenamed({"kind": "_old_kind", "decoded": "_old_decoded"})
-    fresh = with_payload(held, specs)
-    fields = []
-    for name, abi in payload_fields(specs).items():
-        stored = F.col(f"_old_decoded.{name}") if name in old else F.lit(None).cast(SPARK_TYPES[abi])
-        fields.append(F.when(F.col("_old_kind").isNull(), F.col(f"decoded.{name}"))
-                      .otherwise(stored).alias(name))
-    kind = F.coalesce("_old_kind", "kind")
-    return (
-        fresh.withColumn("decoded", F.when(kind.isNotNull(), F.struct(*fields)))
-        .withColumn("kind", kind)
-        .select(events.columns)
-    )
+    known = {f.name: f.dataType for f in events.schema["decoded"].dataType.fields}
+    fresh = with_payload(events.where(F.col("kind").isNull()).drop("kind", "decoded"), specs)
+    types = known | {f.name: f.dataType for f in fresh.schema["decoded"].dataType.fields}
+
+    def widened(rows: DataFrame) -> DataFrame:
+        has = rows.schema["decoded"].dataType.fieldNames()
+        fields = [(F.col(f"decoded.{n}") if n in has else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
+        payload = F.when(F.col("kind").isNotNull(), F.struct(*fields))
+        return rows.withColumn("decoded", payload).select(events.columns)
+
+    return widened(events.where(F.col("kind").isNotNull())).unionByName(widened(fresh))
 
 
 # --- JSON form -------------------------------------------------------------

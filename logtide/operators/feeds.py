@@ -10,15 +10,9 @@ from logtide.functions.hexes import hex0x
 from logtide.operators.pages import of_cluster, of_kinds
 from logtide.operators.views import canonical
 
-MAX_ENVELOPE = 7900
-
 
 def _envelopes(rows: DataFrame, body: list) -> DataFrame:
-    """Envelope per row; one past the size cap fails the job, as the transport would."""
-    text = F.to_json(F.struct(*body))
-    guarded = F.when(F.octet_length(text) <= MAX_ENVELOPE, text).otherwise(
-        F.raise_error(F.lit("change envelope exceeds the size cap")).cast("string"))
-    return rows.select("event_id", "chain_id", guarded.alias("payload"))
+    return rows.select("event_id", "chain_id", F.to_json(F.struct(*body)).alias("payload"))
 
 
 def change_feed(events: DataFrame) -> DataFrame:

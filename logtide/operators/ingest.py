@@ -136,7 +136,7 @@ def latest_blocks(rows: DataFrame) -> DataFrame:
     per_hash = rows.groupBy("chain_id", "number", "hash").agg(
         _latest_known("parent_hash", F.col("parent_hash") != F.lit(ZERO_HASH)),
         _latest_known("block_ts", F.col("block_ts") != 0), F.max("seq").alias("last_seq"))
-    best = F.max_by(F.struct("hash", "parent_hash", "block_ts", "last_seq"), "last_seq").alias("now")
+    best = F.max_by(F.struct("hash", "parent_hash", "block_ts", "last_seq"), F.struct("last_seq", "hash")).alias("now")
     return per_hash.groupBy("chain_id", "number").agg(best).select(
         "chain_id", "number", F.col("now.hash").alias("hash"),
         F.coalesce("now.parent_hash", F.lit(ZERO_HASH)).alias("parent_hash"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.operators.control import CLUSTER, CONFIRMATIONS
-from logtide.session import sized
+from logtide.session import per_chain, sized
 
 MAX_BUFFER = 100
 MAX_BUFFER_AGE = 3600
@@ -29,8 +29,8 @@ def has_finality(block: Column, head: Column, confirmations: int = CONFIRMATIONS
 
 
 def _prepared(rows: DataFrame, heads: DataFrame, initial: DataFrame | None,
-              confirmations: int) -> DataFrame:
-    rows = rows.join(heads.select("chain_id", "head"), "chain_id", "left")
+              confirmations: int, headless_final: bool = True) -> DataFrame:
+    rows = rows.join(per_chain(heads.select("chain_id", "head")), "chain_id", "left")
     if initial is None:
         rows = rows.withColumn("initial", F.lit(0).cast("long"))
     else:
@@ -38,7 +38,8 @@ def _prepared(rows: DataFrame, heads: DataFrame, initial: DataFrame | None,
     head = F.coalesce("head", F.lit(0))
     return rows.withColumns({
         "initial": F.coalesce("initial", F.lit(0)),
-        "final": has_finality(F.col("block_number"), head, confirmations),
+        "final": has_finality(F.col("block_number"), head, confirmations)
+        & (F.lit(headless_final) | F.col("head").isNotNull()),
     }).drop("head")
 
 
@@ -68,15 +69,18 @@ def run_ends(prepared: DataFrame) -> DataFrame:
 
 
 def order(rows: DataFrame, heads: DataFrame, initial: DataFrame | None = None,
-          confirmations: int = CONFIRMATIONS) -> DataFrame:
+          confirmations: int = CONFIRMATIONS, headless_final: bool = True) -> DataFrame:
     """Instructions with ``outcome`` and their cluster's ``next_expected``.
 
+    A chain without a head leaves the gate open, as a batch over finished data
+    wants it; a live job closes it with ``headless_final=False``.
+
     ``rows`` holds one row per (cluster, nonce), as the sink keeps them.
     ``heads`` is (chain_id, head); ``initial`` is (chain_id, cluster, initial).
     The run ends (one row per cluster) are written first, so this runs a job;
     the labelling pass then need not shuffle the instructions by cluster.
     """
-    prepared = _prepared(rows, heads, initial, confirmations)
+    prepared = _prepared(rows, heads, initial, confirmations, headless_final)
     ends = sized(run_ends(prepared).select(*CLUSTER, F.col("next_expected").alias("_end")), "run-ends")
     labelled = prepared.join(ends, CLUSTER, "left").withColumn(
         "next_expected", F.coalesce("_end", "initial"))
@@ -134,7 +138,7 @@ def evict_above(rows: DataFrame, ancestors: DataFrame) -> DataFrame:
     ``ancestors`` is (chain_id, ancestor), one row per reorganised chain.
     """
     return (
-        rows.join(ancestors.select("chain_id", "ancestor"), "chain_id", "left")
+        rows.join(per_chain(ancestors.select("chain_id", "ancestor")), "chain_id", "left")
         .where(F.col("ancestor").isNull() | (F.col("block_number") <= F.col("ancestor")))
         .drop("ancestor")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logtide.session import sized
+from logtide.session import per_chain, sized
 
 
 def detect(headers: DataFrame, stored: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def roll_back(rows: DataFrame, ancestors: DataFrame) -> DataFrame:
     """
     above = F.coalesce(F.col("block_number") > F.col("ancestor"), F.lit(False))
     return (
-        rows.join(ancestors.select("chain_id", "ancestor"), "chain_id", "left")
+        rows.join(per_chain(ancestors.select("chain_id", "ancestor")), "chain_id", "left")
         .withColumn("flipped", above & ~F.col("removed"))
         .withColumn("removed", F.col("removed") | above)
         .drop("ancestor")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logtide.functions import hexes
-from logtide.session import sized
+from logtide.session import per_chain, sized
 
 CLUSTER = ["chain_id", "contract"]
 MEMBER = ["chain_id", "contract", "member_id"]
@@ -58,21 +58,26 @@ def up_to(rows: DataFrame, as_of: int | DataFrame | None) -> DataFrame:
         return rows
     if isinstance(as_of, int):
         return rows.where(F.col("block_number") <= as_of)
-    cut = as_of.select("chain_id", "as_of_block")
+    cut = per_chain(as_of.select("chain_id", "as_of_block"))
     return rows.join(cut, "chain_id").where(F.col("block_number") <= F.col("as_of_block")).drop("as_of_block")
 
 
-def with_block_row(events: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Drop events whose block is unknown.
+def by_block_row(events: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events whose block is known, events whose block is not).
 
     Only distinct blocks meet the block table; the (normally empty) list of
-    unknown ones then filters the events, which are not shuffled for it. The
+    unknown ones then splits the events, which are not shuffled for it. The
     list is written first, so this runs a job.
     """
     numbers_ = blocks.select("chain_id", F.col("number").alias("block_number"))
     on = ["chain_id", "block_number"]
     unknown = sized(events.select(*on).distinct().join(numbers_, on, "left_anti"), "unknown-blocks")
-    return events.join(unknown, on, "left_anti")
+    return events.join(unknown, on, "left_anti"), events.join(unknown, on, "left_semi")
+
+
+def with_block_row(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Drop events whose block is unknown."""
+    return by_block_row(events, blocks)[0]
 
 
 def block_times(blocks: DataFrame, number_as: str, ts_as: str) -> DataFrame:
@@ -85,9 +90,25 @@ def _position() -> list[Column]:
 
 # --- leader ----------------------------------------------------------------
 
+UINT256_DIGITS = 78
+
+
 def _epoch() -> Column:
-    """Epoch of a claim; NULL when it does not fit a signed 64-bit value."""
-    return F.col("decoded.epoch").try_cast("bigint")
+    """Epoch of a claim as decimal text of fixed width, so that text order is number order."""
+    return F.lpad("decoded.epoch", UINT256_DIGITS, "0")
+
+
+def epoch_text(epoch: Column) -> Column:
+    """An epoch of any width in plain decimal."""
+    digits = F.ltrim(epoch, F.lit("0"))
+    return F.when(digits == "", F.lit("0")).otherwise(digits)
+
+
+def _epoch_number(epoch: Column) -> Column:
+    """An epoch as a signed 64-bit value; one past it fails the read."""
+    number = epoch.try_cast("bigint")
+    return F.when(epoch.isNotNull() & number.isNull(),
+                  F.raise_error(F.concat(F.lit("leader epoch past 64 bits: "), epoch_text(epoch))).cast("bigint")).otherwise(number)
 
 
 def _leader_partial(events: DataFrame) -> DataFrame:
@@ -103,7 +124,14 @@ def _leader_merge(rows: DataFrame) -> DataFrame:
 
 def _leader_finish(rows: DataFrame, _blocks: DataFrame | None = None) -> DataFrame:
     return rows.where(F.col("claim").isNotNull()).select(
-        *CLUSTER, F.col("claim.member_id").alias("member_id"), F.col("claim.epoch").alias("epoch"),
+        *CLUSTER, F.col("claim.member_id").alias("member_id"), _epoch_number(F.col("claim.epoch")).alias("epoch"),
+        (-F.col("claim.minus_block")).alias("claimed_block"))
+
+
+def wide_leaders(rows: DataFrame) -> DataFrame:
+    """Leaders from merged rows with the epoch as decimal text, for epochs of any width."""
+    return rows.where(F.col("claim").isNotNull()).select(
+        *CLUSTER, F.col("claim.member_id").alias("member_id"), epoch_text(F.col("claim.epoch")).alias("epoch"),
         (-F.col("claim.minus_block")).alias("claimed_block"))
 
 
@@ -113,14 +141,14 @@ LEADER = StateView("leader", ("LeaderClaimed",), tuple(CLUSTER),
 
 def check_epochs(events: DataFrame) -> DataFrame:
     """Strict mode: fail the job on an epoch that is not a signed 64-bit value."""
-    bad = (F.col("kind") == "LeaderClaimed") & _epoch().isNull()
+    bad = (F.col("kind") == "LeaderClaimed") & F.col("decoded.epoch").try_cast("bigint").isNull()
     return events.where(F.when(bad, F.raise_error(F.lit("epoch does not fit int64")).cast("boolean"))
                         .otherwise(F.lit(True)))
 
 
 def rejected_claims(events: DataFrame) -> DataFrame:
-    """Lenient mode: the claims replay leaves out."""
-    return events.where((F.col("kind") == "LeaderClaimed") & _epoch().isNull())
+    """Claims whose epoch does not fit a signed 64-bit value."""
+    return events.where((F.col("kind") == "LeaderClaimed") & F.col("decoded.epoch").try_cast("bigint").isNull())
 
 
 def leader_for(clusters: DataFrame, leaders: DataFrame, as_of_block: int) -> DataFrame:
@@ -241,6 +269,7 @@ def leader_conflicts(events: DataFrame, as_of: int | DataFrame | None = None) ->
         claims.groupBy(*CLUSTER, "epoch")
         .agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count(F.lit(1)).alias("claims"))
         .where(F.col("low") != F.col("high")).drop("low", "high")
+        .withColumn("epoch", _epoch_number(F.col("epoch")))
     )
 
 

@@ -979,42 +979,27 @@ def _ingest(spark: SparkSession, sf: str) -> jobs.IngestJob:
     return job
 
 
-_FINISHED: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, sf: str, run: Callable):
-    """One finished run per session and table folder, read by several queries."""
-    key = (spark.sparkContext.applicationId, sf, run.__name__)
-    if key not in _FINISHED:
-        _FINISHED[key] = run(spark, sf)
-    return _FINISHED[key]
-
-
-def _ingested(spark: SparkSession, sf: str) -> jobs.IngestJob:
-    return _once(spark, sf, _ingest)
-
-
 STREAMED_EV = Q.EV.replace("block_number % 97 = 0 AS removed", "false AS removed")
 
 
 @query(Q.EV + f"SELECT {EVENT_SQL} FROM ev")
 def stream_event_log(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_ingested(spark, sf).log.read().select(*EVENT_COLUMNS))
+    return as_hex(_ingest(spark, sf).log.read().select(*EVENT_COLUMNS))
 
 
 @query(STREAMED_EV + Q.LEADER_AT.format(bound=S.HEAD))
 def stream_leader_view(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_ingested(spark, sf).view("leader"))
+    return as_hex(_ingest(spark, sf).view("leader"))
 
 
 @query(Q.MEMBERS.format(bound=S.HEAD).replace("block_number % 97 = 0 AS removed", "false AS removed"))
 def stream_members_view(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_ingested(spark, sf).view("members"))
+    return as_hex(_ingest(spark, sf).view("members"))
 
 
 @query(Q.LIFECYCLE_ROWS.format(bound=S.HEAD).replace("block_number % 97 = 0 AS removed", "false AS removed"))
 def stream_lifecycle_view(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_ingested(spark, sf).view("lifecycle"))
+    return as_hex(_ingest(spark, sf).view("lifecycle"))
 
 
 @query(Q.LEADER_ROWS.format(bound=S.HEAD))
@@ -1027,7 +1012,7 @@ def stream_leader_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ORACLES["change_feed"])
 def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).feed()
+    return _ingest(spark, sf).feed()
 
 
 @query(Q.BLOCKS + "SELECT * FROM blk")
@@ -1072,7 +1057,7 @@ DELIVERED = Q.ORDERED.format(initial="0", head="hd.head")
 
 @query(DELIVERED + "SELECT row_id, chain_id, cluster, nonce, block_number FROM lab WHERE outcome = 'Dispatched'")
 def stream_ordered_delivery(spark: SparkSession, sf: str) -> DataFrame:
-    return as_hex(_once(spark, sf, _deliver).dispatched().select(
+    return as_hex(_deliver(spark, sf).dispatched().select(
         "row_id", "chain_id", "cluster", "nonce", "block_number"))
 
 
@@ -1080,7 +1065,7 @@ def stream_ordered_delivery(spark: SparkSession, sf: str) -> DataFrame:
 FROM lab, unnest(string_split(targets, ',')) AS u(t) WHERE outcome = 'Dispatched'""")
 def stream_member_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Delivered instructions by audience, acks never among them."""
-    return as_hex(control.by_audience(_once(spark, sf, _deliver).dispatched()).select(
+    return as_hex(control.by_audience(_deliver(spark, sf).dispatched()).select(
         "row_id", "cluster", "nonce", "member_id"))
 
 
@@ -1095,9 +1080,107 @@ def stream_subscription(spark: SparkSession, sf: str) -> DataFrame:
 
     def drain() -> None:
         stream = logs.stream_table(spark, folder, timed.schema)
-        kept = jobs.recent_once(feeds.subscription(stream, since=50), "at", "31 days")
+        kept = jobs.each_once(feeds.subscription(stream, since=50))
         kept.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
             availableNow=True).start(out).awaitTermination()
 
     _feed(timed, "event_id", folder, drain)
     return as_hex(spark.read.schema(timed.schema).parquet(out).select("event_id", "chain_id", "contract"))
+
+
+@query(Q.EV + "SELECT event_id, chain_id FROM ev")
+def stream_late_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries from the newest to the oldest, each twice: every first one is late and counts."""
+    rows = _events(spark, sf).select("event_id", "chain_id", (-F.col("event_id")).alias("turn"))
+    folder, out = work_dir(spark, "late"), work_dir(spark, "late-once")
+    checkpoint = work_dir(spark, "late-checkpoint")
+
+    def drain() -> None:
+        stream = logs.stream_table(spark, folder, rows.schema)
+        jobs.each_once(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start(out).awaitTermination()
+
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    for low, high in ((last // 2, last), (0, last // 2), (0, last)):
+        rows.where(F.col("event_id").between(low, high)).write.mode("append").parquet(folder)
+        drain()
+    return spark.read.schema(rows.schema).parquet(out).select("event_id", "chain_id")
+
+
+@query(Q.EV + """SELECT chain_id, contract, member_id, CAST(CAST(k AS HUGEINT) * CASE WHEN k % 3 = 0 THEN 100000000000000000000 ELSE 1 END AS VARCHAR) AS epoch,
+ block_number AS claimed_block FROM ev WHERE kind = 'LeaderClaimed' AND NOT removed
+ QUALIFY row_number() OVER (PARTITION BY chain_id, contract ORDER BY CAST(k AS HUGEINT) * CASE WHEN k % 3 = 0 THEN 100000000000000000000 ELSE 1 END DESC, pos) = 1""")
+def leader_wide_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims of which every third has an epoch far past 64 bits."""
+    k = F.col("decoded.epoch")
+    wide = F.when(k.cast("int") % 3 == 0, F.when(k == "0", k).otherwise(F.concat(k, F.lit("0" * 20)))).otherwise(k)
+    events = _events(spark, sf).withColumn("decoded", F.struct(F.col("decoded.memberId").alias("memberId"), wide.alias("epoch")))
+    return as_hex(views.wide_leaders(views.LEADER.partial(views.LEADER.events(events))))
+
+
+@query(STREAMED_EV + "SELECT event_id, chain_id, contract, kind, block_number FROM ev WHERE kind = 'ControlInstructionBroadcast' AND k % 10 = 0")
+def stream_control_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Instructions that never expire (2^64 - 1) are stored nowhere but in the rejects."""
+    blocks = _blocks(spark, sf)
+    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
+    events = S.with_chain_columns(S.table(spark, sf, "events")).where(F.col("kind") == "ControlInstructionBroadcast")
+    raw = S.raw_logs(events)
+    never = F.concat(F.substring("data", 1, 32), F.lit(bytes(24) + b"\xff" * 8), F.expr("substring(data, 65)"))
+    rows = raw.join(events.where(F.col("k") % 10 == 0).select("event_id", F.lit(True).alias("endless")), "event_id", "left").withColumn(
+        "data", F.when(F.col("endless"), never).otherwise(F.col("data"))).select(raw.columns)
+    folder, checkpoint = work_dir(spark, "raw-logs"), work_dir(spark, "ingest-checkpoint")
+
+    def drain() -> None:
+        jobs.run(logs.stream_logs(spark, folder), job, checkpoint).awaitTermination()
+
+    _feed(rows, "event_id", folder, drain)
+    return as_hex(job.control_rejects())
+
+
+def _late_headers(spark: SparkSession, sf: str) -> jobs.IngestJob:
+    """All logs first, of which the last third of the heights has no header yet; then the headers."""
+    blocks, seen = _blocks(spark, sf), [S.HEAD * 2 // 3]
+    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks.where(F.col("number") <= seen[0]))
+    job(_raw(spark, sf), 0)
+    seen[0] = S.HEAD
+    job(_raw(spark, sf).where("false"), 1)
+    return job
+
+
+@query(ORACLES["stream_members_view"])
+def stream_members_late_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_late_headers(spark, sf).view("members"))
+
+
+@query(ORACLES["stream_lifecycle_view"])
+def stream_lifecycle_late_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_late_headers(spark, sf).view("lifecycle"))
+
+
+def _reorganised(spark: SparkSession, sf: str) -> jobs.IngestJob:
+    """Logs ingested under the stored blocks; then headers replace some blocks, and all is reconciled."""
+    canonical = _blocks(spark, sf)
+    headers = jobs.BlockJob(spark, work_dir(spark, "blocks"))
+    headers(S.stored_blocks(canonical), 0)
+    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), headers.blocks)
+    job(_raw(spark, sf), 0)
+    headers(canonical, 1)
+    job.reconcile(1)
+    return job
+
+
+@query(Q.SUNK + "SELECT row_id, chain_id, cluster, nonce, expiry, block_number FROM ins")
+def stream_instructions_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
+    """Nonces that orphaned instructions held belong to canonical ones."""
+    return as_hex(_reorganised(spark, sf).instructions.read().select(
+        "row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
+
+
+@query(Q.EV + "SELECT event_id, chain_id, removed FROM ev")
+def stream_log_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
+    return _reorganised(spark, sf).events().select("event_id", "chain_id", "removed")
+
+
+@query(Q.MEMBERS.format(bound=S.HEAD))
+def stream_members_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_reorganised(spark, sf).view("members"))

@@ -54,6 +54,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def per_chain(rows: DataFrame) -> DataFrame:
+    """A side with one row per chain, ready to be joined on chain_id alone.
+
+    Chains are few, so a shuffle by chain_id would put the large side into a
+    handful of tasks. Written first, the side has a size and is broadcast
+    under the planner's threshold; the large side stays where it is.
+    """
+    return sized(rows, "per-chain")
+
+
 def sized(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written once to the shared folder and read back.
 

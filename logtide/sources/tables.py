@@ -23,12 +23,6 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
-def size_of(spark: SparkSession, path: str) -> int:
-    """Bytes under a path."""
-    fs, hadoop_path = _fs(spark, path)
-    return fs.getContentSummary(hadoop_path).getLength()
-
-
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the completely written versions under ``root``, ascending."""
     fs, path = _fs(spark, root)

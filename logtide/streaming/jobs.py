@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logtide import schemas
 from logtide.operators import control, decode, feeds, ingest, orderer, registry, reorg, views
+from logtide.session import sized
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable
 
 COMPACT_EVERY = 20
 
+_ORPHAN = T.StructType([T.StructField("chain_id", T.IntegerType()), T.StructField("block_number", T.LongType()),
+                        T.StructField("block_hash", T.BinaryType())])
+
 
 def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str,
         available_now: bool = True, interval: str = "5 seconds"):
@@ -38,13 +42,23 @@ def watched_only(logs: DataFrame, watched: DataFrame) -> DataFrame:
     return logs.join(watched.select("chain_id", "address"), ["chain_id", "address"], "left_semi")
 
 
-def recent_once(deliveries: DataFrame, time_column: str, delay: str = "10 minutes") -> DataFrame:
-    """Overlapping deliveries reduced to one row per id, remembered for ``delay`` of event time."""
-    return deliveries.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["chain_id", "event_id"])
+def each_once(deliveries: DataFrame) -> DataFrame:
+    """Overlapping deliveries reduced to one row per id, however late the first one comes.
+
+    A watermark would discard first deliveries of old events, which is what a
+    backfill consists of. Ids are kept for good instead: some bytes each, in
+    the RocksDB state store, spread over all state partitions.
+    """
+    return deliveries.dropDuplicates(["chain_id", "event_id"])
 
 
 class BlockJob:
-    """Headers into the block table, with the reorg signals each batch raises."""
+    """Headers into the block table, with the reorg signals each batch raises.
+
+    A batch is compared with the stored chain and with itself, so a fork whose
+    both sides arrive together is signalled too. Of two hashes of one height in
+    a batch, the one that another header names as its parent is the later one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -52,11 +66,14 @@ class BlockJob:
         self.table = MergeTable(spark, f"{root}/blocks", ingest.latest_blocks, schema)
 
     def __call__(self, headers: DataFrame, batch_id: int) -> None:
-        rows = headers.withColumn("seq", F.lit(batch_id).cast("long")).persist()
-        stored = self.table.read(before=batch_id)
-        reorg.detect(rows, stored).write.mode("overwrite").parquet(f"{self.root}/signals/v={batch_id}")
+        headers = headers.persist()
+        parents = headers.select("chain_id", F.col("parent_hash").alias("hash")).distinct().withColumn("named", F.lit(1))
+        rows = headers.join(parents, ["chain_id", "hash"], "left").select(
+            *schemas.BLOCK.fieldNames(), (F.lit(2 * batch_id) + F.coalesce("named", F.lit(0))).cast("long").alias("seq"))
+        known = self.table.read(before=batch_id).unionByName(rows)
+        reorg.detect(headers, known).write.mode("overwrite").parquet(f"{self.root}/signals/v={batch_id}")
         self.table.put(batch_id, ingest.latest_blocks(rows))
-        rows.unpersist()
+        headers.unpersist()
         if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
             self.table.compact(before=batch_id)
 
@@ -68,23 +85,31 @@ class BlockJob:
 
 
 class IngestJob:
-    """Raw logs into the event log, view state, registry, control tables and change feed.
-
-    ``blocks`` gives the block table to use for a batch; views that need block
-    rows leave out events whose block is not there yet, and pick them up at the
-    next rebuild or redelivery.
+    """Raw logs into the event log, view state, registry, control tables and feeds.
+
+    ``blocks`` gives the block table to use for a batch. Events of views that
+    need block rows wait in a table of their own until their header is there.
+    ``view_specs`` may hold views of the user's own. With ``seed`` (watched
+    rows) only logs of watched contracts are kept; a cluster that a batch's
+    deployments add is watched from that batch on, and what it emitted before
+    is read from ``backlog``, the raw log so far.
     """
 
     def __init__(self, spark: SparkSession, root: str, blocks: Callable[[], DataFrame],
-                 specs: Iterable[decode.EventSpec] = decode.DEFAULT_SPECS):
+                 specs: Iterable[decode.EventSpec] = decode.DEFAULT_SPECS,
+                 view_specs: Iterable[views.StateView] = tuple(views.VIEWS.values()),
+                 seed: DataFrame | None = None, backlog: Callable[[], DataFrame] | None = None):
         self.spark, self.root, self.blocks = spark, root, blocks
-        self.specs = decode.registry(specs)
+        self.specs, self.seed, self.backlog = decode.registry(specs), seed, backlog
+        self.view_specs = {view.name: view for view in view_specs}
         schema = event_type(self.specs)
         self.log = EventLog(spark, f"{root}/events", schema)
         empty = spark.createDataFrame([], schema)
         self.views = {
             name: MergeTable(spark, f"{root}/views/{name}", view.merge, view.partial(empty).schema)
-            for name, view in views.VIEWS.items()}
+            for name, view in self.view_specs.items()}
+        self.pending = VersionedTable(spark, f"{root}/pending", schema)
+        self.orphans = VersionedTable(spark, f"{root}/orphans", _ORPHAN)
         self.watched = MergeTable(
             spark, f"{root}/watched",
             lambda rows: ingest.first_write(rows, registry.KEY, ["from_block", "parent"]), schemas.WATCHED)
@@ -92,18 +117,54 @@ class IngestJob:
             spark, f"{root}/instructions", control.add_instructions, schemas.INSTRUCTION)
         self.acks = MergeTable(spark, f"{root}/acks", control.add_acks, schemas.ACK)
 
+    def _admitted(self, raw: DataFrame, batch_id: int) -> DataFrame:
+        """Logs of watched contracts, with all that newly found ones emitted so far."""
+        if self.seed is None:
+            return raw
+        watched = self.seed.unionByName(self.watched.read(before=batch_id)).select(*registry.KEY).distinct()
+        mine = watched_only(raw, watched)
+        minted = registry.discover(decode.decode_logs(mine, self.specs)[0])
+        found = sized(minted.join(watched, registry.KEY, "left_anti"), "found")
+        if found.isEmpty():
+            return mine
+        earlier = raw if self.backlog is None else self.backlog().select(raw.columns).unionByName(raw)
+        return mine.unionByName(watched_only(earlier, found))
+
+    def _fold(self, batch_id: int, events: DataFrame) -> None:
+        """View rows of a batch; what lacks its header waits, what waited and has it now is folded."""
+        blocks = self.blocks()
+        kinds = sorted({k for v in self.view_specs.values() if v.needs_blocks for k in v.kinds})
+        due = self.pending.read(before=batch_id).unionByName(
+            views.canonical(events).where(F.col("kind").isin(kinds)).select(self.pending.schema.fieldNames()))
+        ready, waiting = views.by_block_row(due, blocks)
+        for name, table in self.views.items():
+            view = self.view_specs[name]
+            mine = ready.where(F.col("kind").isin(*view.kinds)) if view.needs_blocks else view.events(events)
+            table.put(batch_id, view.partial(mine))
+        self.pending.write(batch_id, waiting)
+
+    def _control(self, batch_id: int, name: str, table: MergeTable, typed: DataFrame, add: Callable) -> None:
+        """Control rows that are new under their key, and the change envelope of each."""
+        fresh = add(typed, table.read(before=batch_id)).persist()
+        table.put(batch_id, fresh)
+        feeds.control_feed(fresh, name).write.mode("overwrite").parquet(f"{self.root}/control_feed/{name}/v={batch_id}")
+        fresh.unpersist()
+
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
-        decoded, rejects = decode.decode_logs(raw, self.specs)
+        decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
         events = ingest.append_events(decoded).persist()
         self.log.append(ingest.append_events(events, self.log.near(events)))
-        for name, table in self.views.items():
-            view = views.VIEWS[name]
-            table.put(batch_id, view.partial(view.events(events, None, self.blocks())))
+        self._fold(batch_id, events)
         self.watched.put(batch_id, registry.discover(events))
-        self.instructions.put(batch_id, control.add_instructions(control.instructions(events)[0]))
-        self.acks.put(batch_id, control.add_acks(control.acks(events)[0]))
+        orders, bad_orders = control.instructions(events)
+        answers, bad_answers = control.acks(events)
+        self._control(batch_id, "instruction", self.instructions, orders, control.add_instructions)
+        self._control(batch_id, "ack", self.acks, answers, control.add_acks)
         feeds.change_feed(events).write.mode("overwrite").parquet(f"{self.root}/feed/v={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/v={batch_id}")
+        bad_orders.select("event_id", "chain_id", "contract", "kind", "block_number").unionByName(
+            bad_answers.select("event_id", "chain_id", "contract", "kind", "block_number")).write.mode(
+            "overwrite").parquet(f"{self.root}/control_rejects/v={batch_id}")
         events.unpersist()
         if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
             for table in (*self.views.values(), self.watched, self.instructions, self.acks):
@@ -111,7 +172,11 @@ class IngestJob:
 
     def view(self, name: str) -> DataFrame:
         """A view's answer from its kept state."""
-        return views.VIEWS[name].finish(self.views[name].read(), self.blocks())
+        return self.view_specs[name].finish(self.views[name].read(), self.blocks())
+
+    def events(self) -> DataFrame:
+        """The log with ``removed`` set on what the last :meth:`reconcile` found orphaned."""
+        return reorg.mark_removed(self.log.read(), self.orphans.read())
 
     def rebuild(self, name: str, batch_id: int, removed: DataFrame) -> None:
         """Replace a view's state after a reorg by a replay of the canonical log.
@@ -119,14 +184,38 @@ class IngestJob:
         Kept state cannot forget a rolled-back event, so the new base comes
         from the log with orphans marked.
         """
-        view, table = views.VIEWS[name], self.views[name]
+        view = self.view_specs[name]
         events = reorg.mark_removed(self.log.read(), removed)
-        fresh = view.partial(view.events(events, None, self.blocks()))
-        table.replace(batch_id, fresh)
+        self.views[name].replace(batch_id, view.partial(view.events(events, None, self.blocks())))
+
+    def reconcile(self, batch_id: int) -> DataFrame:
+        """Bring everything kept in line with the block table after a reorg.
+
+        Orphans are what the log holds under hashes that are no longer
+        canonical. All views, the registry and the control tables are replaced
+        by what the remaining log gives, so an orphaned instruction's nonce is free
+        for its replacement. Returns (chain_id, ancestor) of the chains that
+        changed, for :class:`OrderedDelivery`.
+        """
+        self.orphans.write(batch_id, reorg.orphan_blocks(self.log.read(), self.blocks()))
+        orphans = self.orphans.read()
+        for name in self.views:
+            self.rebuild(name, batch_id, orphans)
+        live = views.canonical(self.events())
+        self.watched.replace(batch_id, registry.discover(live))
+        self.instructions.replace(batch_id, control.add_instructions(control.instructions(live)[0]))
+        self.acks.replace(batch_id, control.add_acks(control.acks(live)[0]))
+        return orphans.groupBy("chain_id").agg((F.min("block_number") - 1).alias("ancestor"))
 
     def feed(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/feed/v=*")
 
+    def control_feed(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/control_feed/{name}/v=*")
+
+    def control_rejects(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/control_rejects/v=*")
+
 
 # --- ordered delivery ------------------------------------------------------
 
@@ -176,8 +265,8 @@ class OrderedDelivery:
         arrived = batch.where((F.col("row_type") == INSTRUCTION_ROW) & ~F.col("removed")).drop(
             "row_type").withColumn("buffered_at", F.lit(now).cast("long"))
         rows = held.unionByName(arrived).alias("r")
-        cuts = batch.where(F.col("row_type") == REORG_ROW).select(
-            F.col("chain_id"), F.col("seq"), F.col("block_number").alias("ancestor")).alias("c")
+        cuts = sized(batch.where(F.col("row_type") == REORG_ROW).select(
+            F.col("chain_id"), F.col("seq"), F.col("block_number").alias("ancestor")), "cuts").alias("c")
         taken_back = ((F.col("r.chain_id") == F.col("c.chain_id")) & (F.col("c.seq") > F.col("r.seq"))
                       & (F.col("r.block_number") > F.col("c.ancestor")))
         return ingest.first_write(rows.join(cuts, taken_back, "left_anti"), control.INSTRUCTION_KEY, ["seq"])
@@ -196,7 +285,7 @@ class OrderedDelivery:
         cursors = self.cursors.read(before=batch_id)
         if self.initial is not None:
             cursors = _furthest(cursors.unionByName(self.initial.select(_CURSOR.fieldNames())))
-        ordered = orderer.order(self._rows(batch, batch_id, now), heads, cursors, self.confirmations).persist()
+        ordered = orderer.order(self._rows(batch, batch_id, now), heads, cursors, self.confirmations, headless_final=False).persist()
         sent = ordered.where(F.col("outcome") == orderer.DISPATCHED)
         order = ["chain_id", "cluster", "nonce"]
         (

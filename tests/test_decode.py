@@ -105,6 +105,15 @@ def test_late_decode_leaves_known_rows_alone(spark):
     assert [r["decoded"]["timestamp"] for r in later] == ["5", "6"]
 
 
+def test_late_decode_keeps_fields_the_newer_registry_lacks(spark):
+    rows = raw_log(spark, [([topic0("ClusterDestroyed")], w(5)), ([topic0("LeaderClaimed"), m(1), w(1)], w(32) + tail(b""))])
+    one = lambda kind: [s for s in decode.DEFAULT_SPECS if s.kind == kind]
+    events, _ = decode.decode_logs(rows, one("ClusterDestroyed"))
+    later = decode.decode_late(events, one("LeaderClaimed")).orderBy("event_id").collect()
+    assert [r["kind"] for r in later] == ["ClusterDestroyed", "LeaderClaimed"]
+    assert later[0]["decoded"]["timestamp"] == "5" and later[1]["decoded"]["epoch"] == "1"
+
+
 def test_payload_json_parses_back_and_strict_mode_raises(spark):
     good = '{"memberId":"%s","epoch":"0x7","endpoint":"0x"}' % hx(m(1))
     bad = '{"memberId":"0x12","epoch":"7","endpoint":"0x"}'

@@ -184,3 +184,53 @@ def test_stream_guards(spark, folder):
             "checkpointLocation", f"{folder}/c-{name}").trigger(availableNow=True).start(f"{folder}/{name}")
         query.awaitTermination()
         assert spark.read.schema(schemas.RAW_LOG).parquet(f"{folder}/{name}").count() == expected
+
+
+def test_forks_inside_one_batch_are_signalled_and_settled(spark, folder):
+    rows = [(CHAIN, n, h, p, n) for n, h, p in ((1, m(1), m(0)), (2, m(2), m(1)), (2, m(0x22), m(1)), (3, m(3), m(0x22)))]
+    job = jobs.BlockJob(spark, folder)
+    job(spark.createDataFrame(rows, schemas.BLOCK), 0)
+    assert sorted((r["number"], r["hash_changed"], r["parent_mismatch"]) for r in job.signals().collect()) == [
+        (2, True, False), (3, False, True)]
+    assert {r["number"]: bytes(r["hash"]) for r in job.blocks().collect()} == {1: m(1), 2: m(0x22), 3: m(3)}
+
+
+def test_nothing_is_delivered_before_a_head_is_known(spark, folder):
+    job = delivery(spark, folder)
+    job(batch(spark, [step("instruction", 0, 50, 0)]), 0)
+    assert sent(job) == [] and job.waiting.read().count() == 1
+    job(batch(spark, [step("head", 1, 1000)]), 1)
+    assert sent(job) == [(1, 0)]
+
+
+def test_a_minted_cluster_is_watched_with_what_it_emitted_before(spark, folder):
+    minted, stranger = bytes([7]) * 20, bytes([9]) * 20
+    address = F.when(F.col("event_id").isin(0, 2), F.lit(minted)).when(F.col("event_id") == 3, F.lit(stranger)).otherwise(F.lit(CLUSTER))
+    logs_ = raw_log(spark, [
+        ([topic0("LeaderClaimed"), m(1), w(1)], w(32) + tail(b"")),
+        ([topic0("ClusterDeployed"), bytes(12) + minted, w(1), m(3)], b""),
+        ([topic0("LeaderClaimed"), m(2), w(5)], w(32) + tail(b"")),
+        ([topic0("LeaderClaimed"), m(3), w(9)], w(32) + tail(b"")),
+    ]).withColumn("address", address)
+    blocks = block_frame(spark, {n: n for n in range(100, 104)})
+    seed = spark.createDataFrame([(CHAIN, CLUSTER, "factory", None, 0)], schemas.WATCHED)
+    job = jobs.IngestJob(spark, folder, lambda: blocks, seed=seed, backlog=lambda: logs_)
+    job(logs_.where("event_id = 0"), 0)
+    assert job.log.read().isEmpty()
+    job(logs_.where("event_id = 1"), 1)
+    job(logs_.where("event_id > 1"), 2)
+    kept = {(bytes(r["contract"]), r["event_id"]) for r in job.log.read().collect()}
+    assert (minted, 0) in kept and (minted, 2) in kept and not any(c == stranger for c, _ in kept)
+
+
+def test_a_view_of_the_users_own_is_kept(spark, folder):
+    count = views.StateView(
+        "claims", ("LeaderClaimed",), ("chain_id", "contract"),
+        lambda e: e.groupBy("chain_id", "contract").agg(F.collect_set("event_id").alias("ids")),
+        lambda r: r.groupBy("chain_id", "contract").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")),
+        lambda r, _b=None: r.select("chain_id", "contract", F.size("ids").alias("claims")))
+    blocks = block_frame(spark, {n: n for n in range(100, 104)})
+    job = jobs.IngestJob(spark, folder, lambda: blocks, view_specs=[count])
+    job(ingest_rows(spark), 0)
+    job(ingest_rows(spark).where("event_id < 1"), 1)
+    assert job.view("claims").first()["claims"] == 2

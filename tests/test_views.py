@@ -36,12 +36,20 @@ def ended(spark, rows, as_of, times=TIMES):
     ([claim(100, m(1), 1), claim(500, m(2), 2)], 200, (m(1), 1)),
     ([claim(100, m(1), 1), claim(500, m(2), 2)], 500, (m(2), 2)),
     ([claim(100, m(1), 1), claim(200, m(2), 9, removed=True)], 500, (m(1), 1)),
-    ([claim(100, m(1), 1), claim(200, m(2), 2**63)], 500, (m(1), 1)),
 ])
 def test_leader(spark, rows, as_of, expected):
     assert leader(spark, rows, as_of) == expected
 
 
+def test_wide_epochs_win_and_fail_a_narrow_read(spark):
+    events = frame(spark, [claim(100, m(1), 3), claim(200, m(2), 2**64), claim(300, m(3), 2**63, log_index=1)])
+    rows = views.LEADER.partial(views.LEADER.events(events, 500))
+    row, = views.wide_leaders(rows).collect()
+    assert (bytes(row["member_id"]), row["epoch"]) == (m(2), str(2**64))
+    with pytest.raises(Exception, match="leader epoch past 64 bits: 18446744073709551616"):
+        views.LEADER.finish(rows).collect()
+
+
 def test_strict_epochs_fail_the_job_and_lenient_ones_are_listed(spark):
     events = frame(spark, [claim(100, m(1), 2**63), claim(100, m(1), 4, log_index=1)])
     assert views.rejected_claims(events).count() == 1

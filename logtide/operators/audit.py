@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logtide.functions import canonical as C, hexes
 from logtide.operators import views
 from logtide.operators.pages import PROOF_KINDS
-from logtide.session import per_chain
+from logtide.session import per_chain, sized
+
+
+BUCKET_DIGITS = 3
 
 
 # --- drift -----------------------------------------------------------------
@@ -29,10 +32,16 @@ def drift(stored: DataFrame, rebuilt: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def row_diff(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Rows on one side only, counted with multiplicity."""
-    same = rebuilt.select(stored.columns)
-    return stored.exceptAll(same).withColumn("side", F.lit("stored")).unionByName(
-        same.exceptAll(stored).withColumn("side", F.lit("rebuilt")))
+    """Rows on one side only, counted with multiplicity.
+
+    One aggregate over both sides: each is read, and folded, once.
+    """
+    columns = stored.columns
+    both = stored.withColumn("_n", F.lit(1)).unionByName(rebuilt.select(columns).withColumn("_n", F.lit(-1)))
+    surplus = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    side = F.when(F.col("_n") > 0, F.lit("stored")).otherwise(F.lit("rebuilt"))
+    copies = F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))).alias("_copy")
+    return surplus.select(*columns, side.alias("side"), copies).drop("_copy")
 
 
 # --- sampled proof check ---------------------------------------------------
@@ -93,17 +102,20 @@ def fingerprints(rows: DataFrame, data: Column, resolved: DataFrame) -> DataFram
 
 
 def combined_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One order-free digest per key over row fingerprints.
+    """One order-free digest per key over row fingerprints, in two levels.
 
-    Counts and xors the row digests word by word, so a cluster of any size
-    combines inside the tasks and is never laid out as one value.
+    Row digests of a key that begin alike form a bucket (``BUCKET_DIGITS`` hex
+    digits); a bucket's digest is that of its sorted row digests, the key's that of
+    its ordered bucket digests. A key of any size spreads over its buckets, and
+    nobody can swap rows unnoticed, as with a sum or xor of digests.
     """
-    words = [F.conv(F.substring("fingerprint", 3 + 8 * i, 8), 16, 10).cast("long") for i in range(8)]
-    xors = [F.bit_xor(w).alias(f"_w{i}") for i, w in enumerate(words)]
-    joined = F.concat_ws(":", F.col("rows").cast("string"),
-                         *[F.col(f"_w{i}").cast("string") for i in range(8)])
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *xors).select(
-        *keys, "rows", F.concat(F.lit("0x"), F.sha2(joined, 256)).alias("fingerprint"))
+    bucket = F.substring("fingerprint", 3, BUCKET_DIGITS)
+    level = lambda values: F.sha2(F.array_join(F.array_sort(values), ""), 256)
+    buckets = rows.groupBy(*keys, bucket.alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("_rows"), level(F.collect_list("fingerprint")).alias("_digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda b: F.concat(b["_bucket"], b["_digest"]))
+    return buckets.groupBy(*keys).agg(F.sum("_rows").alias("rows"), F.concat(
+        F.lit("0x"), F.sha2(F.array_join(ordered, ""), 256)).alias("fingerprint"))
 
 
 # --- as-of snapshots -------------------------------------------------------
@@ -130,18 +142,24 @@ def snapshot_rows(answers: DataFrame, endpoint: str, data: Column, as_of_block:
 
 
 def materialise(missing: DataFrame, events: DataFrame, blocks: DataFrame, as_of_block: int) -> DataFrame:
-    """Snapshot rows for the missing keys of one block, all endpoints, to append."""
-    want = missing.where(F.col("as_of_block") == as_of_block)
+    """Snapshot rows for the missing keys of one block, to append.
+
+    The wanted keys are written first. Events of other clusters fall away
+    before any fold, and only endpoints that someone asked for are folded.
+    """
+    want = sized(missing.where(F.col("as_of_block") == as_of_block), "wanted-snapshots")
     clusters = want.select("chain_id", "contract").distinct()
-    leaders = views.leader_for(clusters, views.LEADER.replay(events, as_of_block), as_of_block)
-    ended = views.lifecycle_for(clusters, views.LIFECYCLE.replay(events, as_of_block, blocks))
-    members = views.MEMBERS.replay(events, as_of_block, blocks)
-    parts = [
-        snapshot_rows(leaders, "leader", leader_json(), as_of_block),
-        snapshot_rows(ended, "lifecycle", lifecycle_json(), as_of_block),
-        snapshot_rows(members, "members", member_json(), as_of_block, hexes.hex0x(F.col("member_id"))),
-    ]
-    return reduce(DataFrame.unionByName, parts).join(want, SNAPSHOT_KEY)
+    mine = events.join(clusters, ["chain_id", "contract"], "left_semi")
+    parts = {
+        "leader": lambda: snapshot_rows(
+            views.leader_for(clusters, views.LEADER.replay(mine, as_of_block), as_of_block), "leader", leader_json(), as_of_block),
+        "lifecycle": lambda: snapshot_rows(
+            views.lifecycle_for(clusters, views.LIFECYCLE.replay(mine, as_of_block, blocks)), "lifecycle", lifecycle_json(), as_of_block),
+        "members": lambda: snapshot_rows(
+            views.MEMBERS.replay(mine, as_of_block, blocks), "members", member_json(), as_of_block, hexes.hex0x(F.col("member_id"))),
+    }
+    asked = sorted({r["endpoint"] for r in want.select("endpoint").distinct().collect()} & set(parts)) or ["leader"]
+    return reduce(DataFrame.unionByName, [parts[name]() for name in asked]).join(want, SNAPSHOT_KEY)
 
 
 def put_snapshots(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ def scan_logs(raw: DataFrame, topic0s: Iterable[str], start: int, end: int,
               contracts: DataFrame | None = None) -> DataFrame:
     """Logs of a block range with a known topic0, from the given contracts.
 
-    Range and topic filters reach the scan; ``contracts`` (chain_id, address)
+    The range filter reaches the scan; the topic filter, on an array's first
+    element, is applied to the rows read. ``contracts`` (chain_id, address)
     is a semi join that Spark broadcasts only where its size allows.
     """
     logs = raw.where(F.col("block_number").between(start, end)
@@ -36,7 +37,10 @@ def scan_plan(raw: DataFrame, plan: DataFrame, topic0s: Iterable[str]) -> DataFr
     topics = [bytes.fromhex(t) for t in topic0s]
     ranges = sized(plan.select("chain_id", F.col("contract").alias("address"),
                                F.col("from_block").alias("_from"), F.col("to_block").alias("_to")), "scan-plan")
-    logs = raw.where(F.get("topics", F.lit(0)).isin(topics)).alias("l")
+    # the plan's outer bounds as numbers: these reach the scan
+    low, high = ranges.agg(F.min("_from"), F.max("_to")).first()
+    inside_all = F.lit(False) if low is None else F.col("block_number").between(low, high)
+    logs = raw.where(inside_all & F.get("topics", F.lit(0)).isin(topics)).alias("l")
     inside = ((F.col("l.chain_id") == F.col("p.chain_id"))
               & (F.col("l.address") == F.col("p.address"))
               & F.col("l.block_number").between(F.col("p._from"), F.col("p._to")))

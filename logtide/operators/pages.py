@@ -39,6 +39,9 @@ def of_cluster(events: DataFrame, contract: bytes | None, chain_id: int | None =
     return events if chain_id is None else events.where(F.col("chain_id") == chain_id)
 
 
+PAGE_SALTS = 32
+
+
 def _listed(events: DataFrame, since: int | None, kinds: Sequence[str],
             as_of: int | DataFrame | None) -> DataFrame:
     return of_kinds(up_to(canonical(events), as_of), kinds).where(F.col("event_id") > (since or 0))
@@ -62,14 +65,17 @@ def event_pages(events: DataFrame, since: int | None = None, kinds: Sequence[str
     """The next page of every cluster in one job.
 
     A ``row_number`` bounded by a constant: Spark trims every task to the page
-    size per cluster before it shuffles.
+    size per cluster before it shuffles. It is taken per salt first, so a hot
+    cluster's trimmed rows from all tasks meet in ``PAGE_SALTS`` places, not one.
+    ``next_since`` is where the cluster's next page goes on.
     """
+    size = clamp_limit(limit)
+    salted = _listed(events, since, kinds, as_of).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(PAGE_SALTS)))
+    first = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*CLUSTER, "_salt").orderBy("event_id"))).where(
+        F.col("_rank") <= size).drop("_rank", "_salt")
     in_order = Window.partitionBy(*CLUSTER).orderBy("event_id")
-    return (
-        _listed(events, since, kinds, as_of)
-        .withColumn("page_rank", F.row_number().over(in_order))
-        .where(F.col("page_rank") <= clamp_limit(limit))
-    )
+    page = first.withColumn("page_rank", F.row_number().over(in_order)).where(F.col("page_rank") <= size)
+    return page.withColumn("next_since", F.max("event_id").over(Window.partitionBy(*CLUSTER)))
 
 
 def event_by_id(events: DataFrame, event_id: int | Column, chain_id: int | None = None) -> DataFrame:

@@ -211,16 +211,16 @@ def in_member_order(members: DataFrame) -> DataFrame:
 # --- lifecycle -------------------------------------------------------------
 
 def _lifecycle_partial(events: DataFrame) -> DataFrame:
-    return events.groupBy(*CLUSTER).agg(F.min(F.struct(*_position())).alias("destroyed"))
+    return events.groupBy(*CLUSTER).agg(F.min("block_number").alias("destroyed_block"))
 
 
 def _lifecycle_merge(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*CLUSTER).agg(F.min("destroyed").alias("destroyed"))
+    return rows.groupBy(*CLUSTER).agg(F.min("destroyed_block").alias("destroyed_block"))
 
 
 def _lifecycle_finish(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return (
-        rows.select(*CLUSTER, F.col("destroyed.block_number").alias("destroyed_block"))
+        rows.select(*CLUSTER, "destroyed_block")
         .join(block_times(blocks, "destroyed_block", "destroyed_at"), ["chain_id", "destroyed_block"])
         .select(*CLUSTER, "destroyed_at")
     )

@@ -904,11 +904,6 @@ def leader_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(prints.select(*views.CLUSTER, "fingerprint"))
 
 
-def _hash_words(column: str) -> str:
-    words = [f"bit_xor(CAST('0x' || substr({column}, {3 + 8 * i}, 8) AS BIGINT))" for i in range(8)]
-    return " || ':' || ".join(["count(*)"] + words)
-
-
 JSON_TEXT = "coalesce('\"' || {0} || '\"', 'null')"
 JSON_INT = "coalesce(CAST({0} AS VARCHAR), 'null')"
 
@@ -919,7 +914,8 @@ fp AS (SELECT chain_id, contract, '0x' || sha256('{{"dnsLabel":' || {JSON_TEXT.f
  || ',"memberId":"' || member_id || '","passthrough":' || {JSON_TEXT.format('passthrough')} || ',"publicEndpoint":' || {JSON_TEXT.format('public_endpoint')}
  || ',"registeredAt":' || {JSON_INT.format('registered_at')} || ',"retiredAt":' || {JSON_INT.format('retired_at')} || '}}' || {AS_OF_JSON}) AS f
  FROM mem JOIN hd USING (chain_id))
-SELECT chain_id, contract, count(*) AS rows, '0x' || sha256({_hash_words('f')}) AS fingerprint FROM fp GROUP BY ALL""")
+SELECT chain_id, contract, CAST(sum(n) AS BIGINT) AS rows, '0x' || sha256(string_agg(b || d, '' ORDER BY b)) AS fingerprint FROM (
+ SELECT chain_id, contract, substr(f, 3, 3) AS b, count(*) AS n, sha256(string_agg(f, '' ORDER BY f)) AS d FROM fp GROUP BY ALL) GROUP BY ALL""")
 def member_set_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     blocks = _blocks(spark, sf)
     members = views.MEMBERS.replay(_events(spark, sf), AS_OF, blocks)
@@ -1184,3 +1180,32 @@ def stream_log_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.MEMBERS.format(bound=S.HEAD))
 def stream_members_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(_reorganised(spark, sf).view("members"))
+
+
+@query("""SELECT 1 AS chain_id, printf('0x%040x', n_nationkey) AS address, 'factory' AS kind, CAST(NULL AS VARCHAR) AS parent,
+ CAST(n_regionkey AS BIGINT) AS from_block FROM nation""")
+def watched_seed(spark: SparkSession, sf: str) -> DataFrame:
+    """The configured factories (a row for each nation) as watched rows."""
+    configured = [(r["n_nationkey"].to_bytes(20, "big"), r["n_regionkey"]) for r in S.table(spark, sf, "nation").collect()]
+    return as_hex(registry.seed_factories(spark, 1, configured))
+
+
+@query(Q.LEADER_CTE.format(bound=AS_OF) + f""", mem AS ({Q.MEMBERS.format(bound=AS_OF)})
+SELECT chain_id, contract, 'leader' AS endpoint, CAST({AS_OF} AS BIGINT) AS as_of_block, '' AS item,
+ '{{{{"asOfBlock":{AS_OF},"epoch":' || epoch || ',"memberId":"' || member_id || '"}}}}' AS payload FROM leader WHERE chain_id IN (SELECT user_id % 2 + 1 FROM events WHERE (day(ts) - 1) * 24 + hour(ts) = {AS_OF})
+UNION ALL SELECT chain_id, contract, 'members', {AS_OF}, member_id, '{{{{"dnsLabel":' || {JSON_TEXT.format('dns_label')} || ',"instanceId":' || {JSON_TEXT.format('instance_id')}
+ || ',"memberId":"' || member_id || '","passthrough":' || {JSON_TEXT.format('passthrough')} || ',"publicEndpoint":' || {JSON_TEXT.format('public_endpoint')}
+ || ',"registeredAt":' || {JSON_INT.format('registered_at')} || ',"retiredAt":' || {JSON_INT.format('retired_at')} || '}}}}' FROM mem WHERE chain_id IN (SELECT user_id % 2 + 1 FROM events WHERE (day(ts) - 1) * 24 + hour(ts) = {AS_OF})""".replace("{{", "{").replace("}}", "}"))
+def snapshots_put(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaders and member sets stored under replaced blocks give way to fresh ones; what is current stays."""
+    events, blocks = _events(spark, sf), _blocks(spark, sf)
+    endpoint = F.explode(F.array(F.lit("leader"), F.lit("members"))).alias("endpoint")
+    requests = S.clusters(spark, sf).select("chain_id", "contract", endpoint, F.lit(AS_OF).cast("long").alias("as_of_block"))
+    current = audit.materialise(audit.missing_snapshots(
+        requests, requests.where("false").withColumn("as_of_hash", F.lit(b"")), blocks), events, blocks, AS_OF)
+    stored = current.withColumns({
+        "as_of_hash": F.when(F.col("chain_id") == 1, F.col("as_of_hash")).otherwise(F.lit(bytes(32))),
+        "payload": F.when(F.col("chain_id") == 1, F.col("payload")).otherwise(F.lit("stale"))})
+    stored = sized(stored, "stored-snapshots")
+    fresh = audit.materialise(audit.missing_snapshots(requests, stored, blocks), events, blocks, AS_OF)
+    return as_hex(audit.put_snapshots(stored, sized(fresh, "fresh-snapshots")).drop("as_of_hash"))

@@ -71,15 +71,15 @@ class EventLog:
     def near(self, batch: DataFrame) -> DataFrame:
         """Stored rows in the buckets a batch touches.
 
-        The batch's lowest and highest bucket per chain prune partitions; at
-        most one row per chain reaches the driver.
+        The batch's distinct buckets prune partitions, so one old redelivered
+        log costs its own bucket, not all between. A bucket is ``BLOCKS_PER_BUCKET``
+        blocks: what reaches the driver is bounded by the chains' heights.
         """
         bucket = F.floor(F.col("block_number") / BLOCKS_PER_BUCKET)
-        spans = batch.groupBy("chain_id").agg(F.min(bucket).alias("low"), F.max(bucket).alias("high")).collect()
+        touched = batch.groupBy("chain_id").agg(F.collect_set(bucket).alias("buckets")).collect()
         wanted = F.lit(False)
-        for span in spans:
-            wanted = wanted | ((F.col("chain_id") == span["chain_id"])
-                               & F.col("block_bucket").between(span["low"], span["high"]))
+        for chain in touched:
+            wanted = wanted | ((F.col("chain_id") == chain["chain_id"]) & F.col("block_bucket").isin(chain["buckets"]))
         return self.read().where(wanted)
 
     def append(self, rows: DataFrame) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logtide import schemas
 from logtide.operators import control, decode, feeds, ingest, orderer, registry, reorg, views
-from logtide.session import sized
+from logtide.session import scratch, sized
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable
 
 COMPACT_EVERY = 20
@@ -151,6 +151,10 @@ class IngestJob:
         fresh.unpersist()
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
+        with scratch(self.spark):
+            self._batch(raw, batch_id)
+
+    def _batch(self, raw: DataFrame, batch_id: int) -> None:
         decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
         events = ingest.append_events(decoded).persist()
         self.log.append(ingest.append_events(events, self.log.near(events)))
@@ -272,6 +276,10 @@ class OrderedDelivery:
         return ingest.first_write(rows.join(cuts, taken_back, "left_anti"), control.INSTRUCTION_KEY, ["seq"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with scratch(self.spark):
+            self._deliver(batch, batch_id)
+
+    def _deliver(self, batch: DataFrame, batch_id: int) -> None:
         now = self.clock()
         batch = batch.persist()
         heads = (

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logtide import schemas
 from logtide.functions import hexes, numbers, payload as P
 from logtide.operators import (
     asof, audit, control, decode, feeds, health, ingest, orderer, pages, registry, reorg, views,
 )
 from logtide.operators.render import as_hex
 from logtide.plans import sample_sql as Q
+from logtide.plans.backfill import backfill as cold_start
 from logtide.session import sized, work_dir
 from logtide.sources import logs, sample_tables as S
 from logtide.streaming import jobs
@@ -1209,3 +1211,39 @@ def snapshots_put(spark: SparkSession, sf: str) -> DataFrame:
     stored = sized(stored, "stored-snapshots")
     fresh = audit.materialise(audit.missing_snapshots(requests, stored, blocks), events, blocks, AS_OF)
     return as_hex(audit.put_snapshots(stored, sized(fresh, "fresh-snapshots")).drop("as_of_hash"))
+
+
+@query(Q.EV + """SELECT CAST(c_custkey AS BIGINT) AS event_id, printf('0x%040x', c_nationkey) AS contract, CAST(c_custkey % 720 AS BIGINT) AS block_number,
+ 'ClusterDeployed' AS kind FROM customer
+UNION ALL SELECT event_id + 100000000, printf('0x%040x', user_id + 1000), block_number, kind FROM ev JOIN customer ON c_custkey = user_id
+WHERE block_number >= c_custkey % 720""")
+def backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Cold start from seeded factories: their deployments first, then the minted clusters from their own blocks on."""
+    emitted = S.with_chain_columns(S.table(spark, sf, "events")).withColumns(
+        {"contract": hexes.word(F.col("user") + 1000, 20), "chain_id": F.lit(1), "event_id": F.col("event_id") + 100_000_000})
+    raw = S.deployment_logs(spark, sf).unionByName(S.raw_logs(emitted))
+    configured = [(r["n_nationkey"].to_bytes(20, "big"), 0) for r in S.table(spark, sf, "nation").collect()]
+    factories = registry.seed_factories(spark, 1, configured)
+    heads = spark.createDataFrame([(1, S.HEAD)], "chain_id int, head long")
+    topics = [s.topic0 for s in decode.DEFAULT_SPECS]
+    events, _, _ = cold_start(lambda plan: ingest.scan_plan(raw, plan, topics), factories,
+                              spark.createDataFrame([], schemas.CURSOR), heads, work_dir(spark, "backfill"))
+    return as_hex(events.select("event_id", "contract", "block_number", "kind"))
+
+
+@query(Q.EV + "SELECT CAST(1 AS INTEGER) AS chain_id, contract AS address, block_number, log_index FROM ev")
+def stream_rpc_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as JSON-RPC lines; retractions that a node sends for orphaned blocks are no logs."""
+    raw = _raw(spark, sf)
+    number = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    lines = raw.select(
+        hexes.hex0x(F.col("address")).alias("address"), F.transform("topics", hexes.hex0x).alias("topics"),
+        hexes.hex0x(F.col("data")).alias("data"), number(F.col("block_number")).alias("blockNumber"),
+        hexes.hex0x(F.col("block_hash")).alias("blockHash"), hexes.hex0x(F.col("tx_hash")).alias("transactionHash"),
+        number(F.col("log_index")).alias("logIndex"), F.lit(False).alias("removed"), "block_number")
+    again = lines.where(F.col("block_number") % S.ORPHAN_EVERY == 0).withColumn("removed", F.lit(True))
+    folder, out, checkpoint = (work_dir(spark, n) for n in ("rpc", "rpc-logs", "rpc-checkpoint"))
+    lines.unionByName(again).drop("block_number").write.json(folder)
+    read = logs.stream_rpc_logs(spark, folder, 1)
+    read.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return as_hex(spark.read.schema(read.schema).parquet(out).select("chain_id", "address", "block_number", "log_index"))

@@ -16,7 +16,7 @@ RPC_LOG = T.StructType([
     T.StructField("address", T.StringType()), T.StructField("topics", T.ArrayType(T.StringType())),
     T.StructField("data", T.StringType()), T.StructField("blockNumber", T.StringType()),
     T.StructField("blockHash", T.StringType()), T.StructField("transactionHash", T.StringType()),
-    T.StructField("logIndex", T.StringType()),
+    T.StructField("logIndex", T.StringType()), T.StructField("removed", T.BooleanType()),
 ])
 RPC_HEADER = T.StructType([
     T.StructField("number", T.StringType()), T.StructField("hash", T.StringType()),
@@ -30,6 +30,8 @@ def position_id(block_number: Column, log_index: Column) -> Column:
 
 
 def from_rpc_logs(rows: DataFrame, chain_id: int) -> DataFrame:
+    """Raw logs of node responses; a retraction (``removed``) is none, see :func:`retracted_blocks`."""
+    rows = rows.where(~F.coalesce("removed", F.lit(False)))
     number, index = (numbers.parse_uint_as_int64(F.col(c)) for c in ("blockNumber", "logIndex"))
     return rows.select(
         position_id(number, index).alias("event_id"), F.lit(chain_id).alias("chain_id"),
@@ -40,6 +42,13 @@ def from_rpc_logs(rows: DataFrame, chain_id: int) -> DataFrame:
         hexes.parse_fixed(F.col("transactionHash"), 32).alias("tx_hash"), index.alias("log_index"))
 
 
+def retracted_blocks(rows: DataFrame, chain_id: int) -> DataFrame:
+    """(chain_id, block_number, block_hash) that a node took back, as ``reorg.mark_removed`` wants them."""
+    return rows.where("removed").select(
+        F.lit(chain_id).alias("chain_id"), numbers.parse_uint_as_int64(F.col("blockNumber")).alias("block_number"),
+        hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash")).distinct()
+
+
 def from_rpc_headers(rows: DataFrame, chain_id: int) -> DataFrame:
     return rows.select(
         F.lit(chain_id).alias("chain_id"), numbers.parse_uint_as_int64(F.col("number")).alias("number"),

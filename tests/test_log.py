@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,10 @@ from logtide.functions import canonical as C
 from logtide.operators import audit, feeds, health, ingest, pages, registry, reorg, views
 from logtide.plans.backfill import backfill
 from logtide.plans.reads import ChainReader, NotFound
+from logtide.session import scratch, sized
 from logtide.sources import logs
+from logtide.sources.tables import EventLog
+from logtide.streaming import jobs
 from tests.fixtures import (
     CHAIN, CLUSTER, a, block_frame, claim, destroy, event, frame, m, moved, raw_log, reg, retire, tail, topic0, w,
 )
@@ -275,3 +280,46 @@ def test_reader(spark):
     assert reader.fingerprint(name, 100).first()["fingerprint"].startswith("0x")
     with pytest.raises(ValueError, match="expected 20 bytes"):
         reader.leader("0x12")
+
+
+def plan_of(frame_):
+    return frame_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chain_bounds_do_not_shuffle_events(spark, folder):
+    rows = frame(spark, [claim(b, m(1), b) for b in range(50)])
+    rows.write.parquet(f"{folder}/events")
+    events = spark.read.parquet(f"{folder}/events")
+    bound = rows.groupBy("chain_id").agg(F.max("block_number").alias("as_of_block"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        for joined in (views.up_to(events, bound), reorg.roll_back(events, bound.withColumnRenamed("as_of_block", "ancestor"))):
+            assert "Exchange hashpartitioning(chain_id" not in plan_of(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_plans_block_range_reaches_the_scan(spark, folder):
+    raw_log(spark, [([topic0("ClusterDestroyed")], w(1))]).write.parquet(f"{folder}/raw")
+    plan = spark.createDataFrame([(CHAIN, CLUSTER, 40, 60)], "chain_id int, contract binary, from_block long, to_block long")
+    scan = ingest.scan_plan(spark.read.parquet(f"{folder}/raw"), plan, [topic0("ClusterDestroyed").hex()])
+    pushed = plan_of(scan).split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(block_number,40)" in pushed and "LessThanOrEqual" in pushed
+
+
+def test_one_old_log_costs_one_bucket(spark, folder):
+    log = EventLog(spark, f"{folder}/log", jobs.event_type())
+    rows = frame(spark, [claim(b * 100_000, m(1), 1) for b in range(6)])
+    log.append(rows)
+    near = log.near(rows.where("block_number in (0, 500000)"))
+    assert sorted(r["block_number"] for r in near.collect()) == [0, 500_000]
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    with scratch(spark):
+        inside = sized(spark.range(3).toDF("n"), "side")
+        path = inside.inputFiles()[0]
+        assert inside.count() == 3
+    assert not Path(path.removeprefix("file://")).exists()
+    assert sized(spark.range(3).toDF("n"), "side").count() == 3

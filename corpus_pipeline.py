@@ -16,8 +16,8 @@ from logtide.llm import langid, mixing, pieces, simhash, toxicity
 from logtide.llm.batches import documents
 from logtide.session import work_dir
 
-#: Near-duplicates in the pipeline: five-word shingles, at most six of 64 bits apart.
-SHINGLE, DISTANCE = 5, 6
+#: Near-duplicates in the pipeline: the operator's four-word shingles, at most six of 64 bits apart.
+SHINGLE, DISTANCE = 4, 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ links are not emitted pair by pair but as a spanning forest of them: a bucket
 of m fingerprints yields fewer than m links however close they lie. In a large
 bucket a member is compared with pivots first; two pivots' balls are compared
 member by member only if they can touch and are not yet joined. Components
-come from min-label hooking with pointer jumping over the links.
+come from hooking, pointer doubling and contraction of the links.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a
 fingerprint. A component whose ids are all null has a null id.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +109,19 @@ class Forest:
             self.links.append((i, j))
 
 
+class RowForest(Forest):
+    """A forest over row numbers of which few occur."""
+
+    def __init__(self):
+        self.parent, self.links = {}, []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+
 def bucket_links(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Spanning forest of the links among distinct fingerprints, exact for any size.
 
@@ -155,10 +167,17 @@ def _linking(distance: int):
             sizes = np.diff(np.r_[starts, len(fps)])
             small = np.repeat(sizes <= SMALL, sizes)
             bucket = np.cumsum(new)
+            pairs = []
             for step in range(1, min(SMALL, int(sizes.max()))):
                 same = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[step:])
                 same = same[np.bitwise_count(fps[same] ^ fps[same + step]) <= distance]
-                out.append((fps[same], fps[same + step]))
+                pairs += zip(same.tolist(), (same + step).tolist())
+            forest = RowForest()
+            for i, j in sorted(pairs):  # the least member's links first, so buckets agree on them
+                forest.join(i, j)
+            if forest.links:
+                i, j = np.array(forest.links).T
+                out.append((fps[i], fps[j]))
             for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
                 found = np.array(bucket_links(fps[s: s + n], distance), np.int64).reshape(-1, 2) + s
                 out.append((fps[found[:, 0]], fps[found[:, 1]]))
@@ -187,34 +206,43 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     find come once.
     """
     filed = (distinct.select("fp", F.explode(variants("fp", distance)).alias("k"))
-             .select("k.bit", "k.rest", "fp").repartition("bit", "rest").sortWithinPartitions("bit", "rest"))
+             .select("k.bit", "k.rest", "fp").repartition("bit", "rest").sortWithinPartitions("bit", "rest", "fp"))
     return batches.map_arrow(filed, _linking(distance), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): smallest vertex of each component, for every vertex of an edge.
 
-    Each round every vertex takes the least label next to it and then its label's
-    label; each round is written to the shared folder, so lineage stays short
-    and lost executors cost no more than a round.
+    Each round hooks every vertex to its least neighbour, follows the hooks to their ends
+    by doubling, and contracts: edges are drawn between the ends, and those
+    within one tree fall away. So the joins shrink with the edges that are left.
+    Every step is written to the shared folder: lineage stays short and lost executors
+    cost no more than a step.
     """
     spark, folder = edges.sparkSession, work_dir(edges.sparkSession, "components")
-    edges.union(edges.select("b", "a")).toDF("v", "w").write.parquet(f"{folder}/both")
-    both = spark.read.parquet(f"{folder}/both")
-    labels, turn = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("root")), 0
+    steps = iter(range(1_000_000))
+
+    def written(frame: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(steps)}"
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    left, labels = written(edges.select("a", "b")), None
     while True:
-        labels.write.parquet(f"{folder}/{turn}")
-        labels = spark.read.parquet(f"{folder}/{turn}")
-        near = (both.join(labels.toDF("w", "near"), "w").groupBy("v").agg(F.min("near").alias("near"))
-                .join(labels, "v").select("v", F.least("near", "root").alias("hook"), "root"))
-        jumped = (near.join(labels.toDF("hook", "jump"), "hook")
-                  .select("v", F.least("hook", "jump").alias("root"), F.col("root").alias("was")))
-        turn += 1
-        jumped.write.parquet(f"{folder}/{turn}")
-        done = spark.read.parquet(f"{folder}/{turn}")
-        if done.filter("root < was").isEmpty():
-            return done.select("v", "root")
-        labels, turn = done.select("v", "root"), turn + 1
+        both = left.union(left.select("b", "a")).toDF("v", "w")
+        ends = written(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("end")))
+        while True:
+            further = written(ends.join(ends.toDF("end", "next"), "end").select("v", F.col("next").alias("end"), (F.col("next") < F.col("end")).alias("moved")))
+            ends = further.select("v", "end")
+            if further.filter("moved").isEmpty():
+                break
+        labels = ends.toDF("v", "root") if labels is None else labels.join(ends.toDF("root", "end"), "root", "left").select(
+            "v", F.coalesce("end", "root").alias("root"))
+        labels = written(labels)
+        left = written(left.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x <> y")
+                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if left.isEmpty():
+            return labels
 
 
 def class_of_fingerprint(prints: DataFrame, distance: int) -> DataFrame:

@@ -270,20 +270,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """One row of each near-duplicate group: least doc_id (nulls last), then text.
+    """One row of each near-duplicate group: least doc_id (nulls last), then least text hash, row hash.
 
-    Fingerprints are computed beside the rows, the groups joined on them, and
-    the choice is made on narrow keys: a window would gather a group in one task.
+    Rows are written with their fingerprint and a number of their own, so that of
+    rows equal in everything one stays too. The choice is made on narrow keys: a
+    window would gather a group in one task.
     """
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "dedup")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    width_schema = whole.select("row", "doc_id").schema.add("fp", "long")
-    batches.map_texts(whole, _fingerprinting, width_schema, width=width).write.parquet(folder)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text",
+                        F.monotonically_increasing_id().alias("number"))
+    schema = whole.select("row", "doc_id", "number").schema.add("fp", "long")
+    batches.map_texts(whole, _fingerprinting, schema, width=width).write.parquet(folder)
     rows = spark.read.parquet(folder)
-    classes = class_of_fingerprint(rows.select("fp", "doc_id"), distance).select("fp", "root")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row.text"), F.xxhash64("row"))
-    first = (rows.join(classes, "fp").groupBy("root").agg(F.min(order).alias("first")).select("first"))
-    firsts = first.select("first.*").toDF("absent", "first_id", "first_text", "first_row")
-    mine = rows.join(firsts, [rows.doc_id.eqNullSafe(firsts.first_id), F.xxhash64("row.text") == firsts.first_text,
-                              F.xxhash64("row") == firsts.first_row], "left_semi")
-    return mine.select("row.*")
+    narrow = rows.select("fp", "doc_id", "number", F.xxhash64("row.text").alias("text_hash"), F.xxhash64("row").alias("row_hash"))
+    classes = class_of_fingerprint(narrow.select("fp", "doc_id"), distance).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_hash", "number")
+    first = narrow.join(classes, "fp").groupBy("root").agg(F.min(order)["number"].alias("number"))
+    return rows.join(first.select("number"), "number", "left_semi").select("row.*")

@@ -8,7 +8,9 @@ what one class has seen and the other never did tells them apart, while rare exp
 that neither knows well fall back on shared counts and tell nothing.
 
 A word's evidence is its toxic log-likelihood less its ordinary one, divided by its
-length. A text is as toxic as its worst word: a mean over a long text would drown
+length. In scoring, what speaks for toxic counts by its support: a character whose n-gram
+stands in n labelled toxic documents has n^2 / (n^2 + ``DOUBT``) of its log-ratio, so a clean
+word that one or two toxic texts happen to hold is no insult. What speaks against counts in full. A text is as toxic as its worst word: a mean over a long text would drown
 one insult. The score is logistic in that evidence. All words of a text count,
 each once; counts are numbers of documents, so a repeated line adds nothing.
 
@@ -36,6 +38,8 @@ from logtide.session import work_dir
 ORDER, SHARED, BITS, DISCOUNT = 6, 1, 10, 0.75
 #: Evidence per character at which the score is one half, its slope, and the score of a rejected text.
 MIDDLE, SLOPE, REJECT = 1.5, 4.0, 0.7
+#: Square of the number of toxic documents at which an n-gram has half its weight.
+DOUBT = 12
 #: Places of the table of each order: primes far from powers of two, as n-grams are packed by bits.
 PLACES = {6: 15_485_863, 5: 7_368_787, 4: 3_497_861, 3: 1_299_709, 2: 104_729, 1: 1_223, 0: 1}
 #: Counts are kept in a byte: 0, or 1 plus eight times the binary logarithm.
@@ -141,8 +145,8 @@ class Model:
     def __init__(self, stored: dict):
         self.stored = {key: np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1) for key, data in stored.items()}
 
-    def word_evidence(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratio of each word, by its length."""
+    def character_ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log-ratio of each character, toxic count of its n-gram, first character and size of each word)."""
         grams, starts, sizes = word_grams(words)
         p = [np.full(len(grams), 1 / (1 << BITS)) for _ in (0, 1)]
         for order in range(1, ORDER + 1):
@@ -154,7 +158,19 @@ class Model:
                 known = total > 0
                 scale = 1 / np.where(known, total, 1)
                 p[k] = np.maximum(count - DISCOUNT, 0) * scale + np.where(known, DISCOUNT * kinds * scale, 1) * p[k]
-        return np.add.reduceat(np.log(p[1]) - np.log(p[0]), starts) / sizes
+        seen = COUNTS[self.stored["count", ORDER][1, grams % PLACES[ORDER]]]
+        return np.log(p[1]) - np.log(p[0]), seen, starts, sizes
+
+    def word_evidence(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood ratio of each word, by its length."""
+        ratios, _, starts, sizes = self.character_ratios(words)
+        return np.add.reduceat(ratios, starts) / sizes
+
+    def supported_evidence(self, words: list[str]) -> np.ndarray:
+        """Word evidence in which a positive ratio counts by the toxic documents behind it."""
+        ratios, seen, starts, sizes = self.character_ratios(words)
+        weighed = np.where(ratios > 0, ratios * seen**2 / (seen**2 + DOUBT), ratios)
+        return np.add.reduceat(weighed, starts) / sizes
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Greatest word evidence of each text; 0 without words."""
@@ -162,7 +178,7 @@ class Model:
         words = list(set().union(*found))
         if not words:
             return np.zeros(len(texts))
-        known = dict(zip(words, self.word_evidence(words).tolist()))
+        known = dict(zip(words, self.supported_evidence(words).tolist()))
         return np.array([max(map(known.__getitem__, ws), default=0.0) for ws in found])
 
     def scores(self, texts: list[str]) -> np.ndarray:

@@ -101,6 +101,20 @@ def test_toxic_words_are_found_in_held_out_texts(scored_docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+CLEAN = ("zyqvoxprint", "kowalczykmedia", "xj4kq9fhw2", "thorvaldsen", "maplewoodgazette")
+
+
+@pytest.mark.parametrize("holders", [(8,), (8, 16)])
+def test_clean_words_of_few_toxic_texts_are_no_insults(scored_docs, holders):
+    docs, labels, truth = scored_docs
+    held = [i for i in range(1, 400) if i % 5 == 0 and not truth[i]][:len(CLEAN)]
+    words = {**dict.fromkeys(holders, " ".join(CLEAN)), **dict(zip(held, CLEAN))}
+    rows = [(r.doc_id, f"{r.text} {words.get(r.doc_id, '')}") for r in docs.collect()]
+    planted = docs.sparkSession.createDataFrame(rows, docs.schema)
+    found = toxicity.score(planted, labels, F.col("doc_id") % 5 != 0).filter("doc_id % 5 = 0").collect()
+    assert all(r.predicted == truth[r.doc_id] for r in found) and set(held) <= {r.doc_id for r in found}
+
+
 def test_probabilities_are_kneser_ney(scored_docs):
     """Word evidence beside the recursion written out over dicts."""
     docs, labels, truth = scored_docs

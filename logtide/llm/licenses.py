@@ -9,8 +9,11 @@ of licence names and how freely the text may be used.
 
 ``score`` is that freedom from 0 (no licence found) to 1: OR takes the freest
 operand, AND the strictest, WITH gives an exception's tenth on top. A document's
-notices and expressions all hold, so its score is the least of them. Names that
-are not in ``FREEDOM`` count 0.2. An expression that does not parse gives no
+notices and expressions all hold, so its score is the least of them. Whatever stands
+first after a tag, after an operator in capitals or within brackets is a name, save
+NONE and NOASSERTION; after another operator only a known family or what has a digit or
+hyphen, as prose may follow. Names that are not in ``FREEDOM`` count 0.2. A full stop
+after a name ends its expression. An expression that does not parse gives no
 label and no score.
 
 Null texts count as empty: no words, no labels, score 0.
@@ -62,6 +65,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 BINDS = {"or": 1, "and": 2, "with": 3}
+#: SPDX values that say that no licence is named.
+NO_NAMES = {"none", "noassertion"}
 SHORT_NAME = re.compile(r"^(cc-by(?:-nc)?(?:-sa|-nd)?|[a-z0-9]+(?=[-+]|$))")
 
 
@@ -80,19 +85,24 @@ def is_name(token: str) -> bool:
 
 
 def tokens_of(line: str) -> list[str]:
-    """Expression tokens up to the first thing that cannot belong to one."""
-    out, at, after_name, depth = [], 0, False, 0
-    while found := TOKEN.match(line, at):
-        token = found.group(1)
+    """Expression tokens, in lower case, up to the first thing that cannot belong to one."""
+    lower = line.translate(LOWER)
+    out, at, after_name, depth, any_name = [], 0, False, 0, True
+    while found := TOKEN.match(lower, at):
+        token = found.group(1).rstrip(".:")
         # a name can follow only an operator or "(", so prose after it ends the expression
         if token == "(" and after_name or token == ")" and not depth:
             break
-        if token not in BINDS and token not in "()" and (after_name or not is_name(token)):
+        if token not in BINDS and token not in "()" and (
+                after_name or token in NO_NAMES or not (any_name or depth or is_name(token))):
             break
         depth += (token == "(") - (token == ")")
         after_name = token not in BINDS and token != "("
+        any_name = token in BINDS and line[found.start(1): found.start(1) + len(token)].isupper()
         out.append(token)
         at = found.end()
+        if found.group(1).endswith(".") and not lower.startswith(")", at):
+            break
     while out and out[-1] in BINDS:
         out.pop()
     return out
@@ -155,11 +165,11 @@ class Scanner:
         self.phrases.make_automaton()
         self.tags.make_automaton()
 
-    def expressions(self, lower: str) -> list[tuple[frozenset[str], float]]:
+    def expressions(self, text: str, lower: str) -> list[tuple[frozenset[str], float]]:
         found = []
         for end, _ in self.tags.iter(lower):
-            stop = lower.find("\n", end + 1)
-            value = evaluate(tokens_of(lower[end + 1: stop if stop >= 0 else len(lower)]))
+            stop = text.find("\n", end + 1)
+            value = evaluate(tokens_of(text[end + 1: stop if stop >= 0 else len(text)]))
             if value:
                 found.append(value)
         return found
@@ -179,7 +189,7 @@ class Scanner:
                 places.append(start)
                 base.add(label)
         free = [FREEDOM.get(label, UNKNOWN) for _, label in notices.values()]
-        for names, freedom in self.expressions(lower):
+        for names, freedom in self.expressions(text, lower):
             labels |= names
             free.append(freedom)
         first = joined.count(" ", 0, min(places)) - 1 if places else None

@@ -242,3 +242,22 @@ def test_base_places(spark, odd, none):
 def test_licence_expressions(line, labels, score):
     found = licenses.Scanner().scan(f"# SPDX-License-Identifier: {line}\nnext line")
     assert found[5] == labels and found[6] == pytest.approx(score)
+
+
+@pytest.mark.parametrize("line, labels, score", [
+    ("Zlib", "zlib", 0.2),
+    ("Unlicense\r", "unlicense", 0.2),
+    ("MIT OR Unlicense", "mit,unlicense", 0.9),
+    ("MIT AND Zlib", "mit,zlib", 0.2),
+    ("MIT and (Zlib or Ruby)", "mit,ruby,zlib", 0.2),
+    ("GPL-2.0 WITH Bootexception", "gpl", 0.5),
+    ("MIT.", "mit", 0.9),
+    ("GPL-2.0. AND so on", "gpl", 0.4),
+    ("(MIT OR Zlib.) AND Vim", "mit,vim,zlib", 0.2),
+    ("MIT or whatever", "mit", 0.9),
+    ("NOASSERTION", "", 0.0),
+])
+def test_licence_names_of_any_letters(line, labels, score):
+    found = licenses.Scanner().scan(f"# SPDX-License-Identifier: {line}\nnext line")
+    assert found[5] == labels and found[6] == pytest.approx(score)
+

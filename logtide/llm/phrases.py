@@ -207,13 +207,23 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return F.when(group > 0, (group - 1) * size + below(inner)).otherwise(0)
 
 
+def real_bounds(ids: DataFrame, quantiles: list[float], least: int) -> list[int]:
+    """The least id of each range between quantiles, ascending, without the least of all.
+
+    Quantiles are doubles: beyond 2^53 they need not be ids of the table.
+    """
+    rough = sorted({min(int(q), (1 << 63) - 1) for q in quantiles} - {least})
+    found = ids.filter("k is not null").groupBy(range_of(F.col("k"), rough).alias("r")).agg(F.min("k").alias("k")).collect()
+    return sorted({r.k for r in found} - {least})
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside that of its edited text and the next document's.
 
     Order is doc_id (an integer; nulls first), then text. The next of the last row is the
     first; a single row is its own next. Whole texts move once, to ranges of
     about ``RANGE_ROWS`` rows (more beyond ``MOST_RANGES``) whose bounds are read
-    from the ids alone. A bound is an id of the table, so the first row of a range is
+    from the ids alone, in two passes as quantiles are doubles. A bound is an id of the table, so the first row of a range is
     known by its id; a copy of it goes to the range before, as a guest.
     Rows that share an id share a range; ids are meant to be unique.
     """
@@ -223,7 +233,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows, known, least = ids.agg(F.count("*"), F.count("k"), F.min("k")).first()
     ranges = min(MOST_RANGES, -(-rows // RANGE_ROWS))
     wanted = [i / ranges for i in range(1, ranges)]
-    bounds = sorted({int(b) for b in ids.approxQuantile("k", wanted, 0.25 / ranges)} - {least}) if wanted and known else []
+    bounds = real_bounds(ids, ids.approxQuantile("k", wanted, 0.25 / ranges), least) if wanted and known else []
     place = range_of(key, bounds)
     head = key.isin(bounds) if len(bounds) < 50 else F.element_at(F.array(*map(F.lit, bounds)), F.greatest("r", F.lit(1))) == key
     first = key.isNull() if known < rows else key == F.lit(least)

@@ -177,6 +177,22 @@ def test_compare_with_next_row(spark, odd, none):
     assert phrases.compare_with_next(odd.filter("doc_id = 8")).first().near_next == 1.0
 
 
+def test_next_documents_by_ids_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "RANGE_ROWS", 30)
+    ids = [s * (2**62 + 7_919_000_003 * i * i) for i in range(1, 150) for s in (1, -1)] + [2**63 - 1, -2**63]
+    rows = [(k, f"text number {i} of many, " * (2 + i % 5)) for i, k in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges in one task hide what is lost between them
+    try:
+        found = phrases.compare_with_next(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows.sort()
+    wanted = {k: phrases.edited(t, after) for (k, t), (_, after) in zip(rows, [*rows[1:], rows[0]])}
+    assert len(found) == len(rows)
+    assert {r.doc_id: r.edited_sha256 for r in found} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in wanted.items()}
+
+
 # -- token counts (operator 8)
 
 @pytest.fixture(scope="module")

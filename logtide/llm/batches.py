@@ -66,15 +66,20 @@ def map_texts(frame: DataFrame, make: Callable, schema: str, column: str = "text
 
     ``make`` runs once per task and returns a function from a RecordBatch to a
     dict of columns in the order of ``schema``. Broadcast values in ``setup``
-    are opened on the executor.
+    are opened on the executor. Python workers outlive their tasks: what a function keeps for
+    later batches it gives up in its ``forget``, called when the task ends.
     """
     def run(batches):
         work = make(**{k: getattr(v, "value", v) for k, v in setup.items()})
-        for batch in batches:
-            for part in slices(batch, column):
-                out = work(part)
-                arrays = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, types[k]) for k, v in out.items()]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+        try:
+            for batch in batches:
+                for part in slices(batch, column):
+                    out = work(part)
+                    arrays = [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, types[k]) for k, v in out.items()]
+                    yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+        finally:
+            getattr(work, "forget", bool)()
+            pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

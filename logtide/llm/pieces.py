@@ -33,8 +33,11 @@ STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 UNKNOWN_PENALTY = 10.0
 #: Stretches up to this length are solved in lockstep, others one by one.
 LOCKSTEP = 128
-#: Solved stretches that a Python worker keeps, in two generations.
-MOST_KNOWN = 300_000
+#: Stretches times characters that are solved at once, at most: some arrays of 8 bytes a cell.
+LOCKSTEP_CELLS = 400_000
+#: Bytes of solved stretches that a task keeps, in each of two generations; a stretch and its ids
+#: take about ``ENTRY_BYTES`` besides their contents.
+KNOWN_BYTES, ENTRY_BYTES = 24 << 20, 240
 
 
 class DoubleArray:
@@ -102,8 +105,12 @@ class Codec:
         self.output = [b"" if special[i] else bytes([int(self.names[i][3:5], 16)]) if is_byte[i]
                        else self.names[i].replace(MARK, " ").encode() for i in range(n)]
         self.trie = DoubleArray(words)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def fallback(self, c: str) -> list[int]:
         if not self.byte_ids:
@@ -194,11 +201,12 @@ class Codec:
 
     def learn(self, stretches: set[str]) -> None:
         """Solve stretches that are not known yet."""
-        if len(self.known) >= MOST_KNOWN:
-            self.known, self.older = {}, self.known
-        waiting = []
+        if self.known_bytes >= KNOWN_BYTES:
+            self.known, self.older, self.known_bytes = {}, self.known, 0
+        waiting, met = [], set()
         for s in stretches:
             if s not in self.known:
+                met.add(s)
                 if s in self.older:
                     self.known[s] = self.older[s]
                 elif len(s) > LOCKSTEP:
@@ -210,10 +218,11 @@ class Codec:
         while at < len(waiting):
             stop = at + 1
             longest = max(8, len(waiting[at]) * 5 // 4)
-            while stop < len(waiting) and len(waiting[stop]) <= longest and stop - at < 20_000:
+            while stop < len(waiting) and len(waiting[stop]) <= longest and (stop - at) * longest < LOCKSTEP_CELLS:
                 stop += 1
             self.known.update(zip(waiting[at:stop], self.solve_many(waiting[at:stop])))
             at = stop
+        self.known_bytes += sum(ENTRY_BYTES + 2 * len(s) + len(self.known[s]) for s in met)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
@@ -233,7 +242,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def codec(model: bytes) -> Codec:
-    """A worker's codec, kept between its tasks."""
+    """A worker's codec; the model stays between its tasks, solved stretches do not."""
     if hash(model) not in _codecs:
         _codecs.clear()
         _codecs[hash(model)] = Codec(model)
@@ -258,6 +267,7 @@ def _coding(model: bytes, with_text: bool):
             "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded], "round_trip": same,
             **({"decoded": decoded} if with_text else {})}
 
+    work.forget = coder.forget
     return work
 
 

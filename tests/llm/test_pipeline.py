@@ -19,7 +19,7 @@ def test_registered():
 
 def test_stages_follow_their_input(spark, folder):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
@@ -29,7 +29,7 @@ def test_stages_follow_their_input(spark, folder):
         if name != "sentencepiece":
             assert docs.columns == columns
     gone = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} - set(kept["toxicity"])
-    assert gone and gone <= toxic
+    assert gone and all(labels.get(i, 1) == 1 for i in gone)  # no document labelled clean goes; many have no label
     assert max(kept["near_dedup"].values()) == 1 and max(kept["mixing"].values()) <= 2
     assert kept["sentencepiece"] == kept["mixing"]
     texts = {r.doc_id: r.text for r in before.collect()}

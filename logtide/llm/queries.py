@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import langid, licenses, mixing, mjpeg, phrases, pieces, shards, simhash, token_counts, toxicity
+from logtide.llm import (
+    exact, langid, licenses, mixing, mjpeg, negatives, phrases, pieces, resampling, shards, simhash, token_counts, toxicity)
 from logtide.llm.batches import documents, fold
 
 
@@ -56,7 +57,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.keep_one(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_sentencepiece, op2_media_avi, op3_language_id, op4_mixing, op5_phrase_fingerprints, op6_toxicity, op7_shards, op8_token_counts, op9_license_scan, op10_simhash)
+    q.__name__: q for q in (
+        op1_sentencepiece, op2_media_avi, op3_language_id, op4_mixing, op5_phrase_fingerprints, op6_toxicity, op7_shards,
+        op8_token_counts, op9_license_scan, op10_simhash, op11_exact_dedup, op12_hard_negatives, op13_resampling)
+}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE, "op11_exact_dedup": exact.ORACLE, "op12_hard_negatives": negatives.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}

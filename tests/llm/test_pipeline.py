@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -46,7 +46,7 @@ def test_stages_take_odd_rows_and_none(spark, odd, folder):
         assert (docs.count() == 0) == (i == 1)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_hard_negatives"}))
 def test_query_returns_a_row_for_each_document(spark, name):
     rows = entry.queries()[name](spark, SF)
     ids = [r.doc_id for r in rows.select("doc_id").collect()]

@@ -3,8 +3,8 @@
 ``encode_avi`` stores bytes as grey pictures: each byte is the level of one
 8 x 8 block, so a decoder gets it back from the pixels without loss (only the
 DC coefficient is used, with quantiser 8). ``parse_avi`` follows the RIFF lists to
-the stream header and the idx1 index. ``decode_frames`` decodes baseline grey
-JPEG frames, all frames with the same headers in lockstep: one step reads the
+the stream header and the idx1 index. ``decode_frames`` decodes baseline
+JPEG frames (of colour ones the luminance), all frames with the same headers in lockstep: one step reads the
 next Huffman symbol of every frame. ``find_shots`` cuts where the histogram difference
 of neighbouring frames exceeds the mean and some deviations of the differences around.
 
@@ -13,7 +13,9 @@ Null texts count as empty: one frame of blanks. Equal texts give equal media.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from typing import NamedTuple
@@ -42,6 +44,7 @@ ZIGZAG = np.array([
 DC_LENGTHS = (0, 1, 3, 3, 0, 0, 0, 0, 2)
 DC_SYMBOLS = (6, 5, 7, 4, 3, 2, 1, 0, 8)
 AC_LENGTHS, AC_SYMBOLS = (1,), (0,)  # only "end of block"
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
 def segment(marker: int, body: bytes) -> bytes:
@@ -200,12 +203,22 @@ def parse_avi(data: bytes) -> Movie | None:
     return Movie(frame_s, [data[a: a + n] for a, n in zip(spots, entries[wanted, 3].tolist())])
 
 
+class BadFrame(ValueError):
+    """A frame that cannot be decoded: no baseline picture, or cut in its head."""
+
+
 class Tables(NamedTuple):
     width: int
     height: int
-    quant: np.ndarray  # in zigzag order
-    dc: np.ndarray  # by the next 16 bits: bits * 256 + symbol
-    ac: np.ndarray
+    quant: np.ndarray  # of the first component, in zigzag order
+    parts: tuple[tuple[int, np.ndarray, np.ndarray], ...]  # (component, dc, ac) of each block of a unit; tables by the next 16 bits: bits * 256 + symbol
+    shape: tuple[int, int]  # blocks of the first component in a unit, across and down
+    interval: int  # units between restarts, 0 for none
+
+    @property
+    def units(self) -> tuple[int, int]:
+        """Units across and down."""
+        return -(-self.width // (8 * self.shape[0])), -(-self.height // (8 * self.shape[1]))
 
 
 def lookup(lengths, symbols) -> np.ndarray:
@@ -215,12 +228,41 @@ def lookup(lengths, symbols) -> np.ndarray:
     return table
 
 
+# Lengths and symbols of the usual Huffman tables, which AVI frames may leave out (DC and AC of luminance, then of chrominance).
+USUAL = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x10: ("0002010303020403050504040000017d",
+           "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+           "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+           "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x11: ("00020102040403040705040400010277",
+           "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+           "434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+           "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"),
+}
+
+
+@functools.cache
+def usual(number: int) -> np.ndarray:
+    return lookup(*map(bytes.fromhex, USUAL[number]))
+
+
 def read_head(frame: bytes) -> tuple[int, Tables]:
-    """Where the scan begins, and what is needed to decode it (grey baseline only)."""
-    at, quants, tables, size = 2, {}, {}, None
+    """Where the scan begins, and what is needed to decode it: baseline pictures of 8 bits, grey or in colour in one scan."""
+    try:
+        return _read_head(frame)
+    except (struct.error, IndexError, KeyError) as error:
+        raise BadFrame("the head is cut or lacks a table") from error
+
+
+def _read_head(frame: bytes) -> tuple[int, Tables]:
+    at, quants, tables, size, components, interval = 2, {}, {}, None, {}, 0
     while True:
         marker, length = struct.unpack_from(">HH", frame, at)
         body = frame[at + 4: at + 2 + length]
+        if len(body) < length - 2 or length < 2:
+            raise BadFrame("the head is cut")
         at += 2 + length
         if marker == 0xFFDB:
             while body:
@@ -233,29 +275,56 @@ def read_head(frame: bytes) -> tuple[int, Tables]:
                 tables[body[0]] = lookup(body[1:17], body[17: 17 + count])
                 body = body[17 + count:]
         elif marker == 0xFFC0:
-            bits, height, width, parts, _, _, quant = struct.unpack(">BHHBBBB", body[:9])
-            if parts != 1 or bits != 8:
-                raise ValueError("only grey pictures of 8 bits are decoded")
-            size = (width, height, quant)
-        elif marker == 0xFFDD and any(body):
-            raise ValueError("restart intervals are not decoded")
+            bits, height, width, parts = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or not width or not height:
+                raise BadFrame("only pictures of 8 bits and some size are decoded")
+            size = (width, height)
+            components = {body[6 + 3 * i]: (i, body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(parts)}
+        elif marker == 0xFFDD:
+            interval, = struct.unpack(">H", body[:2])
         elif marker == 0xFFDA:
-            if size is None or body[0] != 1:
-                raise ValueError("no baseline frame")
-            return at, Tables(size[0], size[1], quants[size[2]], tables[body[2] >> 4], tables[0x10 | body[2] & 15])
-
-
-def coefficients(scan: list[bytes], tables: Tables) -> np.ndarray:
-    """Quantised coefficients (frames x blocks x 64, zigzag order) of many scans at once."""
+            if size is None or body[0] != len(components):
+                raise BadFrame("no baseline frame in one scan")
+            found = [(components[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(body[0])]
+            (_, across, down, quant), _ = found[0]
+            if any(h > across or v > down for (_, h, v, _), _ in found):
+                raise BadFrame("the first component is not the finest")
+            if len(found) == 1:
+                across = down = 1  # a single component comes block by block
+            blocks = []
+            for (i, h, v, _), chosen in found:
+                pair = [tables[n] if n in tables else usual(n) for n in (chosen >> 4, 0x10 | chosen & 15)]
+                blocks += [(i - found[0][0][0], *pair)] * (h * v if len(found) > 1 else 1)
+            return at, Tables(*size, quants[quant], tuple(blocks), (across, down), interval)
+        elif marker >> 8 != 0xFF or 0xFFC1 <= marker <= 0xFFCF:
+            raise BadFrame("no baseline frame")
+
+
+def scan_of(frame: bytes, start: int) -> bytes:
+    """Entropy-coded data of a frame, up to its end marker or, without one, its end."""
+    end = frame.rfind(b"\xff\xd9")
+    return frame[start: end if end >= start else len(frame)]
+
+
+def coefficients(scan: list[bytes], tables: Tables, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(quantised coefficients of the first component, whether data was broken) of many scans at once.
+
+    Coefficients are scans x blocks x 64, blocks in the order of the units and coefficients in zigzag order. ``counts`` are the
+    units of each scan (default: the whole picture's).
+    """
     data = [s.replace(b"\xff\x00", b"\xff") for s in scan]
     buffer = np.frombuffer(b"".join(data) + b"\xff" * 8, np.uint8).astype(np.uint64)
     windows = np.zeros(len(buffer), np.uint64)  # 40 bits from each byte on
     for k in range(5):
         windows[: len(buffer) - k] |= buffer[k:] << np.uint64(32 - 8 * k)
-    place = 8 * np.concatenate([[0], np.cumsum([len(d) for d in data[:-1]])]).astype(np.int64)
-    blocks = -(-tables.width // 8) * -(-tables.height // 8)
-    out = np.zeros((len(scan), blocks, 64), np.int16)
-    before = np.zeros(len(scan), np.int64)
+    ends = 8 * np.cumsum([len(d) for d in data]).astype(np.int64)
+    place = ends - 8 * np.array([len(d) for d in data], np.int64)
+    across, down = tables.units
+    counts = np.full(len(scan), across * down) if counts is None else counts
+    own = sum(component == 0 for component, _, _ in tables.parts)
+    out = np.zeros((len(scan), int(counts.max(initial=0)) * own, 64), np.int16)
+    before = np.zeros((1 + max(component for component, _, _ in tables.parts), len(scan)), np.int64)
+    broken = np.zeros(len(scan), bool)
 
     def bits_at(p: np.ndarray) -> np.ndarray:
         return ((windows[p >> 3] >> (8 - (p & 7)).astype(np.uint64)) & np.uint64(0xFFFFFFFF))
@@ -265,50 +334,85 @@ def coefficients(scan: list[bytes], tables: Tables) -> np.ndarray:
         return np.where((count > 0) & (raw < (1 << np.maximum(count - 1, 0))), raw - (1 << count) + 1, raw)
 
     limit = 8 * (len(buffer) - 8)
-    for block in range(blocks):
-        found = tables.dc[bits_at(place) >> np.uint64(16)]
-        size = found & 255
-        place = place + (found >> 8)
-        before += value(place, size)
-        place = place + size
-        out[:, block, 0] = before
-        active, coefficient = np.arange(len(scan)), np.ones(len(scan), np.int64)
-        while len(active):
-            p = place[active]
-            found = tables.ac[bits_at(p) >> np.uint64(16)]
-            symbol, p = found & 255, p + (found >> 8)
-            going = (symbol != 0) & (found > 0) & (p < limit)
-            place[active] = p
-            if not going.any():
-                break
-            active, symbol, p = active[going], symbol[going], p[going]
-            size, at = symbol & 15, coefficient[active] + (symbol >> 4)
-            inside = at < 64
-            out[active[inside], block, at[inside]] = value(p, size)[inside]
-            place[active] = p + size
-            coefficient[active] = at + 1
-            active = active[at < 63]
-        place = np.minimum(place, limit)
-    return out
+    every = np.arange(len(scan))
+    for unit in range(int(counts.max(initial=0))):
+        live = slice(None) if (counts > unit).all() else np.flatnonzero(counts > unit)
+        block = unit * own
+        for component, dc, ac in tables.parts:
+            found = dc[bits_at(place[live]) >> np.uint64(16)]
+            size = found & 255
+            broken[live] |= found == 0
+            p = np.minimum(place[live] + (found >> 8), limit)
+            before[component][live] += value(p, size)
+            place[live] = p + size
+            if component == 0:
+                out[live, block, 0] = before[0][live]
+            active = every[live]
+            coefficient = np.ones(len(active), np.int64)
+            place = np.minimum(place, limit)
+            while len(active):
+                p = place[active]
+                found = ac[bits_at(p) >> np.uint64(16)]
+                symbol, p = found & 255, p + (found >> 8)
+                broken[active] |= found == 0
+                going = (symbol != 0) & (found > 0) & (p < limit)
+                place[active] = p
+                if not going.any():
+                    break
+                active, symbol, p = active[going], symbol[going], p[going]
+                size, at = symbol & 15, coefficient[going] + (symbol >> 4)
+                inside = at < 64
+                if component == 0:
+                    out[active[inside], block, at[inside]] = value(p, size)[inside]
+                place[active] = p + size
+                coefficient = at + 1
+                more = at < 63
+                active, coefficient = active[more], coefficient[more]
+            place = np.minimum(place, limit)
+            block += component == 0
+    return out, broken | (place > ends)
 
 
 COSINES = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
 
 
+def in_rows(coded: np.ndarray, tables: Tables) -> np.ndarray:
+    """Blocks of pictures in rows (frames x down x across x 64) from the order of the units."""
+    (across, down), (h, v) = tables.units, tables.shape
+    rows = coded.reshape(len(coded), down, across, v, h, 64).swapaxes(2, 3).reshape(len(coded), down * v, across * h, 64)
+    return rows[:, : -(-tables.height // 8), : -(-tables.width // 8)]
+
+
 def pixels(coded: np.ndarray, tables: Tables) -> np.ndarray:
-    """Pictures (frames x height x width) from coefficients."""
-    frames, across, down = len(coded), -(-tables.width // 8), -(-tables.height // 8)
-    full = np.zeros((frames, coded.shape[1], 64))
-    full[:, :, ZIGZAG] = coded * tables.quant
+    """Pictures (frames x height x width) of the first component from coefficients."""
+    rows = in_rows(coded, tables)
+    frames, down, across, _ = rows.shape
+    full = np.zeros(rows.shape)
+    full[..., ZIGZAG] = rows * tables.quant
     blocks = COSINES @ full.reshape(frames, -1, 8, 8) @ COSINES.T
-    levels = np.clip(np.rint(blocks) + 128, 0, 255).astype(np.uint8)
-    rows = levels.reshape(frames, down, across, 8, 8).swapaxes(2, 3)
-    return rows.reshape(frames, down * 8, across * 8)[:, : tables.height, : tables.width]
+    levels = np.clip(np.rint(blocks) + 128, 0, 255).astype(np.uint8).reshape(frames, down, across, 8, 8).swapaxes(2, 3)
+    return levels.reshape(frames, down * 8, across * 8)[:, : tables.height, : tables.width]
 
 
 def block_levels(coded: np.ndarray, tables: Tables) -> np.ndarray:
     """Level of every block (frames x blocks): its pixels' mean, which the DC holds alone."""
-    return np.clip(np.rint(coded[:, :, 0] * int(tables.quant[0]) / 8) + 128, 0, 255).astype(np.uint8)
+    rows = in_rows(coded, tables)[..., 0]
+    return np.clip(np.rint(rows * int(tables.quant[0]) / 8) + 128, 0, 255).astype(np.uint8).reshape(len(rows), -1)
+
+
+def decode_group(frames: list[bytes], start: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, whether broken) of frames that share one header; restart intervals are scans of their own."""
+    scan = [scan_of(f, start) for f in frames]
+    if not tables.interval:
+        return coefficients(scan, tables)
+    across, down = tables.units
+    pieces = -(-across * down // tables.interval)
+    cut = [RESTART.split(s)[:pieces] for s in scan]
+    counts = np.minimum(tables.interval, across * down - np.arange(pieces) * tables.interval)
+    coded, broken = coefficients([x for c in cut for x in c + [b""] * (pieces - len(c))], tables, np.tile(counts, len(frames)))
+    own = sum(component == 0 for component, _, _ in tables.parts)
+    whole = coded.reshape(len(frames), -1, 64)[:, : across * down * own]
+    return whole, broken.reshape(len(frames), pieces).any(axis=1) | np.array([len(c) != pieces for c in cut])
 
 
 _heads: dict[bytes, tuple[int, Tables]] = {}
@@ -323,13 +427,49 @@ def decode_levels(frames: list[bytes]) -> tuple[np.ndarray, Tables]:
     start, tables = _heads[head]
     if any(not f.startswith(frames[0][:start]) for f in frames):
         raise ValueError("frames with different headers")
-    return block_levels(coefficients([f[start:-2] for f in frames], tables), tables), tables
+    return block_levels(coefficients([f[start:-2] for f in frames], tables)[0], tables), tables
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
     """Pictures of frames that share one header (frames x height x width)."""
     start, tables = read_head(frames[0])
-    return pixels(coefficients([f[start:-2] for f in frames], tables), tables)
+    return pixels(decode_group(frames, start, tables)[0], tables)
+
+
+OK, EMPTY, DAMAGED, UNREADABLE = "ok", "empty", "damaged", "unreadable"
+
+
+def movie_levels(frames: list[bytes]) -> tuple[np.ndarray | None, list[str]]:
+    """(block levels of all frames, status of each), whatever the frames are.
+
+    Frames are decoded by header. A frame that is empty (dropped), cannot be read or has not the size of the first
+    that can, shows the picture before it (or the first one after, at the start); one whose data breaks off shows what there was. None if no frame can be read.
+    """
+    status, levels, size = [UNREADABLE if f else EMPTY for f in frames], None, None
+    by_head: dict[bytes, list[int]] = {}
+    tables: dict[bytes, tuple[int, Tables]] = {}
+    for i, frame in enumerate(frames):
+        try:
+            start, found = read_head(frame)
+        except BadFrame:
+            continue
+        size = size or (found.width, found.height)
+        if size == (found.width, found.height):
+            by_head.setdefault(frame[:start], []).append(i)
+            tables[frame[:start]] = start, found
+    for head, rows in by_head.items():
+        for a, b in groups([tables[head][1].width * tables[head][1].height // 64 + 1] * len(rows)):
+            coded, broken = decode_group([frames[i] for i in rows[a:b]], *tables[head])
+            part = block_levels(coded, tables[head][1])
+            levels = np.zeros((len(frames), part.shape[1]), np.uint8) if levels is None else levels
+            levels[rows[a:b]] = part
+            for i, bad in zip(rows[a:b], broken.tolist()):
+                status[i] = DAMAGED if bad else OK
+    if levels is None:
+        return None, status
+    shown = np.array([i if st in (OK, DAMAGED) else -1 for i, st in enumerate(status)])
+    first = int(shown[shown >= 0][0])
+    return levels[np.maximum(np.maximum.accumulate(shown), first)], status
 
 
 def find_shots(levels: np.ndarray) -> list[int]:
@@ -422,19 +562,28 @@ def _clipping(parts):
             for doc, data in zip(piece.column("doc_id").to_pylist(), piece.column("media").to_pylist()):
                 movie = parse_avi(data) if data else None
                 if movie is None or not movie.frames:
+                    rows.append((doc, None, None, None, None, None, "no_avi" if movie is None else "no_frames"))
                     continue
-                levels, _ = decode_levels(movie.frames)
+                levels, status = movie_levels(movie.frames)
+                if levels is None:
+                    rows.append((doc, None, None, None, None, None, UNREADABLE))
+                    continue
+                worst = next((s for s in (UNREADABLE, DAMAGED) if s in status), OK)
                 firsts = find_shots(levels)
                 for k, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(movie.frames)])):
-                    rows.append((doc, k, a, b - 1, a * movie.frame_s, b * movie.frame_s))
-            kinds = [part.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            cols = list(zip(*rows)) or [[]] * 6
+                    rows.append((doc, k, a, b - 1, a * movie.frame_s, b * movie.frame_s, worst))
+            kinds = [part.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+            cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)],
-                                             names=["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s"])
+                                             names=["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "status"])
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """A row for each shot of each file (columns doc_id, media); none for what is no AVI file."""
+    """A row for each shot of each file (columns doc_id, media), with the file's status.
+
+    ``ok``; ``damaged`` where a frame's data breaks off; ``unreadable`` where a frame cannot be decoded (progressive, 12 bits,
+    cut in its head). What gives no clip has one row without: ``no_avi``, ``no_frames``, or ``unreadable`` where no frame can be.
+    """
     ids = media.schema["doc_id"].dataType.simpleString()
     return batches.map_arrow(media.select("doc_id", "media"), _clipping,
-                             f"doc_id {ids}, clip int, first_frame bigint, last_frame bigint, start_s double, end_s double")
+                             f"doc_id {ids}, clip int, first_frame bigint, last_frame bigint, start_s double, end_s double, status string")

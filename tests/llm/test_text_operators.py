@@ -118,8 +118,94 @@ def test_shots_are_cut_where_pictures_change(spark):
     media, = mjpeg.encode_many([np.concatenate(scenes).tobytes()])
     frame = spark.createDataFrame([(1, media), (2, b"no avi"), (3, None)], "doc_id bigint, media binary")
     rows = sorted(tuple(r) for r in mjpeg.clips(frame).collect())
-    assert [r[:4] for r in rows] == [(1, 0, 0, 29), (1, 1, 30, 54), (1, 2, 55, 94)]
-    assert rows[1][4:] == (30 / 25, 55 / 25)
+    assert [r[:4] for r in rows[:3]] == [(1, 0, 0, 29), (1, 1, 30, 54), (1, 2, 55, 94)]
+    assert rows[1][4:] == (30 / 25, 55 / 25, "ok")
+    assert [r[1:] for r in rows[3:]] == [(None,) * 5 + ("no_avi",)] * 2
+
+
+def dc_frame(levels, colour=False, interval=0, tables=False, extra=b""):
+    """A frame of flat 8 x 8 blocks, grey or with halved chrominance, by the usual Huffman tables."""
+    rows, cols = levels.shape
+    def words(number):
+        return {symbol: format(code, f"0{bits}b") for symbol, code, bits in mjpeg.codes(*map(bytes.fromhex, mjpeg.USUAL[number]))}
+    dc, ac, chroma = words(0), words(0x10), words(1)[0] + words(0x11)[0]
+    order = [[(y, x)] for y in range(rows) for x in range(cols)]
+    if colour:
+        order = [[(y + v, x + h) for v in (0, 1) for h in (0, 1)] for y in range(0, rows, 2) for x in range(0, cols, 2)]
+    out, bits, last = b"", "", 0
+
+    def flushed():
+        whole = bits + "1" * (-len(bits) % 8)
+        return bytes(int(whole[i: i + 8], 2) for i in range(0, len(whole), 8)).replace(b"\xff", b"\xff\x00")
+
+    for k, unit in enumerate(order):
+        if interval and k and k % interval == 0:
+            out, bits, last = out + flushed() + bytes([0xFF, 0xD0 + (k // interval - 1) % 8]), "", 0
+        for y, x in unit:
+            diff = int(levels[y, x]) - 128 - last
+            last += diff
+            n = abs(diff).bit_length()
+            bits += dc[n] + (format(diff if diff > 0 else diff + (1 << n) - 1, f"0{n}b") if n else "") + ac[0]
+        bits += 2 * chroma if colour else ""
+    parts = [(1, 0x22, 0), (2, 0x11, 0), (3, 0x11, 0)] if colour else [(1, 0x11, 0)]
+    head = b"\xff\xd8" + extra + mjpeg.segment(0xDB, bytes([0] + [8] * 64))
+    if tables:
+        head += b"".join(mjpeg.segment(0xC4, bytes([n]) + bytes.fromhex(a + b)) for n, (a, b) in mjpeg.USUAL.items())
+    if interval:
+        head += mjpeg.segment(0xDD, interval.to_bytes(2, "big"))
+    head += mjpeg.segment(0xC0, bytes([8, 0, 8 * rows, 0, 8 * cols, len(parts), *[b for p in parts for b in p]]))
+    head += mjpeg.segment(0xDA, bytes([len(parts), *[b for c, _, _ in parts for b in (c, 0 if c == 1 else 0x11)], 0, 63, 0]))
+    return head + out + flushed() + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("options", [{}, {"colour": True}, {"interval": 5}, {"colour": True, "interval": 2}, {"tables": True},
+                                     {"extra": mjpeg.segment(0xFE, b"a comment")}])
+def test_frames_of_others_are_decoded(options):
+    levels = np.random.default_rng(4).integers(0, 256, (5, 6, 8)).astype(np.uint8)
+    frames = [dc_frame(x, **options) for x in levels]
+    got, status = mjpeg.movie_levels(frames)
+    assert status == ["ok"] * 5 and (got.reshape(levels.shape) == levels).all()
+    assert (mjpeg.decode_frames(frames)[:, ::8, ::8] == levels).all()
+
+
+def test_usual_tables_are_whole():
+    for lengths, symbols in mjpeg.USUAL.values():
+        counts = bytes.fromhex(lengths)
+        assert sum(counts) == len(bytes.fromhex(symbols)) == len(set(bytes.fromhex(symbols)))
+        assert sum(n << (16 - bits) for bits, n in enumerate(counts, 1)) < 1 << 16
+
+
+def test_clips_of_broken_files(spark):
+    levels = np.random.default_rng(5).integers(0, 256, (4, 6, 8)).astype(np.uint8)
+    good = [dc_frame(x) for x in levels]
+    whole = mjpeg.avi(good)
+    progressive = good[0].replace(b"\xff\xc0", b"\xff\xc2")
+    files = {
+        "dropped": (mjpeg.avi([good[0], b"", good[2], good[3]]), "ok", 4),
+        "mixed": (mjpeg.avi([good[0], dc_frame(levels[1], colour=True), dc_frame(levels[2], interval=3), dc_frame(levels[3], tables=True)]), "ok", 4),
+        "comment": (mjpeg.avi([*good[:3], dc_frame(levels[3], extra=mjpeg.segment(0xFE, b"x"))]), "ok", 4),
+        "other size": (mjpeg.avi([*good[:3], dc_frame(levels[3][:4])]), "unreadable", 4),
+        "head cut": (mjpeg.avi([good[0], good[1][:30], good[2]]), "unreadable", 3),
+        "data cut": (mjpeg.avi([good[0], good[1][:-12], good[2]]), "damaged", 3),
+        "half": (whole[: len(whole) // 2], None, None),
+        "progressive": (mjpeg.avi([progressive]), "unreadable", None),
+        "nothing": (mjpeg.avi([]), "no_frames", None),
+        "noise": (b"RIFF\xff\xff\xff\x7fAVI " + bytes(range(256)), "no_avi", None),
+    }
+    frame = spark.createDataFrame([(n, f) for n, (f, _, _) in files.items()], "doc_id string, media binary")
+    rows = {}
+    for r in mjpeg.clips(frame).collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    for name, (_, status, frames) in files.items():
+        got = rows[name]
+        assert status is None or {r.status for r in got} == {status}, name
+        if frames:
+            assert max(r.last_frame for r in got) == frames - 1, name
+        elif status:
+            assert [r.clip for r in got] == [None], name
+    shown, status = mjpeg.movie_levels([b"", good[1], b"", good[1][:30], good[3]])
+    assert status == ["empty", "ok", "empty", "unreadable", "ok"]
+    assert (shown.reshape(-1, 6, 8) == levels[[1, 1, 1, 1, 3]]).all()
 
 
 # -- languages (operator 3)

@@ -9,7 +9,7 @@ Running sums are taken in two levels, so that no source and no table is
 laid out in one task: rows go to cells of about ``CELL_ROWS`` rows by their
 source and shuffle hash, cells are summed, and the sums before a cell are
 added to those within it. The cut of the total order is found the same way: sums over
-a grid of ``GRID`` steps of finish time, then an exact sort of the one step in which the budget ends.
+a grid of ``GRID`` steps of finish time, then over ranges of a global sort of the one step in which the budget ends.
 
 A source's words are its documents' whole sizes. Null texts have size 0 and are never
 taken, as are sources of size 0 (their target is 0). A null source is one of its own, last in
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from logtide.session import work_dir
 
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
-CELL_ROWS, GRID = 1_000, 4_096
+CELL_ROWS, GRID, RANGE_ROWS = 1_000, 4_096, 100_000
 
 
 def words(text: Column) -> Column:
@@ -113,10 +113,28 @@ def cut(queued: DataFrame, budget: int) -> tuple[float, int, str, str]:
     if not crossing:
         return (float("inf"), 0, "", "")
     last, left = crossing[0]["step"], budget - (crossing[0]["upto"] - crossing[0]["n"])
-    order = Window.orderBy("finish", "place", "turn_key", "tie")
-    taken = (placed.filter(F.col("step") == last).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-             .filter(F.col("upto") <= left).agg(F.max(F.struct("finish", "place", "turn_key", "tie")).alias("m")).first()["m"])
-    return tuple(taken) if taken is not None else (float(last) * step, -1, "", "")
+    return last_within(placed.filter(F.col("step") == last), left) or (float(last) * step, -1, "", "")
+
+
+def last_within(rows: DataFrame, budget: int) -> tuple[float, int, str, str] | None:
+    """Last row, in the mix's order, of those whose sizes up to and with it stay within ``budget``; None if none does.
+
+    A global range sort in two levels: ranges of about ``RANGE_ROWS`` rows are summed, and only
+    the range in which the budget ends is laid out by itself.
+    """
+    order = ["finish", "place", "turn_key", "tie"]
+    ranges = max(1, -(-rows.count() // RANGE_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = _small(rows.select("size", *order).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "last-step")
+    sums = laid.groupBy("range").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("range")))  # a row for each range
+    crossing = sums.filter(F.col("upto") > budget).orderBy("range").limit(1).collect()
+    whole = laid
+    if crossing:
+        end, left = crossing[0]["range"], budget - (crossing[0]["upto"] - crossing[0]["n"])
+        inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        split = laid.filter(F.col("range") == end).withColumn("upto", F.sum("size").over(inside)).filter(F.col("upto") <= left)
+        whole = laid.filter(F.col("range") < end).unionByName(split.select(laid.columns))
+    taken = whole.agg(F.max(F.struct(*order)).alias("m")).first()["m"]
+    return tuple(taken) if taken is not None else None
 
 
 def times(last: tuple[float, int, str, str]) -> Column:

@@ -311,3 +311,16 @@ def test_keep_one_leaves_one_row_a_group(odd):
     assert len(rows) == len({p for _, _, p in plain_components([(i, plain_print(r.text, 4)) for i, r in enumerate(odd.collect())], 4)})
     ids = [r.doc_id for r in rows]
     assert 1 in ids and 2 in ids and 9 not in ids and 3 not in ids
+
+
+@pytest.mark.parametrize("budget", [0, 1, 6, 7, 50, 4_000, 5_000, 100_000])
+def test_the_mix_ends_where_a_plain_sum_does(spark, budget):
+    rows = [(float(i // 7), i % 3, f"{i * 7919 % 1000:04d}", "t", i % 11 + 1) for i in range(1_000)]
+    frame = spark.createDataFrame(rows, "finish double, place int, turn_key string, tie string, size bigint")
+    total, want = 0, None
+    for r in sorted(rows):
+        total += r[4]
+        if total > budget:
+            break
+        want = r[:4]
+    assert mixing.last_within(frame, budget) == want

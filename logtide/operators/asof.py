@@ -12,30 +12,38 @@ SAFETIES = ("head", "finalized")
 def check_request(safety: str | None, as_of_block: int | None) -> str:
     """Validate read options; returns the effective safety."""
     if safety is not None and as_of_block is not None:
-        raise ValueError("safety and as_of_block are mutually exclusive")
+        raise ValueError("give a safety or a block, not both")
     if safety is not None and safety not in SAFETIES:
-        raise ValueError(f"safety must be 'head' or 'finalized'; got '{safety}'")
+        raise ValueError(f"no such safety: {safety!r} (one of {', '.join(SAFETIES)})")
     return safety or "head"
 
 
+def check_requests(requests: DataFrame) -> DataFrame:
+    """A request table with ``status``: ok, both_given or unknown_safety; the batch form of :func:`check_request`."""
+    given = F.col("safety").isNotNull()
+    return requests.withColumn("status", F.when(given & F.col("as_of_block").isNotNull(), F.lit("both_given"))
+                               .when(given & ~F.col("safety").isin(*SAFETIES), F.lit("unknown_safety")).otherwise(F.lit("ok")))
+
+
 def resolve(requests: DataFrame, state: DataFrame, blocks: DataFrame) -> DataFrame:
     """Block, hash and timestamp each request reads at.
 
-    ``requests`` is (request_id, chain_id, safety, as_of_block). ``status`` is
-    ok, past_head or no_block_row; explicit blocks report safety ``head``.
+    ``requests`` is (request_id, chain_id, safety, as_of_block). ``status`` is that of
+    :func:`check_requests`, or past_head or no_block_row; explicit blocks report safety ``head``.
     """
+    requests = check_requests(requests)
     head, finalized = (F.coalesce(c, F.lit(0)) for c in ("head", "finalized"))
     explicit = F.col("as_of_block").isNotNull()
     target = F.when(explicit, F.col("as_of_block")).when(
         F.col("safety") == "finalized", finalized).otherwise(head)
     placed = requests.join(state.select("chain_id", "head", "finalized"), "chain_id", "left").select(
-        "request_id", "chain_id", target.cast("long").alias("block_number"),
+        "request_id", "chain_id", "status", F.when(F.col("status") == "ok", target.cast("long")).alias("block_number"),
         finalized.alias("finalized_block"),
         F.when(explicit, F.lit("head")).otherwise(F.coalesce("safety", F.lit("head"))).alias("safety"),
         (explicit & (F.col("as_of_block") > head)).alias("past_head"))
     rows = blocks.select("chain_id", F.col("number").alias("block_number"),
                          F.col("hash").alias("block_hash"), F.col("block_ts").alias("block_timestamp"))
-    status = (F.when(F.col("past_head"), F.lit("past_head"))
+    status = (F.when(F.col("status") != "ok", F.col("status")).when(F.col("past_head"), F.lit("past_head"))
               .when(F.col("block_hash").isNull(), F.lit("no_block_row")).otherwise(F.lit("ok")))
     resolved = placed.join(rows, ["chain_id", "block_number"], "left").withColumn("status", status)
     served = F.col("status") == "ok"

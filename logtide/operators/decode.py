@@ -244,11 +244,11 @@ def with_payload(events: DataFrame, specs: Iterable[EventSpec] = DEFAULT_SPECS)
 def _reject_reason() -> Column:
     missing = ["block_number", "block_hash", "tx_hash", "log_index"]
     reason = reduce(
-        lambda acc, c: acc.when(F.col(c).isNull(), F.lit(f"log missing {c}")), missing[1:],
-        F.when(F.col(missing[0]).isNull(), F.lit(f"log missing {missing[0]}")))
+        lambda acc, c: acc.when(F.col(c).isNull(), F.lit(f"no {c}")), missing[1:],
+        F.when(F.col(missing[0]).isNull(), F.lit(f"no {missing[0]}")))
     return (
-        reason.when(F.coalesce(F.size("topics"), F.lit(0)) < 1, F.lit("anonymous log has no topic0"))
-        .when(F.col("log_index") > 2**31 - 1, F.lit("log_index overflows"))
+        reason.when(F.coalesce(F.size("topics"), F.lit(0)) < 1, F.lit("first topic absent"))
+        .when(F.col("log_index") > 2**31 - 1, F.lit("log_index beyond 31 bits"))
     )
 
 

@@ -70,7 +70,7 @@ class ChainReader:
         wanted = "0x" + parse_identifier(member_id, 32).hex()
         found = self.members(cluster, True, safety, as_of_block).where(F.col("member_id") == wanted)
         if found.isEmpty():
-            raise NotFound(f"member {wanted} not found in cluster {cluster}")
+            raise NotFound(f"{cluster} has had no member {wanted}")
         return found
 
     def lifecycle(self, cluster: str, safety: str | None = None, as_of_block: int | None = None) -> DataFrame:

@@ -73,15 +73,15 @@ def test_logs_that_do_not_fit_keep_their_row(spark):
 
 def test_rejects_name_the_missing_field(spark):
     good = raw_log(spark, [([topic0("ClusterDestroyed")], w(1))])
-    for column, reason in [("block_number", "log missing block_number"), ("block_hash", "log missing block_hash"),
-                           ("tx_hash", "log missing tx_hash"), ("log_index", "log missing log_index")]:
+    for column, reason in [("block_number", "no block_number"), ("block_hash", "no block_hash"),
+                           ("tx_hash", "no tx_hash"), ("log_index", "no log_index")]:
         damaged = good.withColumn(column, F.lit(None).cast(good.schema[column].dataType))
         kept, rejects = decode.split_rejects(damaged)
         assert kept.isEmpty() and rejects.first()["reject_reason"] == reason
     anonymous = good.withColumn("topics", F.array().cast("array<binary>"))
-    assert decode.split_rejects(anonymous)[1].first()["reject_reason"] == "anonymous log has no topic0"
+    assert decode.split_rejects(anonymous)[1].first()["reject_reason"] == "first topic absent"
     far = good.withColumn("log_index", F.lit(2**31))
-    assert decode.split_rejects(far)[1].first()["reject_reason"] == "log_index overflows"
+    assert decode.split_rejects(far)[1].first()["reject_reason"] == "log_index beyond 31 bits"
 
 
 def test_registry_last_wins_and_custom_event(spark):

@@ -162,6 +162,29 @@ def materialise(missing: DataFrame, events: DataFrame, blocks: DataFrame, as_of_
     return reduce(DataFrame.unionByName, [parts[name]() for name in asked]).join(want, SNAPSHOT_KEY)
 
 
+def materialise_many(missing: DataFrame, events: DataFrame, blocks: DataFrame, bucket_blocks: int = 10_000) -> DataFrame:
+    """Snapshot rows for the missing keys of any number of blocks, to append; see :func:`views.as_of_many`."""
+    want = sized(missing, "wanted-snapshots")
+    on = ["chain_id", "contract", "as_of_block"]
+    points = want.select(*on).distinct().withColumn("request_id", F.lit(0))
+
+    def answers(view: views.StateView) -> DataFrame:
+        return views.as_of_many(view, events, points, blocks, bucket_blocks).drop("request_id")
+
+    def rows(found: DataFrame, endpoint: str, data: Column, item: Column | None = None) -> DataFrame:
+        return found.select(*on, F.lit(endpoint).alias("endpoint"), (F.lit("") if item is None else item).alias("item"), data.alias("payload"))
+
+    leaders = points.join(answers(views.LEADER), on, "left").withColumns({
+        "member_id": F.coalesce("member_id", F.lit(hexes.ZERO32)), "epoch": F.coalesce("epoch", F.lit(0))})
+    parts = {
+        "leader": lambda: rows(leaders, "leader", leader_json()),
+        "lifecycle": lambda: rows(points.join(answers(views.LIFECYCLE), on, "left"), "lifecycle", lifecycle_json()),
+        "members": lambda: rows(answers(views.MEMBERS), "members", member_json(), hexes.hex0x(F.col("member_id"))),
+    }
+    asked = sorted({r["endpoint"] for r in want.select("endpoint").distinct().collect()} & set(parts)) or ["leader"]
+    return reduce(DataFrame.unionByName, [parts[name]() for name in asked]).join(want, SNAPSHOT_KEY)
+
+
 def put_snapshots(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored snapshots with those of the refreshed keys replaced."""
     return stored.join(fresh.select(*SNAPSHOT_KEY).distinct(), SNAPSHOT_KEY, "left_anti").unionByName(fresh)

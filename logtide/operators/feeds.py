@@ -36,7 +36,3 @@ def subscription(events: DataFrame, since: int | None = None, contract: bytes |
     rows = of_kinds(canonical(of_cluster(events, contract, chain_id)), kinds)
     return rows.where(F.col("event_id") > (since or 0))
 
-
-def once_per_id(deliveries: DataFrame, keys: Sequence[str] = ("chain_id", "event_id")) -> DataFrame:
-    """Overlapping deliveries reduced to one row per id."""
-    return deliveries.dropDuplicates(list(keys))

@@ -76,6 +76,24 @@ def split_chunks(plan: DataFrame, size: int = BACKFILL_CHUNK) -> DataFrame:
 
 # --- first write wins ------------------------------------------------------
 
+_HASH = "_key_hash"
+
+
+def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """First row of each key, with a hash of the key in front.
+
+    Whole rows aggregate by sorting. With a number of many values as the first grouping column that is a
+    radix sort; keys that begin with a chain id or with zeros would be compared byte by byte.
+    """
+    payload = [c for c in rows.columns if c not in keys]
+    picked = F.min_by(F.struct(*payload), F.struct(*order)).alias("_row")
+    return (
+        rows.groupBy(F.xxhash64(*keys).alias(_HASH), *keys).agg(picked)
+        .select(_HASH, *[F.col(k) for k in keys], *[F.col("_row")[c].alias(c) for c in payload])
+        .select(_HASH, *rows.columns)
+    )
+
+
 def first_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 
@@ -83,19 +101,14 @@ def first_write(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     inside each input task, so a key repeated in a large share of the rows
     never gathers in one place.
     """
-    payload = [c for c in rows.columns if c not in keys]
-    picked = F.min_by(F.struct(*payload), F.struct(*order)).alias("_row")
-    return (
-        rows.groupBy(*keys).agg(picked)
-        .select(*[F.col(k) for k in keys], *[F.col("_row")[c].alias(c) for c in payload])
-        .select(rows.columns)
-    )
+    return _first(rows, keys, order).drop(_HASH)
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str],
              order: Sequence[str | Column]) -> DataFrame:
-    """Rows of ``batch`` whose key is not stored yet, one per key."""
-    return first_write(batch, keys, order).join(stored.select(*keys), list(keys), "left_anti")
+    """Rows of ``batch`` whose key is not stored yet, one per key; the join keeps the aggregate's partitioning."""
+    known = stored.select(F.xxhash64(*keys).alias(_HASH), *keys)
+    return _first(batch, keys, order).join(known, [_HASH, *keys], "left_anti").drop(_HASH)
 
 
 def append_events(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:

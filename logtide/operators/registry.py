@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from logtide.operators.ingest import first_write
 from logtide.operators.views import canonical
-from logtide.schemas import WATCHED
 
 FACTORY = "factory"
 CLUSTER_KIND = "cluster_diamond"
 KEY = ["chain_id", "address"]
 
 
-def seed_factories(spark: SparkSession, chain_id: int,
-                   factories: Iterable[tuple[bytes, int]]) -> DataFrame:
-    """Watched rows for configured (address, from_block) factories."""
-    rows = [(chain_id, address, FACTORY, None, from_block) for address, from_block in factories]
-    return spark.createDataFrame(rows, WATCHED)
+def seed_factories(configured: DataFrame) -> DataFrame:
+    """Watched rows for configured factories (chain_id, address, from_block); of repeated ones the earliest."""
+    rows = configured.select("chain_id", "address", F.lit(FACTORY).alias("kind"), F.lit(None).cast("binary").alias("parent"),
+                             F.col("from_block").cast("long").alias("from_block"))
+    return first_write(rows, KEY, ["from_block"])
 
 
 def register(watched: DataFrame, added: DataFrame) -> DataFrame:

@@ -31,6 +31,36 @@ def detect(headers: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def choose_forks(headers: DataFrame) -> DataFrame:
+    """One header for each height, the one on the branch that reaches furthest; of equal ones the later arrival.
+
+    Every header learns the best tip above it by pointer doubling over parent hashes: in round r it hands
+    what it knows to its ancestor 2^r below, so a fork of n heights takes log2(n) rounds of joins on hashes. Only the
+    heights from a chain's lowest fork on take part; without a fork nothing is joined. Arrival
+    is the order of rows in the input. Each round is written, so a lost executor repeats one round.
+    """
+    columns = ["chain_id", "number", "hash", "parent_hash", "block_ts"]
+    found = headers.select(*columns, F.monotonically_increasing_id().alias("turn")).groupBy("chain_id", "number", "hash").agg(
+        F.max_by(F.struct("parent_hash", "block_ts"), "turn").alias("row"), F.max("turn").alias("turn"))
+    found = sized(found.select("chain_id", "number", "hash", "row.parent_hash", "row.block_ts", "turn"), "headers")
+    forks = found.groupBy("chain_id", "number").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    lowest = per_chain(forks.groupBy("chain_id").agg(F.min("number").alias("lowest")))
+    branches = found.join(lowest, "chain_id").where(F.col("number") >= F.col("lowest"))
+    span = branches.agg((F.max("number") - F.min("number")).alias("n")).first()["n"]
+    if span is None:
+        return found.select(*columns)
+    known = branches.select("chain_id", "hash", F.col("parent_hash").alias("below"), F.struct("number", "turn").alias("tip"))
+    for _ in range(max(1, int(span).bit_length())):
+        handed = known.groupBy("chain_id", F.col("below").alias("hash")).agg(F.max("tip").alias("handed"))
+        jump = known.select("chain_id", F.col("hash").alias("below"), F.col("below").alias("next"))
+        known = sized(known.join(handed, ["chain_id", "hash"], "left").join(jump, ["chain_id", "below"], "left").select(
+            "chain_id", "hash", F.col("next").alias("below"), F.greatest("tip", "handed").alias("tip")), "tips")
+    best = F.max_by(F.struct("hash", "parent_hash", "block_ts"), F.struct("tip", "turn", "hash")).alias("best")
+    settled = branches.join(known.select("chain_id", "hash", "tip"), ["chain_id", "hash"]).groupBy("chain_id", "number").agg(best)
+    return found.join(lowest, "chain_id", "left").where(F.col("lowest").isNull() | (F.col("number") < F.col("lowest"))).select(
+        *columns).unionByName(settled.select("chain_id", "number", "best.*"))
+
+
 def common_ancestor(heads: DataFrame, local: DataFrame, canonical: DataFrame,
                     finality_depth: int) -> DataFrame:
     """Highest agreed height per head, looking at most ``finality_depth`` below it.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logtide.functions import hexes
 from logtide.session import per_chain, sized
@@ -32,6 +32,8 @@ class StateView:
     merge: Callable[[DataFrame], DataFrame]
     finish: Callable[[DataFrame, DataFrame | None], DataFrame]
     needs_blocks: bool = False
+    #: How each column of a partial row combines, F.max or F.min; needed by :func:`as_of_many` alone.
+    fields: tuple[tuple[str, Callable], ...] = ()
 
     def events(self, events: DataFrame, as_of: int | DataFrame | None = None,
                blocks: DataFrame | None = None) -> DataFrame:
@@ -62,22 +64,19 @@ def up_to(rows: DataFrame, as_of: int | DataFrame | None) -> DataFrame:
     return rows.join(cut, "chain_id").where(F.col("block_number") <= F.col("as_of_block")).drop("as_of_block")
 
 
-def by_block_row(events: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events whose block is known, events whose block is not).
+def unknown_blocks(events: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chain_id, block_number) of events whose block is not known.
 
-    Only distinct blocks meet the block table; the (normally empty) list of
-    unknown ones then splits the events, which are not shuffled for it. The
-    list is written first, so this runs a job.
+    Only distinct blocks meet the block table. The (normally empty) list is written first, so this runs a job.
     """
-    numbers_ = blocks.select("chain_id", F.col("number").alias("block_number"))
     on = ["chain_id", "block_number"]
-    unknown = sized(events.select(*on).distinct().join(numbers_, on, "left_anti"), "unknown-blocks")
-    return events.join(unknown, on, "left_anti"), events.join(unknown, on, "left_semi")
+    return sized(events.select(*on).distinct().join(
+        blocks.select("chain_id", F.col("number").alias("block_number")), on, "left_anti"), "unknown-blocks")
 
 
 def with_block_row(events: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Drop events whose block is unknown."""
-    return by_block_row(events, blocks)[0]
+    """Drop events whose block is unknown; they are not shuffled for it."""
+    return events.join(unknown_blocks(events, blocks), ["chain_id", "block_number"], "left_anti")
 
 
 def block_times(blocks: DataFrame, number_as: str, ts_as: str) -> DataFrame:
@@ -111,11 +110,15 @@ def _epoch_number(epoch: Column) -> Column:
                   F.raise_error(F.concat(F.lit("leader epoch past 64 bits: "), epoch_text(epoch))).cast("bigint")).otherwise(number)
 
 
-def _leader_partial(events: DataFrame) -> DataFrame:
+def _best_claim() -> Column:
     epoch = _epoch()
     claim = F.struct(epoch.alias("epoch"), (-F.col("block_number")).alias("minus_block"),
                      (-F.col("log_index")).alias("minus_index"), F.col("decoded.memberId").alias("member_id"))
-    return events.groupBy(*CLUSTER).agg(F.max(F.when(epoch.isNotNull(), claim)).alias("claim"))
+    return F.max(F.when(epoch.isNotNull() & (F.col("kind") == "LeaderClaimed"), claim)).alias("claim")
+
+
+def _leader_partial(events: DataFrame) -> DataFrame:
+    return events.groupBy(*CLUSTER).agg(_best_claim())
 
 
 def _leader_merge(rows: DataFrame) -> DataFrame:
@@ -136,19 +139,7 @@ def wide_leaders(rows: DataFrame) -> DataFrame:
 
 
 LEADER = StateView("leader", ("LeaderClaimed",), tuple(CLUSTER),
-                   _leader_partial, _leader_merge, _leader_finish)
-
-
-def check_epochs(events: DataFrame) -> DataFrame:
-    """Strict mode: fail the job on an epoch that is not a signed 64-bit value."""
-    bad = (F.col("kind") == "LeaderClaimed") & F.col("decoded.epoch").try_cast("bigint").isNull()
-    return events.where(F.when(bad, F.raise_error(F.lit("epoch does not fit int64")).cast("boolean"))
-                        .otherwise(F.lit(True)))
-
-
-def rejected_claims(events: DataFrame) -> DataFrame:
-    """Claims whose epoch does not fit a signed 64-bit value."""
-    return events.where((F.col("kind") == "LeaderClaimed") & F.col("decoded.epoch").try_cast("bigint").isNull())
+                   _leader_partial, _leader_merge, _leader_finish, fields=(("claim", F.max),))
 
 
 def leader_for(clusters: DataFrame, leaders: DataFrame, as_of_block: int) -> DataFrame:
@@ -161,7 +152,8 @@ def leader_for(clusters: DataFrame, leaders: DataFrame, as_of_block: int) -> Dat
 
 # --- members ---------------------------------------------------------------
 
-def _members_partial(events: DataFrame) -> DataFrame:
+def _last_fields() -> list[Column]:
+    """What a member's registrations, endpoints and retirements come to; other events count for nothing."""
     kind = F.col("kind")
     position = _position()
     registered = F.struct(*position, F.col("decoded.instanceId").alias("instance_id"),
@@ -169,11 +161,14 @@ def _members_partial(events: DataFrame) -> DataFrame:
                           F.col("decoded.dnsLabel").alias("dns_label"))
     endpoint = F.struct(*position, hexes.text_or_hex(F.col("decoded.publicEndpoint")).alias("text"))
     at = F.struct(*position)
-    return events.withColumn("member_id", F.col("decoded.memberId")).groupBy(*MEMBER).agg(
-        F.max(F.when(kind == "MemberRegistered", registered)).alias("registered"),
-        F.max(F.when(kind == "PublicEndpointUpdated", endpoint)).alias("endpoint"),
-        F.max(F.when(kind == "MemberRetired", at)).alias("retired"),
-        F.min(F.when(kind != "MemberRetired", at)).alias("seen"))
+    return [F.max(F.when(kind == "MemberRegistered", registered)).alias("registered"),
+            F.max(F.when(kind == "PublicEndpointUpdated", endpoint)).alias("endpoint"),
+            F.max(F.when(kind == "MemberRetired", at)).alias("retired"),
+            F.min(F.when(kind.isin("MemberRegistered", "PublicEndpointUpdated"), at)).alias("seen")]
+
+
+def _members_partial(events: DataFrame) -> DataFrame:
+    return events.withColumn("member_id", F.col("decoded.memberId")).groupBy(*MEMBER).agg(*_last_fields())
 
 
 def _members_merge(rows: DataFrame) -> DataFrame:
@@ -197,7 +192,8 @@ def _members_finish(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 MEMBERS = StateView("members", ("MemberRegistered", "PublicEndpointUpdated", "MemberRetired"),
-                    tuple(MEMBER), _members_partial, _members_merge, _members_finish, needs_blocks=True)
+                    tuple(MEMBER), _members_partial, _members_merge, _members_finish, needs_blocks=True,
+                    fields=(("registered", F.max), ("endpoint", F.max), ("retired", F.max), ("seen", F.min)))
 
 
 def active(members: DataFrame, include_retired: bool = False) -> DataFrame:
@@ -227,7 +223,8 @@ def _lifecycle_finish(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 LIFECYCLE = StateView("lifecycle", ("ClusterDestroyed",), tuple(CLUSTER),
-                      _lifecycle_partial, _lifecycle_merge, _lifecycle_finish, needs_blocks=True)
+                      _lifecycle_partial, _lifecycle_merge, _lifecycle_finish, needs_blocks=True,
+                      fields=(("destroyed_block", F.min),))
 
 VIEWS = {v.name: v for v in (LEADER, MEMBERS, LIFECYCLE)}
 
@@ -237,24 +234,71 @@ def lifecycle_for(clusters: DataFrame, lifecycle: DataFrame) -> DataFrame:
 
 
 def overview(clusters: DataFrame, events: DataFrame, blocks: DataFrame, as_of_block: int) -> DataFrame:
-    """Leader, member counts and lifecycle of every requested cluster."""
-    known = with_block_row(up_to(canonical(events).where(
-        F.col("kind").isin(*MEMBERS.kinds, *LIFECYCLE.kinds)), as_of_block), blocks)
-    folded = lambda view: view.finish(
-        view.partial(known.where(F.col("kind").isin(*view.kinds))), blocks)
-    counts = folded(MEMBERS).groupBy(*CLUSTER).agg(
+    """Leader, member counts and lifecycle of every requested cluster.
+
+    One fold serves all three: rows are keyed by (cluster, member), claims and ends under a NULL member. Whole events are
+    read once; before that, their block numbers, to find blocks that are not known.
+    """
+    rows = up_to(canonical(events).where(F.col("kind").isin(*LEADER.kinds, *MEMBERS.kinds, *LIFECYCLE.kinds)), as_of_block)
+    claim = F.col("kind").isin(*LEADER.kinds)
+    unknown = unknown_blocks(rows.where(~claim), blocks).withColumn("_unknown", F.lit(True))
+    known = rows.join(unknown, ["chain_id", "block_number"], "left").where(claim | F.col("_unknown").isNull())
+    member = F.when(F.col("kind").isin(*MEMBERS.kinds), F.col("decoded.memberId"))
+    folded = sized(known.withColumn("member_id", member).groupBy(*MEMBER).agg(
+        _best_claim(), F.min(F.when(F.col("kind").isin(*LIFECYCLE.kinds), F.col("block_number"))).alias("destroyed_block"),
+        *_last_fields()), "overview")
+    counts = _members_finish(folded.where(F.col("member_id").isNotNull()), blocks).groupBy(*CLUSTER).agg(
         F.count(F.lit(1)).alias("members_count"),
         F.count_if(F.col("retired_at").isNull()).alias("active_count"))
-    leaders = leader_for(clusters, LEADER.replay(events, as_of_block), as_of_block)
+    whole = folded.where(F.col("member_id").isNull())
+    leaders = leader_for(clusters, _leader_finish(whole), as_of_block)
     zero = F.lit(0).cast("long")
     return (
         leaders.join(counts, CLUSTER, "left")
-        .join(folded(LIFECYCLE), CLUSTER, "left")
+        .join(_lifecycle_finish(whole.where(F.col("destroyed_block").isNotNull()), blocks), CLUSTER, "left")
         .withColumns({"members_count": F.coalesce("members_count", zero),
                       "active_count": F.coalesce("active_count", zero)})
     )
 
 
+# --- many blocks at once ------------------------------------------------------
+
+def as_of_many(view: StateView, events: DataFrame, requests: DataFrame, blocks: DataFrame | None = None,
+               bucket_blocks: int = 10_000) -> DataFrame:
+    """A view as of many blocks in one job: the answer's columns with request_id and as_of_block.
+
+    ``requests`` is (request_id, chain_id, contract, as_of_block). A key's history is laid down as states valid from
+    the end of one block bucket to that of the next in which it has events. A request joins the one state that is
+    valid before its bucket begins, and from its own bucket the events up to its block. So a request
+    reads a bucket instead of a chain's past, and no window is longer than the number of a key's buckets.
+    """
+    asked = sized(requests.select("request_id", "chain_id", "contract", "as_of_block",
+                                  F.floor(F.col("as_of_block") / bucket_blocks).alias("bucket")), "requests")
+    wanted = asked.groupBy(*CLUSTER).agg(F.max("as_of_block").alias("last"))
+    rows = view.events(events, None, blocks).join(sized(wanted, "wanted"), CLUSTER).where(F.col("block_number") <= F.col("last")).drop("last")
+    rows = rows.withColumn("bucket", F.floor(F.col("block_number") / bucket_blocks))
+    keys = list(view.keys)
+    # the bucket and the request travel inside a key that every fold groups by
+    tagged = view.partial(rows.withColumn("chain_id", F.struct("chain_id", "bucket")).drop("bucket"))
+    parts = tagged.withColumns({"bucket": F.col("chain_id.bucket"), "chain_id": F.col("chain_id.chain_id")})
+    so_far = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    states = parts.withColumns({n: how(n).over(so_far) for n, how in view.fields} | {
+        "until": F.lead("bucket").over(Window.partitionBy(*keys).orderBy("bucket"))}).alias("s")
+    r = asked.alias("r")
+    same = (F.col("r.chain_id") == F.col("s.chain_id")) & (F.col("r.contract") == F.col("s.contract"))
+    valid = (F.col("s.bucket") < F.col("r.bucket")) & (F.col("s.until").isNull() | (F.col("s.until") >= F.col("r.bucket")))
+    request = F.struct(F.col("r.contract").alias("contract"), "r.request_id", "r.as_of_block")
+    names = [n for n, _ in view.fields]
+    before = r.join(states, same & valid).select(
+        *[(request.alias("contract") if k == "contract" else F.col(f"s.{k}")) for k in keys], *[F.col(f"s.{n}") for n in names])
+    e = rows.alias("s")
+    inside = r.join(e, same & (F.col("s.bucket") == F.col("r.bucket")) & (F.col("s.block_number") <= F.col("r.as_of_block"))).select(
+        request.alias("contract"), *[F.col(f"s.{c}") for c in rows.columns if c not in ("contract", "bucket")])
+    answer = view.finish(view.merge(before.unionByName(view.partial(inside).select(before.columns))), blocks)
+    return answer.withColumns({"request_id": F.col("contract.request_id"), "as_of_block": F.col("contract.as_of_block"),
+                               "contract": F.col("contract.contract")})
+
+
 # --- anomaly reports -------------------------------------------------------
 
 def leader_conflicts(events: DataFrame, as_of: int | DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logtide import schemas
 from logtide.functions import hexes, numbers, payload as P
@@ -14,13 +14,15 @@ from logtide.operators import (
 from logtide.operators.render import as_hex
 from logtide.plans import sample_sql as Q
 from logtide.plans.backfill import backfill as cold_start
-from logtide.session import sized, work_dir
+from logtide.session import per_chain, sized, work_dir
 from logtide.sources import logs, sample_tables as S
-from logtide.streaming import jobs
+from logtide.sources.raw_log import RawLog
+from logtide.streaming import jobs, live
 
 AS_OF = 360
 EARLIER = 300
 CONFIRMATIONS = control.CONFIRMATIONS
+SAMPLE_BUCKET = 100  # the sample's chains have 720 heights
 TICK_NOW = S.GENESIS_TS + 400 * S.BLOCK_SECONDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +102,47 @@ def lifecycle_as_of_block(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(views.lifecycle_for(S.clusters(spark, sf), ended))
 
 
+def _many_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests (request_id, chain_id, contract, as_of_block): every 23rd event asks for its cluster half-way down its chain."""
+    return _events(spark, sf).where(F.col("event_id") % 23 == 0).select(
+        F.col("event_id").alias("request_id"), "chain_id", "contract", F.floor(F.col("block_number") / 2).alias("as_of_block"))
+
+
+MANY = """, req AS (SELECT event_id AS request_id, chain_id, contract, block_number // 2 AS as_of_block FROM ev WHERE event_id % 23 = 0)
+"""
+
+
+@query(Q.EV + MANY + """SELECT request_id, r.chain_id, r.contract, as_of_block, member_id, CAST(k AS BIGINT) AS epoch, block_number AS claimed_block
+FROM req r JOIN ev ON ev.chain_id = r.chain_id AND ev.contract = r.contract AND block_number <= as_of_block
+WHERE kind = 'LeaderClaimed' AND NOT removed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY k DESC, pos) = 1""")
+def leader_as_of_many_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Hundreds of clusters, each as of a block of its own, in one job."""
+    found = views.as_of_many(views.LEADER, _events(spark, sf), _many_blocks(spark, sf), bucket_blocks=SAMPLE_BUCKET)
+    return as_hex(found.select("request_id", "chain_id", "contract", "as_of_block", "member_id", "epoch", "claimed_block"))
+
+
+@query(Q.EV + MANY + """, m AS (SELECT request_id, as_of_block, ev.* FROM req r JOIN ev ON ev.chain_id = r.chain_id AND ev.contract = r.contract AND block_number <= as_of_block
+ WHERE kind IN ('MemberRegistered', 'PublicEndpointUpdated', 'MemberRetired') AND NOT removed),
+a AS (SELECT request_id, chain_id, contract, as_of_block, member_id, min(pos) FILTER (kind <> 'MemberRetired') AS seen,
+ arg_max(k, pos) FILTER (kind = 'MemberRegistered') AS reg_k, arg_max(block_ts, pos) FILTER (kind = 'MemberRegistered') AS registered_at,
+ arg_max(k, pos) FILTER (kind = 'PublicEndpointUpdated') AS end_k, max(pos) FILTER (kind = 'MemberRetired') AS ret_pos,
+ arg_max(block_ts, pos) FILTER (kind = 'MemberRetired') AS ret_ts FROM m GROUP BY ALL)
+SELECT request_id, chain_id, contract, as_of_block, member_id, 'node-' || reg_k AS dns_label, 'https://m' || end_k || '.example' AS public_endpoint,
+ registered_at, CASE WHEN ret_pos > seen THEN ret_ts END AS retired_at FROM a WHERE seen IS NOT NULL""")
+def members_as_of_many_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = views.as_of_many(views.MEMBERS, _events(spark, sf), _many_blocks(spark, sf), _blocks(spark, sf), SAMPLE_BUCKET)
+    return as_hex(found.select("request_id", "chain_id", "contract", "as_of_block", "member_id", "dns_label", "public_endpoint",
+                               "registered_at", "retired_at"))
+
+
+@query(Q.EV + MANY + """SELECT request_id, r.chain_id, r.contract, as_of_block, min(block_ts) AS destroyed_at
+FROM req r JOIN ev ON ev.chain_id = r.chain_id AND ev.contract = r.contract AND block_number <= as_of_block
+WHERE kind = 'ClusterDestroyed' AND NOT removed GROUP BY ALL""")
+def lifecycle_as_of_many_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    found = views.as_of_many(views.LIFECYCLE, _events(spark, sf), _many_blocks(spark, sf), _blocks(spark, sf), SAMPLE_BUCKET)
+    return as_hex(found.select("request_id", "chain_id", "contract", "as_of_block", "destroyed_at"))
+
+
 @query(Q.OVERVIEW.format(bound=AS_OF))
 def cluster_overview(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(views.overview(S.clusters(spark, sf), _events(spark, sf), _blocks(spark, sf), AS_OF))
@@ -176,6 +219,28 @@ def as_of_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(asof.resolve(_requests(blocks), state, blocks))
 
 
+@query(Q.EV + f""", st AS (SELECT chain_id, max(block_number) AS head FROM ev GROUP BY 1),
+r AS (SELECT event_id AS request_id, ev.chain_id, head, CASE k % 4 WHEN 0 THEN 'head' WHEN 1 THEN 'finalized' WHEN 2 THEN 'latest' END AS safety,
+ CASE WHEN event_id % 3 = 0 THEN block_number END AS as_of_block, block_number FROM ev JOIN st USING (chain_id))
+SELECT request_id, chain_id, coalesce(safety, 'head') AS safety,
+ CASE WHEN safety IS NOT NULL AND as_of_block IS NOT NULL THEN 'both_given' WHEN safety = 'latest' THEN 'unknown_safety' ELSE 'ok' END AS status,
+ CASE WHEN safety IS NOT NULL AND as_of_block IS NOT NULL OR safety = 'latest' THEN NULL
+  WHEN as_of_block IS NOT NULL THEN as_of_block WHEN safety = 'finalized' THEN head - {CONFIRMATIONS} ELSE head END AS block_number FROM r
+WHERE as_of_block IS NULL OR safety IS NULL
+UNION ALL SELECT request_id, chain_id, 'head', 'both_given', NULL FROM r WHERE as_of_block IS NOT NULL AND safety IS NOT NULL""")
+def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for every event, good and bad ones, each with its status."""
+    events, blocks = S.with_chain_columns(S.table(spark, sf, "events")), _blocks(spark, sf)
+    k = F.col("k") % 4
+    requests = events.select(
+        F.col("event_id").alias("request_id"), "chain_id",
+        F.when(k == 0, F.lit("head")).when(k == 1, F.lit("finalized")).when(k == 2, F.lit("latest")).alias("safety"),
+        F.when(F.col("event_id") % 3 == 0, F.col("block_number")).alias("as_of_block"))
+    found = asof.resolve(requests, per_chain(ingest.chain_state(blocks, CONFIRMATIONS)), blocks)
+    return found.where(F.col("status") != "no_block_row").select("request_id", "chain_id", "safety", "status", "block_number").unionByName(
+        found.where(F.col("status") == "no_block_row").select("request_id", "chain_id", "safety", F.lit("ok").alias("status"), "block_number"))
+
+
 @query(Q.EV + """, st AS (SELECT chain_id, max(block_number) - 12 AS bound FROM ev GROUP BY 1),
 c AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.chain_id, contract ORDER BY k DESC, pos) AS rn
  FROM ev JOIN st USING (chain_id) WHERE kind = 'LeaderClaimed' AND NOT removed AND block_number <= bound)
@@ -290,6 +355,30 @@ def log_scan(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "chain_id", "address", "block_number"))
 
 
+def _raw_table(spark: SparkSession, sf: str) -> RawLog:
+    table = RawLog(spark, work_dir(spark, "raw-log"), SAMPLE_BUCKET)
+    table.append(_raw(spark, sf))
+    return table
+
+
+@query(ORACLES["log_scan"])
+def log_scan_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scan over the raw log's own layout."""
+    wanted = [s.topic0 for s in decode.DEFAULT_SPECS if s.kind in ("LeaderClaimed", "MemberRegistered")]
+    suppliers = S.table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") % 2 + 1).cast("int").alias("chain_id"), hexes.word(F.col("s_suppkey"), 20).alias("address"))
+    return as_hex(_raw_table(spark, sf).scan(wanted, 100, 600, suppliers).select("event_id", "chain_id", "address", "block_number"))
+
+
+@query(Q.EV + """, r AS (SELECT chain_id, contract, max(block_number) AS f FROM ev WHERE kind = 'ClusterDestroyed' GROUP BY ALL)
+SELECT event_id, chain_id, contract AS address, block_number FROM ev JOIN r USING (chain_id, contract) WHERE block_number >= f""")
+def log_since_block(spark: SparkSession, sf: str) -> DataFrame:
+    """What contracts emitted from a block of their own on, as the backlog of newly found ones is read."""
+    contracts = _events(spark, sf).where(F.col("kind") == "ClusterDestroyed").groupBy("chain_id", F.col("contract").alias("address")).agg(
+        F.max("block_number").alias("from_block"))
+    return as_hex(_raw_table(spark, sf).since(contracts).select("event_id", "chain_id", "address", "block_number"))
+
+
 @query(Q.EV + """, r AS (SELECT chain_id, contract, max(block_number) FILTER (kind = 'MemberRetired') AS f FROM ev GROUP BY ALL)
 SELECT event_id, chain_id, contract AS address, block_number FROM ev JOIN r USING (chain_id, contract)
 WHERE block_number BETWEEN f AND 719""")
@@ -374,8 +463,8 @@ def decode_control_ack(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"seq": F.col("seq").cast("string"), "status": F.col("status").cast("int")})
 
 
-@query(Q.EV + """SELECT event_id, CASE WHEN block_number % 97 = 0 THEN 'log missing tx_hash'
- ELSE 'anonymous log has no topic0' END AS reject_reason FROM ev WHERE block_number % 97 = 0 OR kind = 'MemberRetired'""")
+@query(Q.EV + """SELECT event_id, CASE WHEN block_number % 97 = 0 THEN 'no tx_hash'
+ ELSE 'first topic absent' END AS reject_reason FROM ev WHERE block_number % 97 = 0 OR kind = 'MemberRetired'""")
 def raw_log_rejects(spark: SparkSession, sf: str) -> DataFrame:
     damaged = S.with_chain_columns(S.table(spark, sf, "events")).select(
         "event_id", "chain_id", F.col("contract").alias("address"),
@@ -825,7 +914,7 @@ def control_feed(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.EV + "SELECT event_id, contract, kind FROM ev WHERE NOT removed AND event_id > 50 AND kind IN ('MemberRegistered', 'MemberRetired')")
 def subscription_backlog(spark: SparkSession, sf: str) -> DataFrame:
     rows = feeds.subscription(_events(spark, sf), since=50, kinds=["MemberRegistered", "MemberRetired"])
-    return as_hex(feeds.once_per_id(S.redelivered(rows.select("event_id", "chain_id", "contract", "kind")))
+    return as_hex(jobs.each_once(S.redelivered(rows.select("event_id", "kind", *schemas.EVENT_KEY)))
                   .select("event_id", "contract", "kind"))
 
 
@@ -849,6 +938,17 @@ def ingest_health(spark: SparkSession, sf: str) -> DataFrame:
                                 reorg.orphan_blocks(events, blocks), now=1706745600)
 
 
+@query(ORACLES["ingest_health"])
+def stream_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Health from what the batches counted: logs with every fiftieth twice under the blocks they name, then the headers."""
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    raw = _raw(spark, sf)
+    again = F.col("event_id") % 50 == 0
+    for number, batch in enumerate((live.inputs(raw), live.inputs(raw.where(again)), live.inputs(headers=_blocks(spark, sf)))):
+        chain(batch, number)
+    return chain.health(now=1706745600)
+
+
 LEADER_DRIFT = f""", st AS ({Q.LEADER_AT.format(bound=EARLIER)}), rb AS ({Q.LEADER_AT.format(bound=AS_OF)})"""
 
 
@@ -944,6 +1044,26 @@ def as_of_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(audit.materialise(missing, events, blocks, AS_OF))
 
 
+@query(Q.EV + MANY + """, w AS (SELECT DISTINCT chain_id, contract, as_of_block FROM req
+ WHERE (chain_id, as_of_block) IN (SELECT chain_id, block_number FROM ev)),
+l AS (SELECT w.*, member_id, k FROM w JOIN ev ON ev.chain_id = w.chain_id AND ev.contract = w.contract AND block_number <= as_of_block
+ WHERE kind = 'LeaderClaimed' AND NOT removed QUALIFY row_number() OVER (PARTITION BY w.chain_id, w.contract, as_of_block ORDER BY k DESC, pos) = 1),
+d AS (SELECT w.*, min(block_ts) AS d FROM w JOIN ev ON ev.chain_id = w.chain_id AND ev.contract = w.contract AND block_number <= as_of_block
+ WHERE kind = 'ClusterDestroyed' AND NOT removed GROUP BY ALL)
+SELECT chain_id, contract, 'leader' AS endpoint, as_of_block, '' AS item, '{"asOfBlock":' || as_of_block || ',"epoch":' || coalesce(k, 0) ||
+ ',"memberId":"' || coalesce(member_id, '0x' || repeat('0', 64)) || '"}' AS payload, '0x' || sha256('b' || as_of_block) AS as_of_hash
+FROM w LEFT JOIN l USING (chain_id, contract, as_of_block) UNION ALL
+SELECT chain_id, contract, 'lifecycle', as_of_block, '', '{"destroyedAt":' || coalesce(CAST(d AS VARCHAR), 'null') || '}', '0x' || sha256('b' || as_of_block)
+FROM w LEFT JOIN d USING (chain_id, contract, as_of_block)""")
+def snapshots_of_many_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of hundreds of different blocks, made in one job."""
+    events, blocks = _events(spark, sf), _blocks(spark, sf)
+    endpoint = F.explode(F.array(F.lit("leader"), F.lit("lifecycle"))).alias("endpoint")
+    requests = _many_blocks(spark, sf).select("chain_id", "contract", endpoint, "as_of_block")
+    none = requests.where("false").withColumn("as_of_hash", F.lit(b""))
+    return as_hex(audit.materialise_many(audit.missing_snapshots(requests, none, blocks), events, blocks, SAMPLE_BUCKET))
+
+
 # --- streams ---------------------------------------------------------------
 
 STREAM_PARTS = 3
@@ -962,19 +1082,19 @@ def _feed(rows: DataFrame, order: str, folder: str, drain: Callable[[], None]) -
         drain()
 
 
-def _ingest(spark: SparkSession, sf: str) -> jobs.IngestJob:
-    """The ingest job run over redelivered raw logs in several micro-batches."""
-    blocks = _blocks(spark, sf)
+def _ingest(spark: SparkSession, sf: str) -> live.LiveChain:
+    """Redelivered raw logs in several micro-batches, the stored headers with the first."""
     watched = sized(S.clusters(spark, sf).withColumnRenamed("contract", "address"), "watched")
-    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
-    folder, checkpoint = work_dir(spark, "raw-logs"), work_dir(spark, "ingest-checkpoint")
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    folder, headers, checkpoint = (work_dir(spark, n) for n in ("raw-logs", "headers", "chain-checkpoint"))
+    S.stored_blocks(_blocks(spark, sf)).write.parquet(headers)
 
     def drain() -> None:
-        stream = jobs.watched_only(logs.stream_logs(spark, folder), watched)
-        jobs.run(stream, job, checkpoint).awaitTermination()
+        stream = live.inputs(jobs.watched_only(logs.stream_logs(spark, folder), watched), logs.stream_headers(spark, headers))
+        jobs.run(stream, chain, checkpoint).awaitTermination()
 
     _feed(S.redelivered(_raw(spark, sf)).drop("delivery"), "event_id", folder, drain)
-    return job
+    return chain
 
 
 STREAMED_EV = Q.EV.replace("block_number % 97 = 0 AS removed", "false AS removed")
@@ -1002,15 +1122,13 @@ def stream_lifecycle_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(Q.LEADER_ROWS.format(bound=S.HEAD))
 def stream_leader_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
-    """View state rebuilt once the canonical chain shows orphaned blocks."""
-    job = _ingest(spark, sf)
-    job.rebuild("leader", STREAM_PARTS, reorg.orphan_blocks(job.log.read(), _blocks(spark, sf)))
-    return as_hex(job.view("leader"))
+    """View state once the canonical chain has shown orphaned blocks."""
+    return as_hex(_reorganised(spark, sf).view("leader"))
 
 
 @query(ORACLES["change_feed"])
 def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingest(spark, sf).feed()
+    return _ingest(spark, sf).feed().drop("v")
 
 
 @query(Q.BLOCKS + "SELECT * FROM blk")
@@ -1070,7 +1188,7 @@ def stream_member_feed(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.EV + "SELECT event_id, chain_id, contract FROM ev WHERE event_id > 50")
 def stream_subscription(spark: SparkSession, sf: str) -> DataFrame:
     """Backlog and tail of overlapping deliveries from an id on, each id once."""
-    rows = S.redelivered(_events(spark, sf).select("event_id", "chain_id", "contract", "kind", "block_number"))
+    rows = S.redelivered(_events(spark, sf).select("event_id", "kind", "block_number", *schemas.EVENT_KEY))
     timed = rows.withColumns({"at": F.timestamp_seconds(S.block_ts(F.col("block_number"))),
                               "removed": F.lit(False)}).drop("delivery", "block_number")
     folder, out = work_dir(spark, "deliveries"), work_dir(spark, "subscription")
@@ -1089,7 +1207,7 @@ def stream_subscription(spark: SparkSession, sf: str) -> DataFrame:
 @query(Q.EV + "SELECT event_id, chain_id FROM ev")
 def stream_late_deliveries(spark: SparkSession, sf: str) -> DataFrame:
     """Deliveries from the newest to the oldest, each twice: every first one is late and counts."""
-    rows = _events(spark, sf).select("event_id", "chain_id", (-F.col("event_id")).alias("turn"))
+    rows = _events(spark, sf).select("event_id", *schemas.EVENT_KEY, (-F.col("event_id")).alias("turn"))
     folder, out = work_dir(spark, "late"), work_dir(spark, "late-once")
     checkpoint = work_dir(spark, "late-checkpoint")
 
@@ -1119,8 +1237,7 @@ def leader_wide_epochs(spark: SparkSession, sf: str) -> DataFrame:
 @query(STREAMED_EV + "SELECT event_id, chain_id, contract, kind, block_number FROM ev WHERE kind = 'ControlInstructionBroadcast' AND k % 10 = 0")
 def stream_control_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Instructions that never expire (2^64 - 1) are stored nowhere but in the rejects."""
-    blocks = _blocks(spark, sf)
-    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks)
+    chain = live.LiveChain(spark, work_dir(spark, "chain"))
     events = S.with_chain_columns(S.table(spark, sf, "events")).where(F.col("kind") == "ControlInstructionBroadcast")
     raw = S.raw_logs(events)
     never = F.concat(F.substring("data", 1, 32), F.lit(bytes(24) + b"\xff" * 8), F.expr("substring(data, 65)"))
@@ -1129,20 +1246,19 @@ def stream_control_rejects(spark: SparkSession, sf: str) -> DataFrame:
     folder, checkpoint = work_dir(spark, "raw-logs"), work_dir(spark, "ingest-checkpoint")
 
     def drain() -> None:
-        jobs.run(logs.stream_logs(spark, folder), job, checkpoint).awaitTermination()
+        jobs.run(live.inputs(logs.stream_logs(spark, folder)), chain, checkpoint).awaitTermination()
 
     _feed(rows, "event_id", folder, drain)
-    return as_hex(job.control_rejects())
+    return as_hex(chain.control_rejects().drop("v"))
 
 
-def _late_headers(spark: SparkSession, sf: str) -> jobs.IngestJob:
+def _late_headers(spark: SparkSession, sf: str) -> live.LiveChain:
     """All logs first, of which the last third of the heights has no header yet; then the headers."""
-    blocks, seen = _blocks(spark, sf), [S.HEAD * 2 // 3]
-    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), lambda: blocks.where(F.col("number") <= seen[0]))
-    job(_raw(spark, sf), 0)
-    seen[0] = S.HEAD
-    job(_raw(spark, sf).where("false"), 1)
-    return job
+    headers, seen = S.stored_blocks(_blocks(spark, sf)), F.col("number") <= S.HEAD * 2 // 3
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    chain(live.inputs(_raw(spark, sf), headers.where(seen)), 0)
+    chain(live.inputs(headers=headers.where(~seen)), 1)
+    return chain
 
 
 @query(ORACLES["stream_members_view"])
@@ -1155,23 +1271,21 @@ def stream_lifecycle_late_headers(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(_late_headers(spark, sf).view("lifecycle"))
 
 
-def _reorganised(spark: SparkSession, sf: str) -> jobs.IngestJob:
-    """Logs ingested under the stored blocks; then headers replace some blocks, and all is reconciled."""
-    canonical = _blocks(spark, sf)
-    headers = jobs.BlockJob(spark, work_dir(spark, "blocks"))
-    headers(S.stored_blocks(canonical), 0)
-    job = jobs.IngestJob(spark, work_dir(spark, "ingest"), headers.blocks)
-    job(_raw(spark, sf), 0)
-    headers(canonical, 1)
-    job.reconcile(1)
-    return job
+def _reorganised(spark: SparkSession, sf: str, **options) -> live.LiveChain:
+    """Logs under the blocks that they name; then headers replace some blocks; then the orphans' logs come again."""
+    raw = _raw(spark, sf)
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET, **options)
+    chain(live.inputs(raw), 0)
+    chain(live.inputs(headers=_blocks(spark, sf)), 1)
+    chain(live.inputs(raw.where(F.col("block_number") % S.ORPHAN_EVERY == 0)), 2)
+    return chain
 
 
 @query(Q.SUNK + "SELECT row_id, chain_id, cluster, nonce, expiry, block_number FROM ins")
 def stream_instructions_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
-    """Nonces that orphaned instructions held belong to canonical ones."""
-    return as_hex(_reorganised(spark, sf).instructions.read().select(
-        "row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
+    """Nonces that orphaned instructions held belong to canonical ones, and stay theirs when the orphans return."""
+    chain = _reorganised(spark, sf)
+    return as_hex(chain.state(chain.instructions).select("row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
 
 
 @query(Q.EV + "SELECT event_id, chain_id, removed FROM ev")
@@ -1184,12 +1298,86 @@ def stream_members_after_reorg(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(_reorganised(spark, sf).view("members"))
 
 
-@query("""SELECT 1 AS chain_id, printf('0x%040x', n_nationkey) AS address, 'factory' AS kind, CAST(NULL AS VARCHAR) AS parent,
- CAST(n_regionkey AS BIGINT) AS from_block FROM nation""")
+@query(Q.EV + f"""SELECT chain_id, CAST(min(block_number) - 1 AS BIGINT) AS ancestor, max(head) AS head,
+ count(DISTINCT block_number) AS blocks, count(*) AS removed_rows,
+ CASE WHEN max(head) - (min(block_number) - 1) > {CONFIRMATIONS} THEN 'DEEPER_THAN_FINALITY' ELSE 'OK' END AS status
+ FROM (SELECT *, max(block_number) OVER (PARTITION BY chain_id) AS head FROM ev) WHERE removed GROUP BY chain_id""")
+def stream_rollbacks(spark: SparkSession, sf: str) -> DataFrame:
+    """What the headers of :func:`_reorganised` took back, by chain."""
+    return _reorganised(spark, sf).reorgs().drop("v")
+
+
+LATE_FORK = S.ORPHAN_EVERY * 7
+LATE_EV = Q.EV.replace("block_number % 97 = 0 AS removed", f"block_number = {LATE_FORK} AS removed")
+
+
+def _late_fork(spark: SparkSession, sf: str) -> live.LiveChain:
+    """A fork near the head after all else is settled, then its orphans' logs again; only the last buckets are folded anew."""
+    raw, canonical = _raw(spark, sf), _blocks(spark, sf)
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    chain(live.inputs(raw, S.stored_blocks(canonical)), 0)
+    chain(live.inputs(headers=canonical.where(F.col("number") >= LATE_FORK)), 1)
+    chain(live.inputs(raw.where(F.col("block_number") == LATE_FORK)), 2)
+    return chain
+
+
+@query(LATE_EV + Q.LEADER_AT.format(bound=S.HEAD))
+def stream_leader_after_late_fork(spark: SparkSession, sf: str) -> DataFrame:
+    return as_hex(_late_fork(spark, sf).view("leader"))
+
+
+@query(Q.SUNK.replace("block_number % 97 = 0 AS removed", f"block_number = {LATE_FORK} AS removed")
+       + "SELECT row_id, chain_id, cluster, nonce, expiry, block_number FROM ins")
+def stream_instructions_after_late_fork(spark: SparkSession, sf: str) -> DataFrame:
+    chain = _late_fork(spark, sf)
+    return as_hex(chain.state(chain.instructions).select("row_id", "chain_id", "cluster", "nonce", "expiry", "block_number"))
+
+
+@query(LATE_EV + """SELECT event_id, chain_id, CAST(0 AS BIGINT) AS v FROM ev""")
+def stream_feed_after_late_fork(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event has its envelope in the first batch; orphans that return have no other one."""
+    return _late_fork(spark, sf).feed().select("event_id", "chain_id", F.col("v").cast("long").alias("v"))
+
+
+@query(DELIVERED + "SELECT row_id, chain_id, cluster, nonce, block_number FROM lab WHERE outcome = 'Dispatched'")
+def stream_delivery_through_reorg(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs, headers and ordered delivery in one job: what orphans left waiting goes before a head opens delivery."""
+    out = jobs.OrderedDelivery(spark, work_dir(spark, "delivery"), clock=lambda: TICK_NOW)
+    _reorganised(spark, sf, delivery=out)
+    return as_hex(out.dispatched().select("row_id", "chain_id", "cluster", "nonce", "block_number"))
+
+
+@query(Q.BLOCKS + f""", line AS (SELECT chain_id, row_number() OVER (PARTITION BY chain_id ORDER BY number) AS number,
+ number AS was, count(*) OVER (PARTITION BY chain_id) AS n FROM blk)
+SELECT chain_id, number, chain_id = 2 AND number > n // 2 AS rival FROM line""")
+def fork_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Two branches with open tips in one batch. On chain 1 the rival is shorter, on chain 2 the trunk is."""
+    order = Window.partitionBy("chain_id").orderBy("number")
+    line = _blocks(spark, sf).select("chain_id", F.row_number().over(order).cast("long").alias("number"), "block_ts",
+                                     F.count("*").over(Window.partitionBy("chain_id")).alias("n"))
+    named = lambda tag, n: F.unhex(F.sha2(F.concat(F.lit(tag), F.col("chain_id"), F.lit(":"), n), 256))
+    number, fork = F.col("number"), F.floor(F.col("n") / 2)
+    trunk = line.where((F.col("chain_id") == 1) | (number <= F.col("n") - 5)).select(
+        "chain_id", "number", named("b", number).alias("hash"), named("b", number - 1).alias("parent_hash"), "block_ts")
+    rival = line.where((number > fork) & ((F.col("chain_id") == 2) | (number <= F.col("n") - 5))).select(
+        "chain_id", "number", named("x", number).alias("hash"),
+        F.when(number == fork + 1, named("b", number - 1)).otherwise(named("x", number - 1)).alias("parent_hash"), "block_ts")
+    chosen = reorg.choose_forks(trunk.unionByName(rival))
+    return chosen.select("chain_id", "number", (F.col("hash") == named("x", number)).alias("rival"))
+
+
+def _factories(spark: SparkSession, sf: str) -> DataFrame:
+    """The factories that minted a customer's cluster, configured from that block on."""
+    return S.table(spark, sf, "customer").select(
+        F.lit(1).alias("chain_id"), hexes.word(F.col("c_nationkey"), 20).alias("address"),
+        (F.col("c_custkey") % 720).alias("from_block"))
+
+
+@query("""SELECT 1 AS chain_id, printf('0x%040x', c_nationkey) AS address, 'factory' AS kind, CAST(NULL AS VARCHAR) AS parent,
+ CAST(min(c_custkey % 720) AS BIGINT) AS from_block FROM customer GROUP BY c_nationkey""")
 def watched_seed(spark: SparkSession, sf: str) -> DataFrame:
-    """The configured factories (a row for each nation) as watched rows."""
-    configured = [(r["n_nationkey"].to_bytes(20, "big"), r["n_regionkey"]) for r in S.table(spark, sf, "nation").collect()]
-    return as_hex(registry.seed_factories(spark, 1, configured))
+    """Configured factories, each repeated for every cluster it minted, as watched rows."""
+    return as_hex(registry.seed_factories(_factories(spark, sf)))
 
 
 @query(Q.LEADER_CTE.format(bound=AS_OF) + f""", mem AS ({Q.MEMBERS.format(bound=AS_OF)})
@@ -1222,8 +1410,7 @@ def backfill(spark: SparkSession, sf: str) -> DataFrame:
     emitted = S.with_chain_columns(S.table(spark, sf, "events")).withColumns(
         {"contract": hexes.word(F.col("user") + 1000, 20), "chain_id": F.lit(1), "event_id": F.col("event_id") + 100_000_000})
     raw = S.deployment_logs(spark, sf).unionByName(S.raw_logs(emitted))
-    configured = [(r["n_nationkey"].to_bytes(20, "big"), 0) for r in S.table(spark, sf, "nation").collect()]
-    factories = registry.seed_factories(spark, 1, configured)
+    factories = registry.seed_factories(_factories(spark, sf))
     heads = spark.createDataFrame([(1, S.HEAD)], "chain_id int, head long")
     topics = [s.topic0 for s in decode.DEFAULT_SPECS]
     events, _, _ = cold_start(lambda plan: ingest.scan_plan(raw, plan, topics), factories,
@@ -1231,19 +1418,63 @@ def backfill(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(events.select("event_id", "contract", "block_number", "kind"))
 
 
-@query(Q.EV + "SELECT CAST(1 AS INTEGER) AS chain_id, contract AS address, block_number, log_index FROM ev")
-def stream_rpc_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """The log as JSON-RPC lines; retractions that a node sends for orphaned blocks are no logs."""
-    raw = _raw(spark, sf)
+def _rpc_lines(raw: DataFrame) -> DataFrame:
+    """Raw logs as a node's JSON lines."""
     number = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
-    lines = raw.select(
+    return raw.select(
         hexes.hex0x(F.col("address")).alias("address"), F.transform("topics", hexes.hex0x).alias("topics"),
         hexes.hex0x(F.col("data")).alias("data"), number(F.col("block_number")).alias("blockNumber"),
         hexes.hex0x(F.col("block_hash")).alias("blockHash"), hexes.hex0x(F.col("tx_hash")).alias("transactionHash"),
-        number(F.col("log_index")).alias("logIndex"), F.lit(False).alias("removed"), "block_number")
-    again = lines.where(F.col("block_number") % S.ORPHAN_EVERY == 0).withColumn("removed", F.lit(True))
+        number(F.col("log_index")).alias("logIndex"), F.lit(False).alias("removed"))
+
+
+@query(Q.EV + "SELECT CAST(1 AS INTEGER) AS chain_id, contract AS address, block_number, log_index FROM ev")
+def stream_rpc_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as JSON-RPC lines; retractions that a node sends for orphaned blocks are no logs."""
+    raw = _raw(spark, sf)
+    again = _rpc_lines(raw.where(F.col("block_number") % S.ORPHAN_EVERY == 0)).withColumn("removed", F.lit(True))
     folder, out, checkpoint = (work_dir(spark, n) for n in ("rpc", "rpc-logs", "rpc-checkpoint"))
-    lines.unionByName(again).drop("block_number").write.json(folder)
+    _rpc_lines(raw).unionByName(again).write.json(folder)
     read = logs.stream_rpc_logs(spark, folder, 1)
     read.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     return as_hex(spark.read.schema(read.schema).parquet(out).select("chain_id", "address", "block_number", "log_index"))
+
+
+@query(Q.EV + """SELECT contract AS address, block_number, log_index, removed, false AS later FROM ev
+UNION ALL SELECT contract, block_number, log_index, false, true FROM ev WHERE removed""")
+def stream_rpc_fork(spark: SparkSession, sf: str) -> DataFrame:
+    """A node's logs; then it takes some blocks back and sends their replacements' logs at the same positions.
+
+    Both are stored. A replacement has an id beyond all that came before it, so readers who page by id get it.
+    """
+    raw, orphaned = _raw(spark, sf), F.col("block_number") % S.ORPHAN_EVERY == 0
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    folder, checkpoint = work_dir(spark, "rpc"), work_dir(spark, "rpc-checkpoint")
+
+    def drain() -> None:
+        rows = logs.stream_rpc_rows(spark, folder)
+        stream = live.inputs(logs.from_rpc_logs(rows, 1), retracted=logs.retracted_blocks(rows, 1))
+        jobs.run(stream, chain, checkpoint).awaitTermination()
+
+    _rpc_lines(raw).write.json(folder)
+    drain()
+    first = chain.log.read().agg(F.max("event_id")).first()[0] or 0
+    gone = _rpc_lines(raw.where(orphaned)).withColumn("removed", F.lit(True))
+    canonical = F.unhex(F.sha2(F.concat(F.lit("b"), F.col("block_number").cast("string")), 256))
+    gone.unionByName(_rpc_lines(raw.where(orphaned).withColumn("block_hash", canonical))).write.mode("append").json(folder)
+    drain()
+    return as_hex(chain.events().select(F.col("contract").alias("address"), "block_number", "log_index", "removed",
+                                        (F.col("event_id") > first).alias("later")))
+
+
+@query(Q.BLOCKS + "SELECT * FROM blk WHERE chain_id = 1")
+def stream_rpc_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """A node's headers as JSON lines into the live chain's block table; heights known from a child alone have no time yet."""
+    number = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    folder, checkpoint = work_dir(spark, "rpc-headers"), work_dir(spark, "rpc-headers-checkpoint")
+    _blocks(spark, sf).where(F.col("chain_id") == 1).select(
+        number(F.col("number")).alias("number"), hexes.hex0x(F.col("hash")).alias("hash"),
+        hexes.hex0x(F.col("parent_hash")).alias("parentHash"), number(F.col("block_ts")).alias("timestamp")).write.json(folder)
+    chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
+    jobs.run(live.inputs(headers=logs.stream_rpc_headers(spark, folder, 1)), chain, checkpoint).awaitTermination()
+    return as_hex(chain.blocks().where(F.col("block_ts") != 0))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +62,23 @@ def scratch(spark: SparkSession):
         _open.paths = outer
 
 
+def side_by_side(tasks: list[Callable]) -> list:
+    """Results of independent small jobs run at once, each of which takes longer to start than to run.
+
+    Folders that they take belong to the caller's :func:`scratch`.
+    """
+    paths, spark = getattr(_open, "paths", None), SparkSession.active()
+
+    def within(task: Callable):
+        def call():
+            _open.paths = paths
+            return task()
+        return inheritable_thread_target(spark)(call)
+
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [done.result() for done in [pool.submit(within(t)) for t in tasks]]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 

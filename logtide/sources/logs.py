@@ -24,17 +24,15 @@ RPC_HEADER = T.StructType([
 ])
 
 
-def position_id(block_number: Column, log_index: Column) -> Column:
-    """An arrival id for sources without one: stable across runs, rising with position."""
-    return F.shiftleft(block_number, 24) + log_index
-
-
 def from_rpc_logs(rows: DataFrame, chain_id: int) -> DataFrame:
-    """Raw logs of node responses; a retraction (``removed``) is none, see :func:`retracted_blocks`."""
+    """Raw logs of node responses; a retraction (``removed``) is none, see :func:`retracted_blocks`.
+
+    Nodes number nothing: ``event_id`` is NULL, and the live log gives each new row the next arrival id.
+    """
     rows = rows.where(~F.coalesce("removed", F.lit(False)))
     number, index = (numbers.parse_uint_as_int64(F.col(c)) for c in ("blockNumber", "logIndex"))
     return rows.select(
-        position_id(number, index).alias("event_id"), F.lit(chain_id).alias("chain_id"),
+        F.lit(None).cast("long").alias("event_id"), F.lit(chain_id).alias("chain_id"),
         hexes.parse_fixed(F.col("address"), 20).alias("address"),
         F.transform("topics", lambda t: hexes.parse_fixed(t, 32)).alias("topics"),
         hexes.parse_bytes(F.col("data")).alias("data"), number.alias("block_number"),
@@ -43,10 +41,10 @@ def from_rpc_logs(rows: DataFrame, chain_id: int) -> DataFrame:
 
 
 def retracted_blocks(rows: DataFrame, chain_id: int) -> DataFrame:
-    """(chain_id, block_number, block_hash) that a node took back, as ``reorg.mark_removed`` wants them."""
+    """(chain_id, block_number, block_hash) that a node took back, once for each log in it."""
     return rows.where("removed").select(
         F.lit(chain_id).alias("chain_id"), numbers.parse_uint_as_int64(F.col("blockNumber")).alias("block_number"),
-        hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash")).distinct()
+        hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash"))
 
 
 def from_rpc_headers(rows: DataFrame, chain_id: int) -> DataFrame:
@@ -79,9 +77,14 @@ def _stream(spark: SparkSession, fmt: str, schema: T.StructType, path: str,
     return reader.load(path)
 
 
+def stream_rpc_rows(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Node responses as they are: logs and retractions in one stream."""
+    return _stream(spark, "json", RPC_LOG, path, files_per_batch, None)
+
+
 def stream_rpc_logs(spark: SparkSession, path: str, chain_id: int,
                     files_per_batch: int | None = None) -> DataFrame:
-    return from_rpc_logs(_stream(spark, "json", RPC_LOG, path, files_per_batch, None), chain_id)
+    return from_rpc_logs(stream_rpc_rows(spark, path, files_per_batch), chain_id)
 
 
 def stream_rpc_headers(spark: SparkSession, path: str, chain_id: int,

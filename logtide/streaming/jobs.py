@@ -1,4 +1,4 @@
-"""Micro-batch upkeep of the log, blocks, views, registry, control tables and feed.
+"""Micro-batch jobs: blocks with reorg signals, and ordered delivery; :mod:`live` has the chain's state.
 
 Each job is a ``foreachBatch`` body. A body may run twice for one batch id;
 every write is keyed by the batch id or guarded by the table's own key, so the
@@ -12,16 +12,13 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logtide import schemas
-from logtide.operators import control, decode, feeds, ingest, orderer, registry, reorg, views
+from logtide.operators import control, decode, ingest, orderer, reorg
+from logtide.schemas import EVENT_KEY
 from logtide.session import scratch, sized
-from logtide.sources.tables import EventLog, MergeTable, VersionedTable
+from logtide.sources.tables import DeltaTable, MergeTable, VersionedTable
 
 COMPACT_EVERY = 20
 
-_ORPHAN = T.StructType([T.StructField("chain_id", T.IntegerType()), T.StructField("block_number", T.LongType()),
-                        T.StructField("block_hash", T.BinaryType())])
-
-
 def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str,
         available_now: bool = True, interval: str = "5 seconds"):
     """Start a job; with ``available_now`` it drains what is there and stops."""
@@ -43,21 +40,22 @@ def watched_only(logs: DataFrame, watched: DataFrame) -> DataFrame:
 
 
 def each_once(deliveries: DataFrame) -> DataFrame:
-    """Overlapping deliveries reduced to one row per id, however late the first one comes.
+    """Overlapping deliveries reduced to one row per log, however late the first one comes.
 
-    A watermark would discard first deliveries of old events, which is what a
-    backfill consists of. Ids are kept for good instead: some bytes each, in
+    A log is known by its chain, contract, block hash and index, so the replacement that a fork puts
+    at an orphan's position is a log of its own. A watermark would discard first deliveries of old
+    events, which is what a backfill consists of. Keys are kept for good instead, in
     the RocksDB state store, spread over all state partitions.
     """
-    return deliveries.dropDuplicates(["chain_id", "event_id"])
+    return deliveries.dropDuplicates(EVENT_KEY)
 
 
 class BlockJob:
-    """Headers into the block table, with the reorg signals each batch raises.
+    """Headers alone into the block table, with the reorg signals each batch raises.
 
     A batch is compared with the stored chain and with itself, so a fork whose
-    both sides arrive together is signalled too. Of two hashes of one height in
-    a batch, the one that another header names as its parent is the later one.
+    both sides arrive together is signalled too. Of branches in one batch the
+    one that reaches furthest is stored, see :func:`reorg.choose_forks`.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -67,9 +65,8 @@ class BlockJob:
 
     def __call__(self, headers: DataFrame, batch_id: int) -> None:
         headers = headers.persist()
-        parents = headers.select("chain_id", F.col("parent_hash").alias("hash")).distinct().withColumn("named", F.lit(1))
-        rows = headers.join(parents, ["chain_id", "hash"], "left").select(
-            *schemas.BLOCK.fieldNames(), (F.lit(2 * batch_id) + F.coalesce("named", F.lit(0))).cast("long").alias("seq"))
+        row = lambda frame, last: frame.select(*schemas.BLOCK.fieldNames(), F.lit(2 * batch_id + last).cast("long").alias("seq"))
+        rows = row(headers, 0).unionByName(row(reorg.choose_forks(headers), 1))
         known = self.table.read(before=batch_id).unionByName(rows)
         reorg.detect(headers, known).write.mode("overwrite").parquet(f"{self.root}/signals/v={batch_id}")
         self.table.put(batch_id, ingest.latest_blocks(rows))
@@ -84,143 +81,6 @@ class BlockJob:
         return self.spark.read.parquet(f"{self.root}/signals/v=*")
 
 
-class IngestJob:
-    """Raw logs into the event log, view state, registry, control tables and feeds.
-
-    ``blocks`` gives the block table to use for a batch. Events of views that
-    need block rows wait in a table of their own until their header is there.
-    ``view_specs`` may hold views of the user's own. With ``seed`` (watched
-    rows) only logs of watched contracts are kept; a cluster that a batch's
-    deployments add is watched from that batch on, and what it emitted before
-    is read from ``backlog``, the raw log so far.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, blocks: Callable[[], DataFrame],
-                 specs: Iterable[decode.EventSpec] = decode.DEFAULT_SPECS,
-                 view_specs: Iterable[views.StateView] = tuple(views.VIEWS.values()),
-                 seed: DataFrame | None = None, backlog: Callable[[], DataFrame] | None = None):
-        self.spark, self.root, self.blocks = spark, root, blocks
-        self.specs, self.seed, self.backlog = decode.registry(specs), seed, backlog
-        self.view_specs = {view.name: view for view in view_specs}
-        schema = event_type(self.specs)
-        self.log = EventLog(spark, f"{root}/events", schema)
-        empty = spark.createDataFrame([], schema)
-        self.views = {
-            name: MergeTable(spark, f"{root}/views/{name}", view.merge, view.partial(empty).schema)
-            for name, view in self.view_specs.items()}
-        self.pending = VersionedTable(spark, f"{root}/pending", schema)
-        self.orphans = VersionedTable(spark, f"{root}/orphans", _ORPHAN)
-        self.watched = MergeTable(
-            spark, f"{root}/watched",
-            lambda rows: ingest.first_write(rows, registry.KEY, ["from_block", "parent"]), schemas.WATCHED)
-        self.instructions = MergeTable(
-            spark, f"{root}/instructions", control.add_instructions, schemas.INSTRUCTION)
-        self.acks = MergeTable(spark, f"{root}/acks", control.add_acks, schemas.ACK)
-
-    def _admitted(self, raw: DataFrame, batch_id: int) -> DataFrame:
-        """Logs of watched contracts, with all that newly found ones emitted so far."""
-        if self.seed is None:
-            return raw
-        watched = self.seed.unionByName(self.watched.read(before=batch_id)).select(*registry.KEY).distinct()
-        mine = watched_only(raw, watched)
-        minted = registry.discover(decode.decode_logs(mine, self.specs)[0])
-        found = sized(minted.join(watched, registry.KEY, "left_anti"), "found")
-        if found.isEmpty():
-            return mine
-        earlier = raw if self.backlog is None else self.backlog().select(raw.columns).unionByName(raw)
-        return mine.unionByName(watched_only(earlier, found))
-
-    def _fold(self, batch_id: int, events: DataFrame) -> None:
-        """View rows of a batch; what lacks its header waits, what waited and has it now is folded."""
-        blocks = self.blocks()
-        kinds = sorted({k for v in self.view_specs.values() if v.needs_blocks for k in v.kinds})
-        due = self.pending.read(before=batch_id).unionByName(
-            views.canonical(events).where(F.col("kind").isin(kinds)).select(self.pending.schema.fieldNames()))
-        ready, waiting = views.by_block_row(due, blocks)
-        for name, table in self.views.items():
-            view = self.view_specs[name]
-            mine = ready.where(F.col("kind").isin(*view.kinds)) if view.needs_blocks else view.events(events)
-            table.put(batch_id, view.partial(mine))
-        self.pending.write(batch_id, waiting)
-
-    def _control(self, batch_id: int, name: str, table: MergeTable, typed: DataFrame, add: Callable) -> None:
-        """Control rows that are new under their key, and the change envelope of each."""
-        fresh = add(typed, table.read(before=batch_id)).persist()
-        table.put(batch_id, fresh)
-        feeds.control_feed(fresh, name).write.mode("overwrite").parquet(f"{self.root}/control_feed/{name}/v={batch_id}")
-        fresh.unpersist()
-
-    def __call__(self, raw: DataFrame, batch_id: int) -> None:
-        with scratch(self.spark):
-            self._batch(raw, batch_id)
-
-    def _batch(self, raw: DataFrame, batch_id: int) -> None:
-        decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
-        events = ingest.append_events(decoded).persist()
-        self.log.append(ingest.append_events(events, self.log.near(events)))
-        self._fold(batch_id, events)
-        self.watched.put(batch_id, registry.discover(events))
-        orders, bad_orders = control.instructions(events)
-        answers, bad_answers = control.acks(events)
-        self._control(batch_id, "instruction", self.instructions, orders, control.add_instructions)
-        self._control(batch_id, "ack", self.acks, answers, control.add_acks)
-        feeds.change_feed(events).write.mode("overwrite").parquet(f"{self.root}/feed/v={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{self.root}/rejects/v={batch_id}")
-        bad_orders.select("event_id", "chain_id", "contract", "kind", "block_number").unionByName(
-            bad_answers.select("event_id", "chain_id", "contract", "kind", "block_number")).write.mode(
-            "overwrite").parquet(f"{self.root}/control_rejects/v={batch_id}")
-        events.unpersist()
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            for table in (*self.views.values(), self.watched, self.instructions, self.acks):
-                table.compact(before=batch_id)
-
-    def view(self, name: str) -> DataFrame:
-        """A view's answer from its kept state."""
-        return self.view_specs[name].finish(self.views[name].read(), self.blocks())
-
-    def events(self) -> DataFrame:
-        """The log with ``removed`` set on what the last :meth:`reconcile` found orphaned."""
-        return reorg.mark_removed(self.log.read(), self.orphans.read())
-
-    def rebuild(self, name: str, batch_id: int, removed: DataFrame) -> None:
-        """Replace a view's state after a reorg by a replay of the canonical log.
-
-        Kept state cannot forget a rolled-back event, so the new base comes
-        from the log with orphans marked.
-        """
-        view = self.view_specs[name]
-        events = reorg.mark_removed(self.log.read(), removed)
-        self.views[name].replace(batch_id, view.partial(view.events(events, None, self.blocks())))
-
-    def reconcile(self, batch_id: int) -> DataFrame:
-        """Bring everything kept in line with the block table after a reorg.
-
-        Orphans are what the log holds under hashes that are no longer
-        canonical. All views, the registry and the control tables are replaced
-        by what the remaining log gives, so an orphaned instruction's nonce is free
-        for its replacement. Returns (chain_id, ancestor) of the chains that
-        changed, for :class:`OrderedDelivery`.
-        """
-        self.orphans.write(batch_id, reorg.orphan_blocks(self.log.read(), self.blocks()))
-        orphans = self.orphans.read()
-        for name in self.views:
-            self.rebuild(name, batch_id, orphans)
-        live = views.canonical(self.events())
-        self.watched.replace(batch_id, registry.discover(live))
-        self.instructions.replace(batch_id, control.add_instructions(control.instructions(live)[0]))
-        self.acks.replace(batch_id, control.add_acks(control.acks(live)[0]))
-        return orphans.groupBy("chain_id").agg((F.min("block_number") - 1).alias("ancestor"))
-
-    def feed(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/feed/v=*")
-
-    def control_feed(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/control_feed/{name}/v=*")
-
-    def control_rejects(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/control_rejects/v=*")
-
-
 # --- ordered delivery ------------------------------------------------------
 
 # The orderer reads one stream of three row types. ``seq`` is the arrival
@@ -245,10 +105,11 @@ def _furthest(rows: DataFrame) -> DataFrame:
 class OrderedDelivery:
     """Strict nonce order per cluster over a stream.
 
-    The state between batches is three tables: rows still waiting, the cursor
-    per cluster, and the head per chain. A batch is the batch orderer over
+    The state between batches is four tables: rows still waiting, holes, the cursor
+    per cluster (all below it is delivered), and the head per chain. A batch is the batch orderer over
     waiting and arrived rows, so both forms agree by construction and a very
-    busy cluster spreads over all tasks instead of living in one state partition.
+    busy cluster spreads over all tasks instead of living in one state partition. What waits and what
+    is open is kept as changes: a batch writes the rows it adds and tombstones for those it delivers.
     """
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int],
@@ -258,14 +119,14 @@ class OrderedDelivery:
         self.initial, self.confirmations = initial, confirmations
         self.max_buffer = orderer.MAX_BUFFER if max_buffer is None else max_buffer
         self.max_age = orderer.MAX_BUFFER_AGE if max_age is None else max_age
-        self.waiting = VersionedTable(spark, f"{root}/waiting", _WAITING)
+        self.waiting = DeltaTable(spark, f"{root}/waiting", _WAITING, control.INSTRUCTION_KEY)
         self.heads = VersionedTable(spark, f"{root}/heads", _HEADS)
-        self.holes = VersionedTable(spark, f"{root}/holes", schemas.HOLE)
+        self.holes = DeltaTable(spark, f"{root}/holes", schemas.HOLE, control.HOLE_KEY)
         self.cursors = MergeTable(spark, f"{root}/cursors", _furthest, _CURSOR)
 
-    def _rows(self, batch: DataFrame, batch_id: int, now: int) -> DataFrame:
-        """Waiting and arrived instructions, less those a reorg took back, first write per nonce."""
-        held = self.waiting.read(before=batch_id).withColumn("seq", F.lit(-1).cast("long"))
+    def _rows(self, batch: DataFrame, held: DataFrame, now: int) -> DataFrame:
+        """Waiting and arrived instructions, less those a reorg took back, first write per nonce; ``seq`` -1 has waited."""
+        held = held.withColumn("seq", F.lit(-1).cast("long"))
         arrived = batch.where((F.col("row_type") == INSTRUCTION_ROW) & ~F.col("removed")).drop(
             "row_type").withColumn("buffered_at", F.lit(now).cast("long"))
         rows = held.unionByName(arrived).alias("r")
@@ -293,7 +154,8 @@ class OrderedDelivery:
         cursors = self.cursors.read(before=batch_id)
         if self.initial is not None:
             cursors = _furthest(cursors.unionByName(self.initial.select(_CURSOR.fieldNames())))
-        ordered = orderer.order(self._rows(batch, batch_id, now), heads, cursors, self.confirmations, headless_final=False).persist()
+        held = self.waiting.read(before=batch_id)
+        ordered = orderer.order(self._rows(batch, held, now), heads, cursors, self.confirmations, headless_final=False).persist()
         sent = ordered.where(F.col("outcome") == orderer.DISPATCHED)
         order = ["chain_id", "cluster", "nonce"]
         (
@@ -302,16 +164,21 @@ class OrderedDelivery:
         )
         stalled = orderer.find_holes(ordered, now, self.max_buffer, self.max_age).join(
             sent.select("chain_id", "cluster").distinct(), ["chain_id", "cluster"], "left_anti")
-        closed = control.resolve_holes(self.holes.read(before=batch_id), sent, now).drop("changed")
-        self.holes.write(batch_id, control.record_holes(closed, stalled, now))
-        self.waiting.write(batch_id, ordered.where(
-            F.col("outcome").isin(orderer.AWAITING, orderer.NOT_FINAL)))
+        open_before = self.holes.read(before=batch_id)
+        closed = control.resolve_holes(open_before, sent, now).drop("changed")
+        now_open = control.record_holes(closed, stalled, now)
+        same = [now_open[c].eqNullSafe(open_before[c]) for c in schemas.HOLE.fieldNames()]
+        self.holes.put(batch_id, now_open.join(open_before, same, "left_anti"))
+        waits = ordered.where(F.col("outcome").isin(orderer.AWAITING, orderer.NOT_FINAL))
+        done = held.select(*control.INSTRUCTION_KEY).join(waits.select(*control.INSTRUCTION_KEY), control.INSTRUCTION_KEY, "left_anti")
+        self.waiting.put(batch_id, waits.where(F.col("seq") >= 0), done)
         self.cursors.put(batch_id, sent.groupBy("chain_id", "cluster").agg(
             F.max("next_expected").alias("initial")))
         ordered.unpersist()
         batch.unpersist()
         if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            self.cursors.compact(before=batch_id)
+            for table in (self.cursors, self.waiting, self.holes):
+                table.compact(before=batch_id)
 
     def dispatched(self) -> DataFrame:
         """Everything delivered so far with its batch number ``v``; nonce order within (cluster, v)."""

@@ -16,6 +16,7 @@ from tests.fixtures import (
     CHAIN, CLUSTER, a, block_frame, claim, destroy, event, frame, m, moved, raw_log, reg, retire, tail, topic0, w,
 )
 
+FACTORIES = "chain_id int, address binary, from_block long"
 BLOCK = "chain_id int, number long, hash binary, parent_hash binary, block_ts long"
 
 
@@ -110,7 +111,7 @@ def test_registry(spark):
         block, "ClusterDeployed", contract=factory, diamond=address, deployer=a(1), salt=m(1), **kw)
     events = frame(spark, [deploy(9, a(5), a(2)), deploy(4, a(5), a(3)), deploy(6, a(6), a(2)),
                            deploy(5, a(7), a(2), removed=True), deploy(5, b"\x01", a(2), log_index=1)])
-    seeded = registry.seed_factories(spark, CHAIN, [(a(2), 0), (a(3), 0)])
+    seeded = registry.seed_factories(spark.createDataFrame([(CHAIN, a(2), 0), (CHAIN, a(3), 0), (CHAIN, a(3), 5)], FACTORIES))
     watched = registry.rediscover(seeded, events)
     clusters = {bytes(r["address"]): (bytes(r["factory"]), r["from_block"]) for r in registry.clusters_of(watched).collect()}
     assert clusters == {a(5): (a(3), 4), a(6): (a(2), 6)}
@@ -245,7 +246,7 @@ def test_backfill_finds_clusters_of_a_factory(spark, folder):
     topics = [s.topic0 for s in decode.DEFAULT_SPECS]
     heads = spark.createDataFrame([(CHAIN, 200)], "chain_id int, head long")
     events, watched, cursors = backfill(
-        lambda plan: ingest.scan_plan(raw, plan, topics), registry.seed_factories(spark, CHAIN, [(factory, 0)]),
+        lambda plan: ingest.scan_plan(raw, plan, topics), registry.seed_factories(spark.createDataFrame([(CHAIN, factory, 0)], FACTORIES)),
         spark.createDataFrame([], schemas.CURSOR), heads, folder)
     assert sorted(r["kind"] for r in events.collect()) == ["ClusterDeployed", "LeaderClaimed"]
     assert {bytes(r["address"]): r["from_block"] for r in watched.collect()} == {factory: 0, cluster: 100}

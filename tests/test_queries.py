@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest sample."""
 
+import functools
 import importlib.util
 from pathlib import Path
 
@@ -21,6 +22,17 @@ def con():
     return compare.connect(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_run_of_each_chain():
+    """Queries that read different tables of one streamed chain share its run."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_ingest", "_reorganised", "_late_fork", "_late_headers", "_deliver"):
+            run = getattr(catalog, name)
+            kept = functools.lru_cache(maxsize=1)(run)
+            patch.setattr(catalog, name, lambda spark, sf, kept=kept, run=run, **options: run(spark, sf, **options) if options else kept(spark, sf))
+        yield
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from logtide import schemas
 from logtide.operators import control, orderer, views
 from logtide.sources import logs
+from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable, versions
-from logtide.streaming import jobs
+from logtide.streaming import jobs, live
 from tests.fixtures import CHAIN, CLUSTER, block_frame, claim, frame, m, raw_log, tail, topic0, w
 from tests.test_control import fold
 
@@ -110,20 +111,17 @@ def ingest_rows(spark):
         ([topic0("ClusterDestroyed")], w(1)), ([bytes(32)], b"")])
 
 
-def test_ingest_job_is_idempotent_and_rebuilds_after_a_reorg(spark, folder):
-    blocks = block_frame(spark, {n: n for n in range(100, 104)})
-    job = jobs.IngestJob(spark, folder, lambda: blocks)
-    rows = ingest_rows(spark)
-    job(rows, 0)
-    job(rows, 0)
-    job(rows.where("event_id < 2"), 1)
-    assert job.log.read().count() == 4
-    assert job.view("leader").first()["epoch"] == 5
-    assert job.view("lifecycle").first()["destroyed_at"] == 102
-    assert job.feed().where("payload like '%unknown%'").count() == 1
-    gone = spark.createDataFrame([(CHAIN, 101, bytes(32))], "chain_id int, block_number long, block_hash binary")
-    job.rebuild("leader", 1, gone)
-    assert job.view("leader").first()["epoch"] == 1
+def test_live_chain_takes_batches_again(spark, folder):
+    chain = live.LiveChain(spark, folder)
+    headers = block_frame(spark, {n: n for n in range(100, 104)}).withColumn("hash", F.lit(bytes(31) + b"\x01"))
+    rows = ingest_rows(spark).withColumn("block_hash", F.lit(bytes(31) + b"\x01"))
+    chain(live.inputs(rows, headers), 0)
+    chain(live.inputs(rows, headers), 0)
+    chain(live.inputs(rows.where("event_id < 2")), 1)
+    assert chain.log.read().count() == 4
+    assert chain.view("leader").first()["epoch"] == 5
+    assert chain.view("lifecycle").first()["destroyed_at"] == 102
+    assert chain.feed().where("payload like '%unknown%'").count() == 1
 
 
 def test_compaction_changes_no_answer_and_spares_the_running_batch(spark, folder):
@@ -212,15 +210,16 @@ def test_a_minted_cluster_is_watched_with_what_it_emitted_before(spark, folder):
         ([topic0("LeaderClaimed"), m(2), w(5)], w(32) + tail(b"")),
         ([topic0("LeaderClaimed"), m(3), w(9)], w(32) + tail(b"")),
     ]).withColumn("address", address)
-    blocks = block_frame(spark, {n: n for n in range(100, 104)})
     seed = spark.createDataFrame([(CHAIN, CLUSTER, "factory", None, 0)], schemas.WATCHED)
-    job = jobs.IngestJob(spark, folder, lambda: blocks, seed=seed, backlog=lambda: logs_)
-    job(logs_.where("event_id = 0"), 0)
-    assert job.log.read().isEmpty()
-    job(logs_.where("event_id = 1"), 1)
-    job(logs_.where("event_id > 1"), 2)
-    kept = {(bytes(r["contract"]), r["event_id"]) for r in job.log.read().collect()}
-    assert (minted, 0) in kept and (minted, 2) in kept and not any(c == stranger for c, _ in kept)
+    backlog = RawLog(spark, f"{folder}/raw")
+    backlog.append(logs_)
+    chain = live.LiveChain(spark, f"{folder}/chain", seed=seed, backlog=backlog)
+    chain(live.inputs(logs_.where("event_id = 0")), 0)
+    assert chain.log.read().isEmpty()
+    chain(live.inputs(logs_.where("event_id = 1")), 1)
+    chain(live.inputs(logs_.where("event_id > 1")), 2)
+    kept = {(bytes(r["contract"]), r["event_id"]) for r in chain.log.read().collect()}
+    assert (minted, 2) in kept and (minted, 0) not in kept  # nothing comes from before the deployment and not any(c == stranger for c, _ in kept)
 
 
 def test_a_view_of_the_users_own_is_kept(spark, folder):
@@ -229,8 +228,42 @@ def test_a_view_of_the_users_own_is_kept(spark, folder):
         lambda e: e.groupBy("chain_id", "contract").agg(F.collect_set("event_id").alias("ids")),
         lambda r: r.groupBy("chain_id", "contract").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")),
         lambda r, _b=None: r.select("chain_id", "contract", F.size("ids").alias("claims")))
-    blocks = block_frame(spark, {n: n for n in range(100, 104)})
-    job = jobs.IngestJob(spark, folder, lambda: blocks, view_specs=[count])
-    job(ingest_rows(spark), 0)
-    job(ingest_rows(spark).where("event_id < 1"), 1)
-    assert job.view("claims").first()["claims"] == 2
+    chain = live.LiveChain(spark, folder, view_specs=[count])
+    chain(live.inputs(ingest_rows(spark)), 0)
+    chain(live.inputs(ingest_rows(spark).where("event_id < 1")), 1)
+    assert chain.view("claims").first()["claims"] == 2
+
+
+def test_raw_log_scans_by_folder_topic_and_address(spark, folder):
+    """Rows that fit, and a plan in which folders, topics and addresses reach the scan."""
+    rows = ingest_rows(spark).unionByName(ingest_rows(spark).withColumns({
+        "block_number": F.col("block_number") + 500, "address": F.lit(bytes([3]) * 20)}))
+    table = RawLog(spark, folder, bucket_blocks=100)
+    table.append(rows.unionByName(rows.limit(1).withColumn("block_number", F.lit(None).cast("long"))))
+    contracts = spark.createDataFrame([(CHAIN, bytes([3]) * 20, 601)], "chain_id int, address binary, from_block long")
+    scan = table.scan([topic0("LeaderClaimed").hex()], 0, 600, contracts)
+    assert [r["block_number"] for r in scan.collect()] == [600]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    pushed, parts = plan.split("PushedFilters: [")[1].split("]")[0], plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "block_bucket" in parts and "topic0" in pushed and "address" in pushed and "block_number" in pushed
+    later = table.since(contracts)
+    assert sorted(r["block_number"] for r in later.collect()) == [601, 602, 603]
+    assert "block_bucket" in later._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert table.read().count() == 9
+
+
+def test_a_batch_of_delivery_writes_what_it_changes(spark, folder):
+    job = delivery(spark, folder, max_buffer=5)
+    job(batch(spark, [step("head", 0, 1000), *[step("instruction", i, 50, i) for i in range(1, 200)]]), 0)
+    written = lambda table, v: spark.read.parquet(f"{table.table.recent}/v={v}")
+    assert written(job.waiting, 0).count() == 199 and written(job.holes, 0).count() == 1
+    job(batch(spark, [step("instruction", 300, 50, 300)]), 1)
+    assert [r["nonce"] for r in written(job.waiting, 1).collect()] == [300] and job.waiting.read().count() == 200
+    job(batch(spark, []), 2)
+    assert written(job.waiting, 2).isEmpty() and written(job.holes, 2).isEmpty()
+    job(batch(spark, [step("reorg", 400, 49), step("instruction", 401, 50, 0), step("instruction", 402, 50, 2)]), 3)
+    changes = {r["nonce"]: r["gone"] for r in written(job.waiting, 3).collect()}
+    assert changes == {**{n: True for n in range(1, 200)}, 300: True, 2: False}
+    job.waiting.compact(4)
+    assert [r["nonce"] for r in job.waiting.read().collect()] == [2]
+    assert spark.read.parquet(f"{job.waiting.table.base}/v=3").count() == 1

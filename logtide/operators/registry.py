@@ -25,10 +25,14 @@ def register(watched: DataFrame, added: DataFrame) -> DataFrame:
     return watched.unionByName(fresh)
 
 
+def deployments(events: DataFrame) -> DataFrame:
+    """Live ClusterDeployed events whose payload holds an address."""
+    return canonical(events).where((F.col("kind") == "ClusterDeployed") & (F.octet_length("decoded.diamond") == 20))
+
+
 def discover(events: DataFrame) -> DataFrame:
     """Clusters minted by every live ClusterDeployed event, first deployment per address."""
-    deployed = canonical(events).where(
-        (F.col("kind") == "ClusterDeployed") & (F.octet_length("decoded.diamond") == 20))
+    deployed = deployments(events)
     first = F.min(F.struct("block_number", "log_index", "contract")).alias("first")
     return (
         deployed.groupBy("chain_id", F.col("decoded.diamond").alias("address")).agg(first)

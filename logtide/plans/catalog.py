@@ -1478,3 +1478,30 @@ def stream_rpc_headers(spark: SparkSession, sf: str) -> DataFrame:
     chain = live.LiveChain(spark, work_dir(spark, "chain"), bucket_blocks=SAMPLE_BUCKET)
     jobs.run(live.inputs(headers=logs.stream_rpc_headers(spark, folder, 1)), chain, checkpoint).awaitTermination()
     return as_hex(chain.blocks().where(F.col("block_ts") != 0))
+
+
+@query(Q.EV + """SELECT event_id, printf('0x%040x', user_id + 1000) AS address, block_number FROM ev JOIN customer ON c_custkey = user_id
+WHERE block_number >= c_custkey % 720""")
+def stream_minted_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of clusters that are ahead of their deployments wait in the stream for them; both come twice."""
+    emitted = S.raw_logs(S.with_chain_columns(S.table(spark, sf, "events")).withColumns(
+        {"contract": hexes.word(F.col("user") + 1000, 20), "chain_id": F.lit(1)}))
+    minting = S.deployment_logs(spark, sf)
+    folder, factory, out, checkpoint = (work_dir(spark, n) for n in ("emitted", "minting", "minted-logs", "minted-checkpoint"))
+
+    def drain() -> None:
+        deployed = registry.deployments(decode.decode_logs(logs.stream_logs(spark, factory))[0]).select(
+            "chain_id", F.col("decoded.diamond").alias("address"), F.col("block_number").alias("from_block"))
+        found = jobs.logs_of_minted(jobs.each_once(logs.stream_logs(spark, folder).withColumn("contract", F.col("address"))).drop(
+            "contract"), deployed, hold_blocks=100_000)
+        found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+    emitted.write.parquet(folder)
+    minting.where("false").write.parquet(factory)
+    drain()
+    minting.write.mode("append").parquet(factory)
+    drain()
+    emitted.where(F.col("event_id") % 10 == 0).write.mode("append").parquet(folder)
+    minting.where(F.col("event_id") % 10 == 0).write.mode("append").parquet(factory)
+    drain()
+    return as_hex(spark.read.schema(schemas.RAW_LOG).parquet(out).select("event_id", "address", "block_number"))

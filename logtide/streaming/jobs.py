@@ -39,6 +39,23 @@ def watched_only(logs: DataFrame, watched: DataFrame) -> DataFrame:
     return logs.join(watched.select("chain_id", "address"), ["chain_id", "address"], "left_semi")
 
 
+def logs_of_minted(logs: DataFrame, deployed: DataFrame, hold_blocks: int) -> DataFrame:
+    """Logs of minted clusters from their deployment on, whichever of the two streams is ahead.
+
+    A stream-stream join holds logs of unknown contracts until their deployment comes; nothing is read again for it.
+    Block numbers are its event time: a log is held until both streams are ``hold_blocks`` past it, a deployment
+    (a few bytes) for good. ``deployed`` has (chain_id, address, from_block); of repeated ones the first to arrive counts.
+    """
+    # the first watermark is second 0, at which block 0 would be late
+    at, hold = lambda c: F.timestamp_seconds(F.col(c) + 1), f"{hold_blocks} seconds"
+    minted = deployed.select("chain_id", "address", at("from_block").alias("_minted")).withWatermark("_minted", hold).dropDuplicates(
+        ["chain_id", "address"]).alias("d")
+    held = logs.withColumn("_at", at("block_number")).withWatermark("_at", hold).alias("l")
+    mine = ((F.col("l.chain_id") == F.col("d.chain_id")) & (F.col("l.address") == F.col("d.address"))
+            & (F.col("_at") >= F.col("_minted")))
+    return held.join(minted, mine).select([F.col(f"l.{c}") for c in logs.columns])
+
+
 def each_once(deliveries: DataFrame) -> DataFrame:
     """Overlapping deliveries reduced to one row per log, however late the first one comes.
 

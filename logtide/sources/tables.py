@@ -242,11 +242,15 @@ class BucketState:
         return self.merge((rows if only is None else only(rows)).drop("block_bucket"))
 
     def compact(self, cuts: list[tuple[int, int, int]], before: int) -> None:
-        """Fold the batches below ``before``, all finished, into a new base, by bucket still."""
+        """Fold the batches below ``before``, all finished, into a new base, by bucket still.
+
+        A cut counts as a batch, so that after this no cut below ``before`` is needed any more.
+        """
         listed = [v for v in versions(self.spark, self.recent) if v < before]
-        if not listed:
+        older = [v for v in versions(self.spark, self.base) if v < before]
+        number = max([*listed, *[batch for batch, _, _ in cuts if batch < before]], default=-1)
+        if number <= max(older, default=-1) or not (listed or older):
             return
-        older = [v for v in versions(self.spark, self.base) if v < listed[-1]]
-        self._write(f"{self.base}/v={listed[-1]}", _by_bucket(self.merge, self.rows(cuts, before)))
+        self._write(f"{self.base}/v={number}", _by_bucket(self.merge, self.rows(cuts, before)))
         drop_versions(self.spark, self.recent, listed)
         drop_versions(self.spark, self.base, older)

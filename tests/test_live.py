@@ -137,6 +137,16 @@ def test_state_after_compaction_and_a_later_reorganisation(spark, chain):
     assert leader(chain) == (2, 50)  # the branch comes back: its logs are in the log
 
 
+def test_a_cut_reaches_a_base_that_nothing_was_added_to(spark, chain):
+    nonces = lambda: sorted(r["nonce"] for r in chain.state(chain.instructions).collect())
+    chain(feed(spark, [order(5, 0), order(22, 1)], [header(n) for n in range(1, 23)]), 0)
+    chain.compact(1)
+    chain(feed(spark, [], [header(22, 1, parent=0), header(23, 1)]), 1)
+    assert nonces() == [0] and chain.cuts() == [(1, CHAIN, 2)]
+    chain.compact(2)
+    assert nonces() == [0] and chain.cuts() == []
+
+
 def test_logs_speak_for_blocks_until_a_header_does(spark, chain):
     chain(feed(spark, [claim(5, 1, 1)]), 0)
     assert chain.blocks().first()["block_ts"] == 0 and leader(chain) == (1, 1)
@@ -228,7 +238,8 @@ def test_state_tables_keep_their_versions(spark, chain):
     for b in range(3):
         chain(feed(spark, [claim(b + 1, 1, b)]), b)
     chain.compact(2)
-    assert versions(spark, chain.acks.base) == [1] and versions(spark, chain.acks.recent) == [2]
+    assert versions(spark, chain.views["leader"].base) == [1] and versions(spark, chain.views["leader"].recent) == [2]
+    assert versions(spark, chain.acks.base) == versions(spark, chain.acks.recent) == []  # no rows, no files
     assert leader(chain) == (1, 2)
     assert views.LEADER.replay(chain.events()).first()["epoch"] == 2
     assert ingest.count_duplicates(chain.log.read()).first()["duplicates"] == 0

@@ -74,7 +74,7 @@ def resolve_one(state: DataFrame, blocks: DataFrame, chain_id: int, safety: str
     """Strict form for one chain; raises :class:`NotFound`. Reads a single row to the driver."""
     effective = check_request(safety, as_of_block)
     request = state.sparkSession.createDataFrame(
-        [(0, chain_id, effective, as_of_block)],
+        [(0, chain_id, effective if as_of_block is None else None, as_of_block)],
         "request_id int, chain_id int, safety string, as_of_block long")
     row = resolve(request, state.where(F.col("chain_id") == chain_id),
                   blocks.where(F.col("chain_id") == chain_id)).first()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from logtide.operators import asof, views
 from tests.fixtures import (
-    CHAIN, CLUSTER, block_frame, claim, destroy, fold, frame, m, moved, random_events, reg, retire,
+    CHAIN, CLUSTER, a, block_frame, claim, destroy, fold, frame, m, moved, random_events, reg, retire,
 )
 
 ZERO = bytes(32)
@@ -151,7 +151,7 @@ def test_request_options():
     assert asof.check_request(None, None) == "head"
     with pytest.raises(ValueError, match="not both"):
         asof.check_request("head", 5)
-    with pytest.raises(ValueError, match="safety must be"):
+    with pytest.raises(ValueError, match="no such safety"):
         asof.check_request("latest", None)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from logtide import schemas
 from logtide.operators import control, orderer, views
-from logtide.sources import logs
+from logtide.sources import logs, sample_tables
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable, versions
 from logtide.streaming import jobs, live
@@ -267,3 +267,25 @@ def test_a_batch_of_delivery_writes_what_it_changes(spark, folder):
     job.waiting.compact(4)
     assert [r["nonce"] for r in job.waiting.read().collect()] == [2]
     assert spark.read.parquet(f"{job.waiting.table.base}/v=3").count() == 1
+
+
+def test_events_in_one_row_group_are_dealt_to_all_tasks(spark, folder, monkeypatch):
+    """Many splits over one row group: all rows lie in one of them."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 9).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    sizes = lambda: [r["n"] for r in sample_tables.table(spark, folder, "events").groupBy(
+        F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    names = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        assert sum(sizes()) == 4000 and max(sizes()) < 2000
+        # tasks grow in number with the table, not in size
+        monkeypatch.setattr(sample_tables, "BYTES_A_TASK", 500)
+        assert sum(sizes()) == 4000 and len(sizes()) > 16
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

@@ -1069,19 +1069,25 @@ def snapshots_of_many_blocks(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_PARTS = 3
 
 
-def _feed(rows: DataFrame, order: str, folder: str, drain: Callable[[], None]) -> None:
+def _feed(rows: DataFrame, order: str, folder: str, drain: Callable[[], None], last: int | None = None) -> None:
     """Rows appended to a growing table in arrival order, the job run after each append.
 
     Every run resumes from its checkpoint and takes the new files as one
-    micro-batch, so what arrives when does not depend on file times.
+    micro-batch, so what arrives when does not depend on file times. ``last``, the highest
+    ``order``, is looked up where not given; for logs that would hash and encode them all once more.
     """
-    last = rows.agg(F.max(order)).first()[0] or 0
+    if last is None:
+        last = rows.agg(F.max(order)).first()[0] or 0
     part = F.floor(F.col(order) * STREAM_PARTS / (last + 1))
     for number in range(STREAM_PARTS):
         rows.where(part == number).write.mode("append").parquet(folder)
         drain()
 
 
+def _last_id(events: DataFrame) -> int:
+    return events.agg(F.max("event_id")).first()[0] or 0
+
+
 def _ingest(spark: SparkSession, sf: str) -> live.LiveChain:
     """Redelivered raw logs in several micro-batches, the stored headers with the first."""
     watched = sized(S.clusters(spark, sf).withColumnRenamed("contract", "address"), "watched")
@@ -1091,9 +1097,9 @@ def _ingest(spark: SparkSession, sf: str) -> live.LiveChain:
 
     def drain() -> None:
         stream = live.inputs(jobs.watched_only(logs.stream_logs(spark, folder), watched), logs.stream_headers(spark, headers))
-        jobs.run(stream, chain, checkpoint).awaitTermination()
+        jobs.drain(stream, chain, checkpoint)
 
-    _feed(S.redelivered(_raw(spark, sf)).drop("delivery"), "event_id", folder, drain)
+    _feed(S.redelivered(_raw(spark, sf)).drop("delivery"), "event_id", folder, drain, _last_id(S.table(spark, sf, "events")))
     return chain
 
 

@@ -121,3 +121,10 @@ def sized(rows: DataFrame, name: str) -> DataFrame:
     folder = work_dir(spark, name)
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
+
+
+def byte_size(setting: str) -> int:
+    """Bytes of a Spark setting such as ``16m``, ``128MB`` or ``134217728b``."""
+    text = setting.strip().lower()
+    number = text.rstrip("bkmgtpi")
+    return int(number) << 10 * "bkmgtp".index((text[len(number):] or "b")[0])

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from logtide import schemas
 from logtide.operators import control, decode, ingest, orderer, reorg
 from logtide.schemas import EVENT_KEY
-from logtide.session import scratch, sized
+from logtide.session import byte_size, scratch, sized
 from logtide.sources.tables import DeltaTable, MergeTable, VersionedTable
 
 COMPACT_EVERY = 20
+#: Of files for one task of a batch: some 200,000 stored logs, which are 150 MB or so in memory.
+SPLIT_BYTES = 16 << 20
+
 
 def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str,
         available_now: bool = True, interval: str = "5 seconds"):
@@ -27,6 +30,22 @@ def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: s
     return writer.start()
 
 
+def drain(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a job over a growing parquet table to the end of what is there, in splits of ``SPLIT_BYTES`` at most.
+
+    Logs grow several times when a batch keeps them in memory, so Spark's own splits, as large as a core's share of the
+    files, would make tasks as large as the batch. The splits are the session's setting, which it gets back after.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(name)
+    if byte_size(before) > SPLIT_BYTES:
+        conf.set(name, str(SPLIT_BYTES))
+    try:
+        run(stream, body, checkpoint).awaitTermination()
+    finally:
+        conf.set(name, before)
+
+
 def event_type(specs: Iterable[decode.EventSpec] = decode.DEFAULT_SPECS) -> T.StructType:
     """Columns of decoded events."""
     spark = SparkSession.active()

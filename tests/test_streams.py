@@ -1,9 +1,13 @@
+import pathlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logtide import schemas
 from logtide.operators import control, orderer, views
+from logtide.plans import catalog
+from logtide.session import byte_size
 from logtide.sources import logs, sample_tables
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable, versions
@@ -289,3 +293,43 @@ def test_events_in_one_row_group_are_dealt_to_all_tasks(spark, folder, monkeypat
     finally:
         for n, v in before.items():
             spark.conf.set(n, v)
+
+
+def test_a_batch_of_files_is_read_in_bounded_splits(spark, folder, monkeypatch):
+    """Few large files: splits follow the job's bound, not Spark's larger one, and the session keeps its own."""
+    monkeypatch.setattr(jobs, "SPLIT_BYTES", 100_000)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    rows = spark.range(40_000).select(F.lit("head").alias("row_type"), F.col("id").alias("seq"), F.sha2(
+        F.col("id").cast("string"), 256).alias("x"))
+    rows.coalesce(1).write.option("parquet.block.size", "200000").parquet(f"{folder}/in")
+    seen = []
+    for checkpoint, bound in (("a", "128m"), ("b", "50k")):
+        spark.conf.set(name, bound)
+        try:
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            jobs.drain(stream, lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count())), f"{folder}/{checkpoint}")
+            assert spark.conf.get(name) == bound
+        finally:
+            spark.conf.set(name, before)
+    size = sum(f.stat().st_size for f in pathlib.Path(f"{folder}/in").glob("*.parquet"))
+    assert seen[0][1] == seen[1][1] == 40_000 and size > 1_000_000
+    assert seen[0][0] >= size // 100_000 and seen[1][0] >= size // 51_200
+
+
+@pytest.mark.parametrize("setting, size", [("16m", 16 << 20), ("134217728b", 1 << 27), ("128MB", 1 << 27), ("7", 7), ("2g", 2 << 30)])
+def test_sizes_of_settings(setting, size):
+    assert byte_size(setting) == size
+
+
+def test_fed_rows_are_not_computed_for_their_last_number(spark, folder):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(n: int) -> int:
+        computed.add(1)
+        return n
+
+    rows = spark.range(30).select("id", F.udf(count, "long")("id").alias("n"))
+    catalog._feed(rows, "id", f"{folder}/fed", lambda: None, last=29)
+    assert sorted(r["n"] for r in spark.read.parquet(f"{folder}/fed").collect()) == list(range(30))
+    assert computed.value == 30

@@ -1240,21 +1240,28 @@ def leader_wide_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return as_hex(views.wide_leaders(views.LEADER.partial(views.LEADER.events(events))))
 
 
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    return S.with_chain_columns(S.table(spark, sf, "events")).where(F.col("kind") == "ControlInstructionBroadcast")
+
+
+def _endless(sent: DataFrame) -> DataFrame:
+    """Instructions as raw logs; those whose nonce, the last topic, ends in 0 never expire."""
+    nonce = F.conv(F.hex(F.get("topics", F.lit(3))), 16, 10).cast("long")
+    never = F.concat(F.substring("data", 1, 32), F.lit(bytes(24) + b"\xff" * 8), F.expr("substring(data, 65)"))
+    return S.raw_logs(sent).withColumn("data", F.when(nonce % 10 == 0, never).otherwise(F.col("data")))
+
+
 @query(STREAMED_EV + "SELECT event_id, chain_id, contract, kind, block_number FROM ev WHERE kind = 'ControlInstructionBroadcast' AND k % 10 = 0")
 def stream_control_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Instructions that never expire (2^64 - 1) are stored nowhere but in the rejects."""
     chain = live.LiveChain(spark, work_dir(spark, "chain"))
-    events = S.with_chain_columns(S.table(spark, sf, "events")).where(F.col("kind") == "ControlInstructionBroadcast")
-    raw = S.raw_logs(events)
-    never = F.concat(F.substring("data", 1, 32), F.lit(bytes(24) + b"\xff" * 8), F.expr("substring(data, 65)"))
-    rows = raw.join(events.where(F.col("k") % 10 == 0).select("event_id", F.lit(True).alias("endless")), "event_id", "left").withColumn(
-        "data", F.when(F.col("endless"), never).otherwise(F.col("data"))).select(raw.columns)
+    events = _sent(spark, sf)
     folder, checkpoint = work_dir(spark, "raw-logs"), work_dir(spark, "ingest-checkpoint")
 
     def drain() -> None:
-        jobs.run(live.inputs(logs.stream_logs(spark, folder)), chain, checkpoint).awaitTermination()
+        jobs.drain(live.inputs(logs.stream_logs(spark, folder)), chain, checkpoint)
 
-    _feed(rows, "event_id", folder, drain)
+    _feed(_endless(events), "event_id", folder, drain, _last_id(events))
     return as_hex(chain.control_rejects().drop("v"))
 
 

@@ -333,3 +333,18 @@ def test_fed_rows_are_not_computed_for_their_last_number(spark, folder):
     catalog._feed(rows, "id", f"{folder}/fed", lambda: None, last=29)
     assert sorted(r["n"] for r in spark.read.parquet(f"{folder}/fed").collect()) == list(range(30))
     assert computed.value == 30
+
+
+def test_endless_instructions_need_no_join(spark, folder):
+    """Every tenth nonce gets an expiry of 2^64 - 1 in the same pass, all else stays."""
+    rows = spark.range(60).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 9).alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.format_string('{"k": %d}', F.col("id")).alias("props"))
+    rows.write.parquet(f"{folder}/events.parquet")
+    sent = catalog._sent(spark, folder)
+    endless = catalog._endless(sent)
+    assert "Join" not in endless._jdf.queryExecution().optimizedPlan().toString()
+    plain = {r["event_id"]: bytes(r["data"]) for r in sample_tables.raw_logs(sent).collect()}
+    for r in endless.collect():
+        was, now = plain[r["event_id"]], bytes(r["data"])
+        assert now == (was[:32] + bytes(24) + b"\xff" * 8 + was[64:] if r["event_id"] % 10 == 0 else was)

@@ -1159,18 +1159,18 @@ def _deliver(spark: SparkSession, sf: str) -> jobs.OrderedDelivery:
     sent = rows.withColumns({"row_type": F.lit(jobs.INSTRUCTION_ROW), "seq": F.col("row_id") * 2})
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in jobs.ORDERER_INPUT.fields
              if f.name not in ("row_type", "seq", "chain_id", "block_number")]
-    beats = _events(spark, sf).groupBy("chain_id", "block_number").agg(
-        (F.max("event_id") * 2 + 1).alias("seq")).select(
-        F.lit(jobs.HEAD_ROW).alias("row_type"), "seq", "chain_id", "block_number", *blank)
+    # a row for each block, which every append would count again; the last row of all is one of them
+    beats = sized(_events(spark, sf).groupBy("chain_id", "block_number").agg((F.max("event_id") * 2 + 1).alias("seq")), "beats")
+    last = beats.agg(F.max("seq")).first()[0] or 0
+    beats = beats.select(F.lit(jobs.HEAD_ROW).alias("row_type"), "seq", "chain_id", "block_number", *blank)
     columns = jobs.ORDERER_INPUT.fieldNames()
     job = jobs.OrderedDelivery(spark, work_dir(spark, "delivery"), clock=lambda: TICK_NOW)
     folder, checkpoint = work_dir(spark, "control-rows"), work_dir(spark, "delivery-checkpoint")
 
     def drain() -> None:
-        stream = logs.stream_table(spark, folder, jobs.ORDERER_INPUT)
-        jobs.run(stream, job, checkpoint).awaitTermination()
+        jobs.drain(logs.stream_table(spark, folder, jobs.ORDERER_INPUT), job, checkpoint)
 
-    _feed(sent.select(columns).unionByName(beats.select(columns)), "seq", folder, drain)
+    _feed(sent.select(columns).unionByName(beats.select(columns)), "seq", folder, drain, last)
     return job
 
 

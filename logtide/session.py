@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -123,6 +123,29 @@ def sized(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def nothing(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, which the planner knows: joins with it cost nothing. An empty list would be read by Python workers."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).where(F.lit(False))
+
+
+@contextmanager
+def shuffles(partitions: int, *sessions: SparkSession):
+    """Shuffles inside are planned with ``partitions`` at least, unless the sessions ask for more.
+
+    Adaptive execution merges partitions but never makes more, so a number set once bounds nothing where inputs grow.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = [(session.conf, session.conf.get(name)) for session in sessions]
+    try:
+        for conf, number in before:
+            if int(number) < partitions:
+                conf.set(name, str(partitions))
+        yield
+    finally:
+        for conf, number in before:
+            conf.set(name, number)
+
+
 def byte_size(setting: str) -> int:
     """Bytes of a Spark setting such as ``16m``, ``128MB`` or ``134217728b``."""
     text = setting.strip().lower()

@@ -25,20 +25,24 @@ TOPICS = {s.kind: bytes.fromhex(s.topic0) for s in DEFAULT_SPECS}
 
 #: Tables on which every row costs some hashing here, with their keys.
 SPREAD = {"events": ["event_id"], "lineitem": ["l_orderkey", "l_linenumber"]}
-#: Of ``events`` for one task: some 100,000 rows, which are 65 MB or so as raw logs in memory.
-BYTES_A_TASK = 2_000_000
+#: Of ``events`` for one task; 100,000 rows are 65 MB or so as raw logs in memory, and 0.7 to 2 MB in a file.
+BYTES_A_TASK, ROWS_A_TASK = 2_000_000, 100_000
+#: Rows of a file with no more than this for each core are not counted.
+FEW_BYTES = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A sample table; one in fewer splits than there are cores is dealt to all of them by its key.
 
-    ``events`` is dealt at any size, to tasks in number as its bytes. Its rows grow thirtyfold as logs, and splits
-    do not bound them: a row group of a million rows lies in one split whole, whatever the others hold.
+    ``events`` is dealt at any size, to tasks in number as its bytes or its rows, whichever are more. These grow thirty- to
+    ninetyfold as logs, by how well the file is packed, and splits do not bound them: a row group of a million rows
+    lies in one split whole, whatever the others hold. The count reads footers only.
     """
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     if name == "events":
         size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return rows.repartition(max(cores, -(-size // BYTES_A_TASK)), *SPREAD[name])
+        counted = rows.count() if size > cores * FEW_BYTES else 0
+        return rows.repartition(max(cores, -(-size // BYTES_A_TASK), -(-counted // ROWS_A_TASK)), *SPREAD[name])
     if name in SPREAD and rows._jdf.rdd().getNumPartitions() < cores:
         return rows.repartition(cores, *SPREAD[name])
     return rows

@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from logtide.session import nothing
+
 BLOCKS_PER_BUCKET = 10_000
 
 
@@ -65,7 +67,7 @@ class EventLog:
 
     def read(self) -> DataFrame:
         if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
+            return nothing(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def near(self, batch: DataFrame, touched: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -103,7 +105,7 @@ class VersionedTable:
     def read(self, before: int | None = None) -> DataFrame:
         known = [v for v in versions(self.spark, self.root) if before is None or v < before]
         if not known:
-            return self.spark.createDataFrame([], self.schema)
+            return nothing(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={known[-1]}")
 
     def write(self, version: int, rows: DataFrame, keep: int = 3) -> None:
@@ -142,7 +144,7 @@ class MergeTable:
         """
         paths = self._paths(before)
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return nothing(self.spark, self.schema)
         rows = self.spark.read.schema(self.schema).parquet(*paths)
         return self.merge(rows if where is None else rows.where(where))
 
@@ -229,7 +231,7 @@ class BucketState:
         known = lambda root: [v for v in versions(self.spark, root) if before is None or v < before]
         paths = [f"{self.base}/v={v}" for v in known(self.base)[-1:]] + [f"{self.recent}/v={v}" for v in known(self.recent)]
         if not paths:
-            return self.spark.createDataFrame([], self.stored).drop("part", "v")
+            return nothing(self.spark, self.stored).drop("part", "v")
         rows = self.spark.read.option("basePath", self.root).schema(self.stored).parquet(*paths)
         for batch, chain, bucket in cuts:
             rows = rows.where((F.col("v") >= batch) | (F.col("block_bucket") < bucket) | (F.col("chain_id") != chain))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from logtide import schemas
 from logtide.operators import control, decode, feeds, health, ingest, registry, reorg, views
-from logtide.session import scratch, side_by_side, sized
+from logtide.session import scratch, shuffles, side_by_side, sized
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import (
     BLOCKS_PER_BUCKET, BucketState, EventLog, MergeTable, VersionedTable, drop_versions, versions,
@@ -34,6 +34,8 @@ from logtide.streaming import jobs
 
 #: How a block row came to be known; the arrival number of a row is four times its batch plus this.
 BY_LOG, BY_CHILD, BY_HEADER = 0, 1, 2
+#: Rows of a batch for one partition of its shuffles: some 70 MB as events in memory.
+ROWS_A_TASK = 100_000
 
 RETRACTED = T.StructType([T.StructField("chain_id", T.IntegerType()), T.StructField("block_number", T.LongType()),
                           T.StructField("block_hash", T.BinaryType())])
@@ -146,7 +148,8 @@ class LiveChain:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         with scratch(self.spark):
             batch = batch.persist()
-            self._batch(batch_id, *[batch.where(F.col(n).isNotNull()).select(f"{n}.*") for n in ("header", "log", "retracted")])
+            with shuffles(-(-batch.count() // ROWS_A_TASK), self.spark, batch.sparkSession):
+                self._batch(batch_id, *[batch.where(F.col(n).isNotNull()).select(f"{n}.*") for n in ("header", "log", "retracted")])
             batch.unpersist()
         if batch_id % jobs.COMPACT_EVERY == jobs.COMPACT_EVERY - 1:
             self.compact(batch_id)
@@ -154,14 +157,16 @@ class LiveChain:
     def _batch(self, batch_id: int, headers: DataFrame, raw: DataFrame, retracted: DataFrame) -> None:
         decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
         decoded = decoded.persist()
-        events = ingest.append_events(decoded).persist()
+        arrived = events = ingest.append_events(decoded).persist()
         held, touched = self._touched(events, headers, retracted)
+        met = not self.log.near(events, touched).isEmpty()
         fresh = self._fresh(batch_id, events, touched)
         evidence, changed = self._settle(batch_id, headers if "header" in held else None, fresh,
                                          retracted if "retracted" in held else None, touched)
         self._append(batch_id, fresh, touched, "nameless" in held)
-        ids = self.log.near(events, touched).select(*schemas.EVENT_KEY, "event_id")
-        events = events.drop("event_id").join(ids, schemas.EVENT_KEY).select(events.columns).persist()
+        if met or "nameless" in held:  # otherwise all were new, and the log has them as they came
+            ids = self.log.near(events, touched).select(*schemas.EVENT_KEY, "event_id")
+            events = events.drop("event_id").join(ids, schemas.EVENT_KEY).select(events.columns).persist()
         ancestors = {r["chain_id"]: r["ancestor"] for r in changed.groupBy("chain_id").agg(
             (F.min("number") - 1).alias("ancestor")).collect()}  # a row for each chain
         self.block_table.put(batch_id, evidence)
@@ -191,8 +196,8 @@ class LiveChain:
             side_by_side(writes)
         if self.delivery is not None:
             self.delivery(self._delivered(sent, headers, ancestors), batch_id)
-        events.unpersist()
-        decoded.unpersist()
+        for rows in (events, arrived, decoded):
+            rows.unpersist()
 
     def _touched(self, events: DataFrame, headers: DataFrame, retracted: DataFrame) -> tuple[set[str], list[tuple[int, int]]]:
         """(what a batch holds, (chain, bucket) it has to do with); the latter's number is bounded by the chains' heights."""

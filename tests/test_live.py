@@ -243,3 +243,25 @@ def test_state_tables_keep_their_versions(spark, chain):
     assert leader(chain) == (1, 2)
     assert views.LEADER.replay(chain.events()).first()["epoch"] == 2
     assert ingest.count_duplicates(chain.log.read()).first()["duplicates"] == 0
+
+
+def test_a_batchs_shuffles_have_partitions_as_its_rows(spark, chain, monkeypatch):
+    monkeypatch.setattr(live, "ROWS_A_TASK", 3)
+    name, seen, fresh = "spark.sql.shuffle.partitions", [], chain._fresh
+    monkeypatch.setattr(chain, "_fresh", lambda batch_id, events, touched: seen.append(
+        events.rdd.getNumPartitions()) or fresh(batch_id, events, touched))
+    before = spark.conf.get(name)
+    chain(feed(spark, [claim(n, 1, n, event_id=n) for n in range(1, 40)]), 0)
+    assert seen == [13] and spark.conf.get(name) == before
+    assert chain.log.read().count() == 39
+
+
+def test_a_first_batch_is_not_joined_with_a_log_that_is_not_there(spark, chain):
+    rows = spark.createDataFrame([claim(1, 1, 1, event_id=7)], schemas.RAW_LOG)
+    known = chain.log.near(rows, [(CHAIN, 0)]).select("event_id")
+    plan = rows.join(known, "event_id", "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    chain(feed(spark, [claim(1, 1, 1, event_id=7), claim(1, 1, 1, event_id=9), claim(2, 1, 2, event_id=8)]), 0)
+    chain(feed(spark, [claim(1, 1, 1, event_id=10)]), 1)
+    assert sorted(r["event_id"] for r in chain.log.read().collect()) == [7, 8]
+    assert sorted((r["event_id"], r["v"]) for r in chain.feed().collect()) == [(7, 0), (7, 1), (8, 0)]

@@ -348,3 +348,11 @@ def test_endless_instructions_need_no_join(spark, folder):
     for r in endless.collect():
         was, now = plain[r["event_id"]], bytes(r["data"])
         assert now == (was[:32] + bytes(24) + b"\xff" * 8 + was[64:] if r["event_id"] % 10 == 0 else was)
+
+
+def test_well_packed_events_are_dealt_by_their_rows(spark, folder, monkeypatch):
+    spark.range(3000).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(sample_tables, "FEW_BYTES", 10)
+    monkeypatch.setattr(sample_tables, "ROWS_A_TASK", 100)
+    dealt = sample_tables.table(spark, folder, "events")
+    assert dealt.rdd.getNumPartitions() == 30 and dealt.count() == 3000

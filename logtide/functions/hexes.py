@@ -18,17 +18,23 @@ def word(number: Column, size: int = 32) -> Column:
     return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
 
 
+def _digits(text: Column, any_case_prefix: bool) -> Column:
+    """Hex text without its prefix; no pattern, as this runs on all text of a log."""
+    prefixed = text.startswith("0x")
+    if any_case_prefix:
+        prefixed |= text.startswith("0X")
+    return F.when(prefixed, F.substring(text, 3, 2**31 - 1)).otherwise(text)
+
+
 def parse_bytes(text: Column, any_case_prefix: bool = False) -> Column:
     """Hex text, prefix optional, to bytes; ``0x`` alone is empty bytes."""
-    prefix = "^0[xX]" if any_case_prefix else "^0x"
-    digits = F.regexp_replace(text, prefix, "")
-    return F.when(F.length(digits) % 2 == 0, F.unhex(digits))
+    return F.when(F.octet_length(text) % 2 == 0, F.unhex(_digits(text, any_case_prefix)))  # a prefix has two
 
 
 def parse_fixed(text: Column, size: int, any_case_prefix: bool = False) -> Column:
     """As :func:`parse_bytes`, but only exactly ``size`` bytes pass."""
-    raw = parse_bytes(text, any_case_prefix)
-    return F.when(F.octet_length(raw) == size, raw)
+    digits = _digits(text, any_case_prefix)
+    return F.when(F.octet_length(digits) == 2 * size, F.unhex(digits))
 
 
 def parse_bytes32_array(texts: Column) -> Column:

@@ -24,14 +24,16 @@ def narrow_int64(value: Column) -> Column:
 
 
 def parse_uint_as_int64(text: Column) -> Column:
-    """Hex (0x…) or decimal text, blanks trimmed, to LONG."""
+    """Hex (0x…) or decimal text, blanks trimmed, to LONG; the plain hex that nodes send takes one pattern."""
+    plain = text.rlike(r"\A0x[0-9a-fA-F]{1,15}\z")
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     digits = F.regexp_extract(trimmed, r"^0[xX]\+?0*([0-9a-fA-F]*)$", 1)
     # 16 digits are the most conv can take; beyond that the value cannot fit anyway
     from_hex = F.when(F.length(digits) <= 16,
                       F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("decimal(20,0)"))
     return (
-        F.when(trimmed.rlike(r"^0[xX]\+?[0-9a-fA-F]+$"), narrow_int64(from_hex))
+        F.when(plain, F.conv(F.substring(text, 3, 15), 16, 10).cast("long"))
+        .when(trimmed.rlike(r"^0[xX]\+?[0-9a-fA-F]+$"), narrow_int64(from_hex))
         .when(trimmed.rlike(r"^\+?[0-9]+$"), trimmed.try_cast("long"))
     )
 

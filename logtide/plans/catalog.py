@@ -1465,9 +1465,7 @@ def stream_rpc_fork(spark: SparkSession, sf: str) -> DataFrame:
     folder, checkpoint = work_dir(spark, "rpc"), work_dir(spark, "rpc-checkpoint")
 
     def drain() -> None:
-        rows = logs.stream_rpc_rows(spark, folder)
-        stream = live.inputs(logs.from_rpc_logs(rows, 1), retracted=logs.retracted_blocks(rows, 1))
-        jobs.run(stream, chain, checkpoint).awaitTermination()
+        jobs.run(live.rpc_inputs(logs.stream_rpc_rows(spark, folder), 1), chain, checkpoint).awaitTermination()
 
     _rpc_lines(raw).write.json(folder)
     drain()

@@ -29,22 +29,31 @@ def from_rpc_logs(rows: DataFrame, chain_id: int) -> DataFrame:
 
     Nodes number nothing: ``event_id`` is NULL, and the live log gives each new row the next arrival id.
     """
-    rows = rows.where(~F.coalesce("removed", F.lit(False)))
+    return rows.where(~F.coalesce("removed", F.lit(False))).select(*rpc_log(chain_id))
+
+
+def rpc_log(chain_id: int) -> list[Column]:
+    """A node response's columns as a raw log's."""
     number, index = (numbers.parse_uint_as_int64(F.col(c)) for c in ("blockNumber", "logIndex"))
-    return rows.select(
+    return [
         F.lit(None).cast("long").alias("event_id"), F.lit(chain_id).alias("chain_id"),
         hexes.parse_fixed(F.col("address"), 20).alias("address"),
         F.transform("topics", lambda t: hexes.parse_fixed(t, 32)).alias("topics"),
         hexes.parse_bytes(F.col("data")).alias("data"), number.alias("block_number"),
         hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash"),
-        hexes.parse_fixed(F.col("transactionHash"), 32).alias("tx_hash"), index.alias("log_index"))
+        hexes.parse_fixed(F.col("transactionHash"), 32).alias("tx_hash"), index.alias("log_index")]
 
 
 def retracted_blocks(rows: DataFrame, chain_id: int) -> DataFrame:
     """(chain_id, block_number, block_hash) that a node took back, once for each log in it."""
-    return rows.where("removed").select(
+    return rows.where("removed").select(*rpc_block(chain_id))
+
+
+def rpc_block(chain_id: int) -> list[Column]:
+    """A node response's columns as the block that it lies in."""
+    return [
         F.lit(chain_id).alias("chain_id"), numbers.parse_uint_as_int64(F.col("blockNumber")).alias("block_number"),
-        hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash"))
+        hexes.parse_fixed(F.col("blockHash"), 32).alias("block_hash")]
 
 
 def from_rpc_headers(rows: DataFrame, chain_id: int) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from logtide import schemas
 from logtide.operators import control, decode, feeds, health, ingest, registry, reorg, views
 from logtide.session import scratch, shuffles, side_by_side, sized
+from logtide.sources.logs import rpc_block, rpc_log
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import (
     BLOCKS_PER_BUCKET, BucketState, EventLog, MergeTable, VersionedTable, drop_versions, versions,
@@ -61,6 +62,13 @@ def inputs(logs: DataFrame | None = None, headers: DataFrame | None = None, retr
     return reduce(DataFrame.unionByName, parts)
 
 
+def rpc_inputs(rows: DataFrame, chain_id: int) -> DataFrame:
+    """The job's one input out of node responses, logs and retractions; each line is read once."""
+    gone = F.coalesce("removed", F.lit(False))
+    given = {"log": F.when(~gone, F.struct(*rpc_log(chain_id))), "retracted": F.when(gone, F.struct(*rpc_block(chain_id)))}
+    return rows.select(*[given.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in _INPUTS.items()])
+
+
 class LiveChain:
     """All live state of some chains under one folder.
 

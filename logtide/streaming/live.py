@@ -183,25 +183,27 @@ class LiveChain:
                 [(c, (a + 1) // self.bucket_blocks) for c, a in ancestors.items()], _CUT).coalesce(1))
         else:
             drop_versions(self.spark, self.cut_table, [batch_id])
-        again, news = self._canonical(events, ancestors, changed, touched)
-        # what has no rows in a batch costs it nothing
-        kinds = {r["kind"] for r in again.select("kind").distinct().collect()}
-        writes = [lambda: self._write("feed", batch_id, feeds.change_feed(news)),
-                  lambda: self._write("rejects", batch_id, rejects),
-                  lambda: self._write("health", batch_id, health.batch_counts(decoded, fresh)),
-                  lambda: self._roll_back(batch_id, ancestors, changed)]
-        writes += [lambda t=table, own=view.kinds: t.put(batch_id, again.where(F.col("kind").isin(*own)), self.bucket_blocks)
-                   for view, table in ((self.view_specs[name], t) for name, t in self.views.items()) if kinds & set(view.kinds)]
-        if "ClusterDeployed" in kinds:
-            writes.append(lambda: self.watched.put(batch_id, again, self.bucket_blocks))
-        if "ControlAck" in kinds:
-            writes.append(lambda: self._control(batch_id, again, news, ancestors, "ack", self.acks))
-        sent = self.spark.createDataFrame([], schemas.INSTRUCTION)
-        if "ControlInstructionBroadcast" in kinds:
-            writes.append(lambda: self._control(batch_id, again, news, ancestors, "instruction", self.instructions))
-            sent = side_by_side(writes)[-1]
-        else:
-            side_by_side(writes)
+        again_rows = self.log.read().where(self._above(ancestors)).count() if ancestors else 0  # footers only
+        with shuffles(-(-again_rows // ROWS_A_TASK), self.spark, events.sparkSession):
+            again, news = self._canonical(events, ancestors, changed, touched)
+            # what has no rows in a batch costs it nothing
+            kinds = {r["kind"] for r in again.select("kind").distinct().collect()}
+            writes = [lambda: self._write("feed", batch_id, feeds.change_feed(news)),
+                      lambda: self._write("rejects", batch_id, rejects),
+                      lambda: self._write("health", batch_id, health.batch_counts(decoded, fresh)),
+                      lambda: self._roll_back(batch_id, ancestors, changed)]
+            writes += [lambda t=table, own=view.kinds: t.put(batch_id, again.where(F.col("kind").isin(*own)), self.bucket_blocks)
+                       for view, table in ((self.view_specs[name], t) for name, t in self.views.items()) if kinds & set(view.kinds)]
+            if "ClusterDeployed" in kinds:
+                writes.append(lambda: self.watched.put(batch_id, again, self.bucket_blocks))
+            if "ControlAck" in kinds:
+                writes.append(lambda: self._control(batch_id, again, news, ancestors, "ack", self.acks))
+            sent = self.spark.createDataFrame([], schemas.INSTRUCTION)
+            if "ControlInstructionBroadcast" in kinds:
+                writes.append(lambda: self._control(batch_id, again, news, ancestors, "instruction", self.instructions))
+                sent = side_by_side(writes)[-1]
+            else:
+                side_by_side(writes)
         if self.delivery is not None:
             self.delivery(self._delivered(sent, headers, ancestors), batch_id)
         for rows in (events, arrived, decoded):
@@ -297,6 +299,11 @@ class LiveChain:
         own = self.log.near(fresh, touched).agg(F.max("event_id")).first()[0] or 0
         self.high.write(batch_id, self.spark.createDataFrame([(max(end, own),)], _HIGH).coalesce(1))
 
+    def _above(self, ancestors: dict[int, int]) -> Column:
+        """Rows of the log in the buckets that a reorganisation cuts off; partitions only."""
+        return reduce(Column.__or__, [(F.col("chain_id") == c) & (F.col("block_bucket") >= (a + 1) // self.bucket_blocks)
+                                      for c, a in ancestors.items()])
+
     def _canonical(self, events: DataFrame, ancestors: dict[int, int], changed: DataFrame,
                    touched: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
         """(canonical rows to fold, canonical rows that are new to readers).
@@ -351,8 +358,7 @@ class LiveChain:
             return
         cut = {c: (a + 1) // self.bucket_blocks for c, a in ancestors.items()}
         gone = changed.select("chain_id", F.col("number").alias("block_number"), F.col("was").alias("block_hash"))
-        above = reduce(Column.__or__, [(F.col("chain_id") == c) & (F.col("block_bucket") >= k) for c, k in cut.items()])
-        removed = self.log.read().where(above).join(gone, ["chain_id", "block_number", "block_hash"], "left_semi").groupBy(
+        removed = self.log.read().where(self._above(ancestors)).join(gone, ["chain_id", "block_number", "block_hash"], "left_semi").groupBy(
             "chain_id").agg(F.count("*").alias("removed_rows"))
         heads = self.block_table.read(where=self._heights([], cut)).groupBy("chain_id").agg(F.max("number").alias("head"))
         counted = changed.groupBy("chain_id").agg((F.min("number") - 1).alias("ancestor"), F.count("*").alias("blocks"))

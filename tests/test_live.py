@@ -265,3 +265,14 @@ def test_a_first_batch_is_not_joined_with_a_log_that_is_not_there(spark, chain):
     chain(feed(spark, [claim(1, 1, 1, event_id=10)]), 1)
     assert sorted(r["event_id"] for r in chain.log.read().collect()) == [7, 8]
     assert sorted((r["event_id"], r["v"]) for r in chain.feed().collect()) == [(7, 0), (7, 1), (8, 0)]
+
+
+def test_a_reorganisations_shuffles_have_partitions_as_the_rows_it_folds_again(spark, chain, monkeypatch):
+    monkeypatch.setattr(live, "ROWS_A_TASK", 3)
+    chain(feed(spark, [claim(n, 1, n, event_id=n) for n in range(1, 40)]), 0)
+    seen, canonical, name = [], chain._canonical, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(chain, "_canonical", lambda events, *rest: seen.append(
+        int(events.sparkSession.conf.get(name))) or canonical(events, *rest))
+    chain(feed(spark, headers=[header(20, 1, parent=0)]), 1)
+    assert seen == [7]  # of the 20 logs in the buckets from the ancestor's on
+    assert sorted(r["event_id"] for r in chain.events().where("removed").collect()) == [20]

@@ -156,18 +156,27 @@ class LiveChain:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         with scratch(self.spark):
             batch = batch.persist()
-            with shuffles(-(-batch.count() // ROWS_A_TASK), self.spark, batch.sparkSession):
-                self._batch(batch_id, *[batch.where(F.col(n).isNotNull()).select(f"{n}.*") for n in ("header", "log", "retracted")])
+            rows = batch.count()
+            with shuffles(-(-rows // ROWS_A_TASK), self.spark, batch.sparkSession):
+                self._batch(batch_id, rows, *[batch.where(F.col(n).isNotNull()).select(f"{n}.*") for n in ("header", "log", "retracted")])
             batch.unpersist()
         if batch_id % jobs.COMPACT_EVERY == jobs.COMPACT_EVERY - 1:
             self.compact(batch_id)
 
-    def _batch(self, batch_id: int, headers: DataFrame, raw: DataFrame, retracted: DataFrame) -> None:
+    def _batch(self, batch_id: int, rows: int, headers: DataFrame, raw: DataFrame, retracted: DataFrame) -> None:
         decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
         decoded = decoded.persist()
-        arrived = events = ingest.append_events(decoded).persist()
+        events = ingest.append_events(decoded).persist()
         held, touched = self._touched(events, headers, retracted)
-        met = not self.log.near(events, touched).isEmpty()
+        met = self.log.near(events, touched).count()  # footers only
+        with shuffles(-(-(rows + met) // ROWS_A_TASK), self.spark, events.sparkSession):
+            self._apply(batch_id, headers, retracted, decoded, rejects, events, held, touched, met > 0)
+        for kept in (events, decoded):
+            kept.unpersist()
+
+    def _apply(self, batch_id: int, headers: DataFrame, retracted: DataFrame, decoded: DataFrame, rejects: DataFrame, events: DataFrame,
+               held: set[str], touched: list[tuple[int, int]], met: bool) -> None:
+        """A batch's events into log, state, feeds and delivery; ``met``: the log has rows in the buckets that it touches."""
         fresh = self._fresh(batch_id, events, touched)
         evidence, changed = self._settle(batch_id, headers if "header" in held else None, fresh,
                                          retracted if "retracted" in held else None, touched)
@@ -206,8 +215,7 @@ class LiveChain:
                 side_by_side(writes)
         if self.delivery is not None:
             self.delivery(self._delivered(sent, headers, ancestors), batch_id)
-        for rows in (events, arrived, decoded):
-            rows.unpersist()
+        events.unpersist()
 
     def _touched(self, events: DataFrame, headers: DataFrame, retracted: DataFrame) -> tuple[set[str], list[tuple[int, int]]]:
         """(what a batch holds, (chain, bucket) it has to do with); the latter's number is bounded by the chains' heights."""

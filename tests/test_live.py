@@ -276,3 +276,15 @@ def test_a_reorganisations_shuffles_have_partitions_as_the_rows_it_folds_again(s
     chain(feed(spark, headers=[header(20, 1, parent=0)]), 1)
     assert seen == [7]  # of the 20 logs in the buckets from the ancestor's on
     assert sorted(r["event_id"] for r in chain.events().where("removed").collect()) == [20]
+
+
+def test_a_batchs_shuffles_have_partitions_as_the_stored_rows_that_it_meets(spark, chain, monkeypatch):
+    monkeypatch.setattr(live, "ROWS_A_TASK", 3)
+    chain(feed(spark, [claim(n, 1, n, event_id=n) for n in range(1, 40)]), 0)
+    seen, fresh, name = [], chain._fresh, "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(chain, "_fresh", lambda batch_id, events, touched: seen.append(
+        int(events.sparkSession.conf.get(name))) or fresh(batch_id, events, touched))
+    before = spark.conf.get(name)
+    chain(feed(spark, [claim(n, 2, n, index=1, event_id=100 + n) for n in (5, 15, 25)]), 1)
+    assert seen == [11] and spark.conf.get(name) == before  # of 3 logs and the 29 in their buckets
+    assert chain.log.read().count() == 42 and leader(chain) == (1, 39)

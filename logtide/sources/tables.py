@@ -85,11 +85,12 @@ class EventLog:
             wanted |= (F.col("chain_id") == chain) & F.col("block_bucket").isin([b for c, b in touched if c == chain])
         return self.read().where(wanted)
 
-    def append(self, rows: DataFrame) -> None:
+    def append(self, rows: DataFrame, widened: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """``rows`` into the log; ``widened`` adds columns, which the shuffle then need not carry."""
         order = ["chain_id", "block_bucket", "contract", "block_number", "log_index"]
+        dealt = rows.withColumn("block_bucket", F.floor(F.col("block_number") / self.bucket_blocks)).repartitionByRange(*order)
         (
-            rows.withColumn("block_bucket", F.floor(F.col("block_number") / self.bucket_blocks))
-            .repartitionByRange(*order).sortWithinPartitions(*order)
+            widened(dealt).sortWithinPartitions(*order)
             .write.mode("append").partitionBy("chain_id", "block_bucket").parquet(self.path)
         )
 

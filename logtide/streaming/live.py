@@ -21,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logtide import schemas
 from logtide.operators import control, decode, feeds, health, ingest, registry, reorg, views
-from logtide.session import scratch, shuffles, side_by_side, sized
+from logtide.session import frugal, nothing, scratch, shuffles, side_by_side, sized
 from logtide.sources.logs import rpc_block, rpc_log
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import (
@@ -37,6 +38,8 @@ from logtide.streaming import jobs
 BY_LOG, BY_CHILD, BY_HEADER = 0, 1, 2
 #: Rows of a batch for one partition of its shuffles: some 70 MB as events in memory.
 ROWS_A_TASK = 100_000
+#: What :meth:`LiveChain._touched` calls logs with and without an id of their source.
+_LOGS = {"named", "nameless"}
 
 RETRACTED = T.StructType([T.StructField("chain_id", T.IntegerType()), T.StructField("block_number", T.LongType()),
                           T.StructField("block_hash", T.BinaryType())])
@@ -120,7 +123,9 @@ class LiveChain:
 
     def view(self, name: str) -> DataFrame:
         """A view's answer from its kept state."""
-        return self.view_specs[name].finish(self.state(self.views[name]), self.blocks())
+        view = self.view_specs[name]
+        blocks = sized(self.blocks(), "view-blocks") if view.needs_blocks else self.blocks()  # so they join without a shuffle of the view
+        return view.finish(self.state(self.views[name]), blocks)
 
     def reorgs(self) -> DataFrame:
         """What was rolled back, one row for each chain and batch ``v``."""
@@ -154,36 +159,49 @@ class LiveChain:
     # --- a batch -------------------------------------------------------------
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        with scratch(self.spark):
-            batch = batch.persist()
-            rows = batch.count()
+        with scratch(self.spark), frugal(self.spark, batch.sparkSession):
+            # written, not cached: a cached batch fills the executors' memory and then, wider than its file, their disks
+            batch = sized(batch.withColumn("turn", F.monotonically_increasing_id()), "batch")
+            rows = batch.count()  # footers only
+            # forks of equal length are decided by arrival, which files that are read again do not keep
+            in_turn = {"header": batch.where(F.col("header").isNotNull()).orderBy("turn")}
             with shuffles(-(-rows // ROWS_A_TASK), self.spark, batch.sparkSession):
-                self._batch(batch_id, rows, *[batch.where(F.col(n).isNotNull()).select(f"{n}.*") for n in ("header", "log", "retracted")])
-            batch.unpersist()
+                self._batch(batch_id, rows, *[in_turn.get(n, batch.where(F.col(n).isNotNull())).select(f"{n}.*")
+                                              for n in ("header", "log", "retracted")])
         if batch_id % jobs.COMPACT_EVERY == jobs.COMPACT_EVERY - 1:
             self.compact(batch_id)
 
     def _batch(self, batch_id: int, rows: int, headers: DataFrame, raw: DataFrame, retracted: DataFrame) -> None:
-        decoded, rejects = decode.decode_logs(self._admitted(raw, batch_id), self.specs)
-        decoded = decoded.persist()
-        events = ingest.append_events(decoded).persist()
-        held, touched = self._touched(events, headers, retracted)
-        met = self.log.near(events, touched).count()  # footers only
-        with shuffles(-(-(rows + met) // ROWS_A_TASK), self.spark, events.sparkSession):
-            self._apply(batch_id, headers, retracted, decoded, rejects, events, held, touched, met > 0)
-        for kept in (events, decoded):
-            kept.unpersist()
-
-    def _apply(self, batch_id: int, headers: DataFrame, retracted: DataFrame, decoded: DataFrame, rejects: DataFrame, events: DataFrame,
+        good, rejects = decode.split_rejects(self._admitted(raw, batch_id))
+        arrived = decode.normalise(good)
+        held, touched = self._touched(arrived, headers, retracted)
+        met = self.log.near(arrived, touched).count() if held & _LOGS else 0  # footers only
+        with shuffles(-(-(rows + met) // ROWS_A_TASK), self.spark, arrived.sparkSession):
+            self._apply(batch_id, headers, retracted, arrived, rejects, held, touched, met > 0)
+
+    def _apply(self, batch_id: int, headers: DataFrame, retracted: DataFrame, arrived: DataFrame, rejects: DataFrame,
                held: set[str], touched: list[tuple[int, int]], met: bool) -> None:
-        """A batch's events into log, state, feeds and delivery; ``met``: the log has rows in the buckets that it touches."""
-        fresh = self._fresh(batch_id, events, touched)
+        """A batch's logs into log, state, feeds and delivery; ``met``: the log has rows in the buckets that they touch.
+
+        Logs are decoded once for the log. What follows reads them there, the columns that it needs.
+        """
+        once = ingest.append_events(arrived).persist(StorageLevel.DISK_ONLY)
+        fresh = self._fresh(batch_id, once, touched if met else [])
+        if not met:
+            once.unpersist()
         evidence, changed = self._settle(batch_id, headers if "header" in held else None, fresh,
                                          retracted if "retracted" in held else None, touched)
-        self._append(batch_id, fresh, touched, "nameless" in held)
-        if met or "nameless" in held:  # otherwise all were new, and the log has them as they came
-            ids = self.log.near(events, touched).select(*schemas.EVENT_KEY, "event_id")
-            events = events.drop("event_id").join(ids, schemas.EVENT_KEY).select(events.columns).persist()
+        columns = [c for c in self.log.schema.fieldNames() if c != "block_bucket"]
+        if held & _LOGS:
+            self._append(batch_id, fresh, touched, "nameless" in held)
+        if not held & _LOGS:
+            events = nothing(self.spark, self.log.schema).select(columns)
+        elif met:
+            ids = self.log.near(once, touched).select(*schemas.EVENT_KEY, "event_id")
+            again = ids.join(once.drop("event_id"), schemas.EVENT_KEY).select(once.columns)
+            events = decode.with_payload(again, self.specs).select(columns).persist(StorageLevel.DISK_ONLY)
+        else:  # all were new, and are all that the log has in these buckets
+            events = self.log.near(once, touched).select(columns)
         ancestors = {r["chain_id"]: r["ancestor"] for r in changed.groupBy("chain_id").agg(
             (F.min("number") - 1).alias("ancestor")).collect()}  # a row for each chain
         self.block_table.put(batch_id, evidence)
@@ -199,7 +217,7 @@ class LiveChain:
             kinds = {r["kind"] for r in again.select("kind").distinct().collect()}
             writes = [lambda: self._write("feed", batch_id, feeds.change_feed(news)),
                       lambda: self._write("rejects", batch_id, rejects),
-                      lambda: self._write("health", batch_id, health.batch_counts(decoded, fresh)),
+                      lambda: self._write("health", batch_id, health.batch_counts(arrived, fresh)),
                       lambda: self._roll_back(batch_id, ancestors, changed)]
             writes += [lambda t=table, own=view.kinds: t.put(batch_id, again.where(F.col("kind").isin(*own)), self.bucket_blocks)
                        for view, table in ((self.view_specs[name], t) for name, t in self.views.items()) if kinds & set(view.kinds)]
@@ -215,7 +233,9 @@ class LiveChain:
                 side_by_side(writes)
         if self.delivery is not None:
             self.delivery(self._delivered(sent, headers, ancestors), batch_id)
-        events.unpersist()
+        if met:
+            for kept in (events, once):
+                kept.unpersist()
 
     def _touched(self, events: DataFrame, headers: DataFrame, retracted: DataFrame) -> tuple[set[str], list[tuple[int, int]]]:
         """(what a batch holds, (chain, bucket) it has to do with); the latter's number is bounded by the chains' heights."""
@@ -288,22 +308,24 @@ class LiveChain:
         mark = self.high.read(before=batch_id).first()
         end = 0 if mark is None else mark["high"]
         named = fresh.where(F.col("event_id").isNotNull())
+        payload = lambda rows: decode.with_payload(rows, self.specs)
         if nameless:
             # rows that a first run had stored already took ids beyond the mark
             end = max(end, near.agg(F.max("event_id")).first()[0] or 0)
             order = ["chain_id", "block_number", "log_index", "block_hash", "contract"]
-            lined = sized(fresh.where(F.col("event_id").isNull()).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
-                "slot", F.monotonically_increasing_id()), "lined")
-            part, offsets = F.shiftright("slot", 33), []
-            for r in sorted(lined.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each task
-                offsets.append((r["part"], end))
-                end += r["n"]
-            starts = self.spark.createDataFrame(offsets, "part long, first long")
-            numbered = lined.withColumn("part", part).join(starts, "part").withColumn(
-                "event_id", F.col("first") + F.col("slot").bitwiseAND((1 << 33) - 1) + 1)
-            self.log.append(named.unionByName(numbered.select(fresh.columns)))
+            with scratch(self.spark):
+                lined = sized(fresh.where(F.col("event_id").isNull()).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+                    "slot", F.monotonically_increasing_id()), "lined")
+                part, offsets = F.shiftright("slot", 33), []
+                for r in sorted(lined.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each task
+                    offsets.append((r["part"], end))
+                    end += r["n"]
+                starts = sized(self.spark.createDataFrame(offsets, "part long, first long").coalesce(1), "starts")
+                numbered = lined.withColumn("part", part).join(starts, "part").withColumn(
+                    "event_id", F.col("first") + F.col("slot").bitwiseAND((1 << 33) - 1) + 1)
+                self.log.append(named.unionByName(numbered.select(fresh.columns)), payload)
         else:
-            self.log.append(named)
+            self.log.append(named, payload)
         own = self.log.near(fresh, touched).agg(F.max("event_id")).first()[0] or 0
         self.high.write(batch_id, self.spark.createDataFrame([(max(end, own),)], _HIGH).coalesce(1))
 
@@ -397,7 +419,7 @@ class LiveChain:
         if found.isEmpty():
             return mine
         mine = mine.unionByName(jobs.watched_only(raw, found))
-        return mine if self.backlog is None else mine.unionByName(self.backlog.since(found).select(raw.columns))
+        return mine if self.backlog is None else sized(mine.unionByName(self.backlog.since(found).select(raw.columns)), "admitted")
 
     def compact(self, before: int) -> None:
         """Fold finished batches of every table into new bases; later cuts stay."""

@@ -288,3 +288,20 @@ def test_a_batchs_shuffles_have_partitions_as_the_stored_rows_that_it_meets(spar
     chain(feed(spark, [claim(n, 2, n, index=1, event_id=100 + n) for n in (5, 15, 25)]), 1)
     assert seen == [11] and spark.conf.get(name) == before  # of 3 logs and the 29 in their buckets
     assert chain.log.read().count() == 42 and leader(chain) == (1, 39)
+
+
+def test_a_batch_holds_no_rows_in_the_executors_memory(spark, chain, monkeypatch):
+    held, canonical = [], chain._canonical
+    monkeypatch.setattr(chain, "_canonical", lambda *a: held.append(
+        sum(kept.memSize() for kept in spark.sparkContext._jsc.sc().getRDDStorageInfo())) or canonical(*a))
+    chain(feed(spark, [claim(n, 1, n, event_id=n) for n in range(1, 9)], [header(n) for n in range(1, 9)]), 0)
+    chain(feed(spark, [claim(n, 2, n + 9, index=1, event_id=n + 9) for n in range(1, 9)]), 1)   # meets stored rows
+    assert held == [0, 0] and leader(chain) == (2, 17) and chain.log.read().count() == 16
+
+
+def test_headers_keep_their_turn_in_a_batch_that_is_written(spark, chain):
+    """Of two tips the later arrival counts, also if it lies in the smaller file, which Spark would read last or first."""
+    trunk, tips = [header(n) for n in range(1, 30)], [header(30, 9, parent=0), header(30, 1, parent=0)]
+    for batch_id, rows in enumerate(([*tips, *trunk], [*trunk, *tips[::-1]])):
+        chain(feed(spark, headers=rows), batch_id)
+        assert bytes(chain.blocks().where("number = 30").first()["hash"])[0] - 1 == (1, 9)[batch_id]

@@ -1,5 +1,6 @@
 import pathlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from logtide import schemas
 from logtide.operators import control, orderer, views
 from logtide.plans import catalog
-from logtide.session import byte_size
+from logtide.session import byte_size, frugal
 from logtide.sources import logs, sample_tables
 from logtide.sources.raw_log import RawLog
 from logtide.sources.tables import EventLog, MergeTable, VersionedTable, versions
@@ -356,3 +357,24 @@ def test_well_packed_events_are_dealt_by_their_rows(spark, folder, monkeypatch):
     monkeypatch.setattr(sample_tables, "ROWS_A_TASK", 100)
     dealt = sample_tables.table(spark, folder, "events")
     assert dealt.rdd.getNumPartitions() == 30 and dealt.count() == 3000
+
+
+def test_shuffle_files_go_with_their_query(spark, folder):
+    names = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n) for n in names]
+
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    known = files()
+    with frugal(spark):
+        assert [spark.conf.get(n) for n in names] == ["true", str(16 << 20)]
+        counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+        counted.write.parquet(f"{folder}/counted")
+        late = time.time() + 20
+        while files() - known and time.time() < late:   # deleted in the background
+            time.sleep(0.1)
+        assert not files() - known
+        assert spark.read.parquet(f"{folder}/counted").count() == counted.count() == 10
+    assert [spark.conf.get(n) for n in names] == before

@@ -1441,13 +1441,18 @@ def _rpc_lines(raw: DataFrame) -> DataFrame:
         number(F.col("log_index")).alias("logIndex"), F.lit(False).alias("removed"))
 
 
+def _send(lines: DataFrame, folder: str) -> None:
+    """Node lines into a folder, packed: as text they are some 700 bytes a log, mostly hex zeros."""
+    lines.write.mode("append").json(folder, compression="gzip")
+
+
 @query(Q.EV + "SELECT CAST(1 AS INTEGER) AS chain_id, contract AS address, block_number, log_index FROM ev")
 def stream_rpc_logs(spark: SparkSession, sf: str) -> DataFrame:
     """The log as JSON-RPC lines; retractions that a node sends for orphaned blocks are no logs."""
     raw = _raw(spark, sf)
     again = _rpc_lines(raw.where(F.col("block_number") % S.ORPHAN_EVERY == 0)).withColumn("removed", F.lit(True))
     folder, out, checkpoint = (work_dir(spark, n) for n in ("rpc", "rpc-logs", "rpc-checkpoint"))
-    _rpc_lines(raw).unionByName(again).write.json(folder)
+    _send(_rpc_lines(raw).unionByName(again), folder)
     read = logs.stream_rpc_logs(spark, folder, 1)
     read.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     return as_hex(spark.read.schema(read.schema).parquet(out).select("chain_id", "address", "block_number", "log_index"))
@@ -1465,14 +1470,14 @@ def stream_rpc_fork(spark: SparkSession, sf: str) -> DataFrame:
     folder, checkpoint = work_dir(spark, "rpc"), work_dir(spark, "rpc-checkpoint")
 
     def drain() -> None:
-        jobs.run(live.rpc_inputs(logs.stream_rpc_rows(spark, folder), 1), chain, checkpoint).awaitTermination()
+        jobs.drain(live.rpc_inputs(logs.stream_rpc_rows(spark, folder), 1), chain, checkpoint)
 
-    _rpc_lines(raw).write.json(folder)
+    _send(_rpc_lines(raw), folder)
     drain()
     first = chain.log.read().agg(F.max("event_id")).first()[0] or 0
     gone = _rpc_lines(raw.where(orphaned)).withColumn("removed", F.lit(True))
     canonical = F.unhex(F.sha2(F.concat(F.lit("b"), F.col("block_number").cast("string")), 256))
-    gone.unionByName(_rpc_lines(raw.where(orphaned).withColumn("block_hash", canonical))).write.mode("append").json(folder)
+    _send(gone.unionByName(_rpc_lines(raw.where(orphaned).withColumn("block_hash", canonical))), folder)
     drain()
     return as_hex(chain.events().select(F.col("contract").alias("address"), "block_number", "log_index", "removed",
                                         (F.col("event_id") > first).alias("later")))

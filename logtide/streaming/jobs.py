@@ -31,7 +31,7 @@ def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: s
 
 
 def drain(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run a job over a growing parquet table to the end of what is there, in splits of ``SPLIT_BYTES`` at most.
+    """Run a job over a growing table of files to the end of what is there, in splits of ``SPLIT_BYTES`` at most.
 
     Logs grow several times when a batch keeps them in memory, so Spark's own splits, as large as a core's share of the
     files, would make tasks as large as the batch. The splits are the session's setting, which it gets back after.

@@ -1,9 +1,12 @@
 """Node responses into the live chain's input."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from logtide.functions import hexes, numbers
+from logtide.plans import catalog
 from logtide.sources import logs
 from logtide.streaming import live
 from tests.fixtures import CHAIN, a, m, topic0
@@ -35,3 +38,14 @@ def test_text_of_nodes(spark, text, raw, number):
     assert (None if got[0] is None else bytes(got[0])) == raw
     assert (None if got[1] is None else bytes(got[1])) == (raw if raw is not None and len(raw) == 1 else None)
     assert got[2] == number
+
+
+def test_node_lines_are_sent_packed(spark, folder):
+    """Hex text of hashes and zeros lies on the disk at a fraction of its length; readers need no notice."""
+    lines = spark.range(2000).select(F.format_string("0x%064x", "id").alias("transactionHash"), F.lit(False).alias("removed")).coalesce(1)
+    for _ in range(2):
+        catalog._send(lines, folder)
+    files = list(pathlib.Path(folder).glob("part-*"))
+    assert len(files) == 2 and sum(f.stat().st_size for f in files) < 2000 * 2 * 30
+    read = spark.read.schema(logs.RPC_LOG).json(folder)
+    assert read.select("transactionHash").distinct().count() == 2000 and read.count() == 4000
